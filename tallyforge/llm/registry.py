@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe_count, bpe_transducer, quality, secret_scan, warc_zst
+from tallyforge.llm import bpe_count, bpe_transducer, ngram_trie, quality, secret_scan, warc_zst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Query] = {
     "op3_secret_scan": _table("documents", secret_scan.report),
     "op4_warc_zst": _table("pages", warc_zst.roundtrip),
     "op6_bpe_transducer": _table("documents", lambda d: bpe_transducer.roundtrip_digests(d, public_tokenizers.path("word_bpe_49k.json"))),
+    "op7_ngram_jaccard": _table("documents", ngram_trie.near_copies),
     "op8_token_counts": _table("documents", lambda d: bpe_count.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json"))),
     "op9_quality_divergence": _table("documents", quality.report),
 }
