@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe_count, bpe_transducer, ngram_trie, quality, secret_scan, warc_zst
+from tallyforge.llm import bpe_count, bpe_transducer, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op7_ngram_jaccard": _table("documents", ngram_trie.near_copies),
     "op8_token_counts": _table("documents", lambda d: bpe_count.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json"))),
     "op9_quality_divergence": _table("documents", quality.report),
+    "op10_suffix_array": _table("documents", suffix_dedup.report),
 }
 
 #: Base32 of a SHA-1: five hexadecimal digits make four letters.
