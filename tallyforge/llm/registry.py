@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe_count, bpe_transducer, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
+from tallyforge.llm import bpe_count, bpe_transducer, decontaminate, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,8 @@ def _table(name: str, run: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_line_simhash": _table("documents", line_dedup.report),
+    "op2_latent_decontamination": lambda spark, sf_dir: decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op3_secret_scan": _table("documents", secret_scan.report),
     "op4_warc_zst": _table("pages", warc_zst.roundtrip),
     "op6_bpe_transducer": _table("documents", lambda d: bpe_transducer.roundtrip_digests(d, public_tokenizers.path("word_bpe_49k.json"))),
