@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -155,12 +156,12 @@ class Decoder:
         return self.state.decode(b"", True) if self.byte_level else ""
 
 
-def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tuple[str, str, int]]:
-    """For each word or special string of ``text``: its ids in decimal, its decoding, and the number of ids."""
+def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tuple[str, str, int, list[int]]]:
+    """For each word or special string of ``text``: its ids in decimal, its decoding, the number of ids, and the ids."""
     tables, decoder = transducer.tables, transducer.decoder
     for k, part in enumerate(tables.special_pattern().split(text)):
         if k % 2:
-            yield str(tables.special[part]), part, 1
+            yield str(tables.special[part]), part, 1, [tables.special[part]]
             continue
         for piece in pieces(part, SLICE):
             words = ASCII_WORDS.findall(piece.lower()) if piece.isascii() else WORDS.findall(NORMALIZER.normalize_str(piece))
@@ -169,7 +170,7 @@ def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tupl
                 if found is None:
                     ids = transducer.encode(w)
                     decoder.reset()
-                    found = (" ".join(map(str, ids)), decoder.push(ids), len(ids))
+                    found = (" ".join(map(str, ids)), decoder.push(ids), len(ids), ids)
                     if len(w) <= transducer.longest:
                         if len(cache) >= transducer.most:
                             cache.clear()
@@ -180,7 +181,7 @@ def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tupl
 def digests(text: str, transducer: Transducer, cache: dict) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text; both hashes are fed as tokens settle."""
     n, ids, out = 0, hashlib.sha256(), hashlib.sha256()
-    held: list[tuple[str, str, int]] = []
+    held: list[tuple[str, str, int, list[int]]] = []
     lead = ""
 
     def flush():
@@ -234,7 +235,7 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", ids_colu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         transducer, cache = _ready(vocabulary, shared)
         for b in batches:
-            ids = [[int(i) for f in encode_text(t.as_py() or "", transducer, cache) for i in f[0].split(" ")] for t in b.column(at)]
+            ids = [list(itertools.chain.from_iterable([f[3] for f in encode_text(t.as_py() or "", transducer, cache)])) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, ids_column])
 
     return rest.mapInArrow(run, schema.removeprefix("struct<").removesuffix(">"))

@@ -216,3 +216,10 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 85, id_column: st
     groups = staged(components(links.union(copies)), "groups")
     found = signed.select("id", "n").join(groups, "id", "left")
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with the least id of each group of near copies. Rows that repeat an id stay or go together."""
+    found = near_copies(docs, size, percent, id_column, text_column)
+    gone = staged(found.filter(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("_n_id")).distinct(), "copies")
+    return docs.join(gone, F.col(id_column).cast("long") == F.col("_n_id"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe_count, bpe_transducer, decontaminate, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
+from tallyforge.llm import bpe_count, bpe_transducer, decontaminate, license_scan, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op2_latent_decontamination": lambda spark, sf_dir: decontaminate.leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op3_secret_scan": _table("documents", secret_scan.report),
     "op4_warc_zst": _table("pages", warc_zst.roundtrip),
+    "op5_license_tfidf": _table("documents", license_scan.report),
     "op6_bpe_transducer": _table("documents", lambda d: bpe_transducer.roundtrip_digests(d, public_tokenizers.path("word_bpe_49k.json"))),
     "op7_ngram_jaccard": _table("documents", ngram_trie.near_copies),
     "op8_token_counts": _table("documents", lambda d: bpe_count.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json"))),
