@@ -1,5 +1,5 @@
 """Named queries by area: each module has QUERIES (name to callable of session and folder) and SQL (name to text)."""
 
-from tallyforge.plans import series_queries
+from tallyforge.plans import score_queries, series_queries, walk_queries
 
-MODULES = (series_queries,)
+MODULES = (score_queries, series_queries, walk_queries)
