@@ -14,27 +14,38 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.staging import staged
+from tallyforge.llm.staging import maybe_among, staged
 
 Fits = Callable[[Column, Column], Column]
+Enough = Callable[[Column, Column, Column], Column]
 
 
-def star_pairs(postings: DataFrame, fits: Fits) -> tuple[DataFrame, DataFrame]:
-    """The postings whose key has two ids or more, staged; and the distinct pairs (a, b) of a key's least id and another."""
-    heads = postings.groupBy("key").agg(F.min(F.struct("id", "info")).alias("head"), F.max("id").alias("last")).filter(F.col("head.id") < F.col("last")).drop("last")
-    shared = staged(postings.join(heads, "key"), "shared")
-    pairs = shared.filter((F.col("head.id") < F.col("id")) & fits(F.col("head.info"), F.col("info"))).select(F.col("head.id").alias("a"), F.col("id").alias("b")).distinct()
-    return shared.drop("head"), staged(pairs, "star")
+def _pairs(rows: DataFrame, fits: Fits, enough: Enough | None) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, x, y: their infos at a key) that fit at some key; ``enough`` looks at the number of
+    keys that they share, whether they fit there or not."""
+    if enough is None:
+        return rows.filter(fits(F.col("x"), F.col("y"))).select("a", "b").distinct()
+    counted = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max(fits(F.col("x"), F.col("y"))).alias("fit"), F.min("x").alias("x"), F.min("y").alias("y"))
+    return counted.filter(F.col("fit") & enough(F.col("c"), F.col("x"), F.col("y"))).select("a", "b")
 
 
-def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits) -> DataFrame:
+def star_pairs(postings: DataFrame, fits: Fits, enough: Enough | None = None, near: Fits | None = None) -> tuple[DataFrame, DataFrame]:
+    """The postings whose key has two ids or more, staged; and the pairs (a, b) of a key's least id and another."""
+    often = staged(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
+    shared = staged(maybe_among(postings, "key", often).join(often, "key"), "shared")
+    heads = shared.groupBy("key").agg(F.min(F.struct("id", "info")).alias("head"))
+    both = shared.join(heads, "key").filter((F.col("head.id") < F.col("id")) & (near or fits)(F.col("head.info"), F.col("info")))
+    return shared, staged(_pairs(both.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.info").alias("x"), F.col("info").alias("y")), fits, enough), "star")
+
+
+def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits, enough: Enough | None = None, near: Fits | None = None) -> DataFrame:
     """Pairs (a, b) that share a key across groups (id, group) and weren't tried; ids without a group are their own."""
     named = shared.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     split = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
     left = staged(named.join(split, "key"), "across")
     one, two = left.select("key", F.struct("id", "info", "group").alias("x")), left.select("key", F.struct("id", "info", "group").alias("y"))
-    both = one.join(two, "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & fits(F.col("x.info"), F.col("y.info")))
-    pairs = both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    both = one.join(two, "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & (near or fits)(F.col("x.info"), F.col("y.info")))
+    pairs = _pairs(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.info").alias("x"), F.col("y.info").alias("y")), fits, enough)
     return staged(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
 
 
@@ -59,9 +70,11 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select(F.col("u").alias("id"), F.col("v").alias("group")).union(heads)
 
 
-def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` keeps the true ones."""
-    shared, star = star_pairs(postings, fits)
+def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], enough: Enough | None = None, near: Fits | None = None) -> DataFrame:
+    """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` keeps the true ones;
+    ``enough`` (of the number of shared keys and the two infos) must hold of them, and spares it the others; ``near`` is
+    what ``fits`` asks at every key alike."""
+    shared, star = star_pairs(postings, fits, enough, near)
     first = staged(verify(star), "links")
-    rest = rest_pairs(shared, components(first), star, fits)
+    rest = rest_pairs(shared, components(first), star, fits, enough, near)
     return first.union(staged(verify(rest), "links"))

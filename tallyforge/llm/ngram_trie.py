@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linking import components, linked_pairs
-from tallyforge.llm.staging import staged, text_of
+from tallyforge.llm.staging import maybe_among, staged, text_of
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]  # odd multipliers
 HEAVY = np.uint64(1 << 63)
@@ -196,22 +196,29 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 85, id_column: st
     signed = signatures(rows, size, percent, heavy)
     real = signed.filter("n > 0 AND id IS NOT NULL")
     classes = staged(real.groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "head")).alias("x"), F.count("*").alias("copies")), "classes")
-    postings = classes.select("x.*").select(F.col("id"), "n", F.posexplode("head").alias("at", "key")).select("key", "id", F.struct("n", "at").alias("info"))
+    postings = classes.select("x.*").select(F.col("id"), "n", F.posexplode("head").alias("at", "key")).select("key", "id", (F.shiftleft("n", 32) + F.col("at")).alias("info"))  # size and place in one number
+
+    size_of, place_of = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+    ceiling = lambda share, whole: F.floor((percent * share + (whole - 1)) / whole)
+
+    def near(x: Column, y: Column) -> Column:
+        return 100 * F.least(size_of(x), size_of(y)) >= percent * F.greatest(size_of(x), size_of(y))
 
     def fits(x: Column, y: Column) -> Column:
-        need = F.ceil(percent * (x["n"] + y["n"]) / (100 + percent) - 1e-9)
-        return (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (F.least(x["n"] - x["at"], y["n"] - y["at"]) >= need)
+        n, m = size_of(x), size_of(y)
+        return near(x, y) & (F.least(n - place_of(x), m - place_of(y)) >= ceiling(n + m, 100 + percent))
 
-    texts: list[DataFrame] = []
+    def enough(c: Column, x: Column, y: Column) -> Column:
+        """Beyond its head a set has one less than the overlap that it needs itself; the rest must be shared in the heads."""
+        n, m = size_of(x), size_of(y)
+        return c >= ceiling(n + m, 100 + percent) - ceiling(F.greatest(n, m), 100) + 1
 
     def verify(pairs: DataFrame) -> DataFrame:
-        if not texts:  # the texts of all candidates, once
-            some = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-            texts.append(staged(rows.join(some, "id", "left_semi"), "texts"))
-            return verified(pairs, texts[0], size, percent, heavy)
-        return verified(pairs, rows.join(staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids"), "id", "left_semi"), size, percent, heavy)
+        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        texts = staged(maybe_among(rows, "id", ids).join(ids, "id", "left_semi"), "texts")
+        return verified(pairs, texts, size, percent, heavy)
 
-    links = linked_pairs(postings, fits, verify)
+    links = linked_pairs(postings, fits, verify, enough, near)
     copies = real.join(classes.filter("copies > 1").select("d1", "d2", F.col("x.id").alias("head_id")), ["d1", "d2"]).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
     groups = staged(components(links.union(copies)), "groups")
     found = signed.select("id", "n").join(groups, "id", "left")

@@ -33,3 +33,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def text_of(column: str = "text"):
     """A text column where null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, others: bool = False, bits: int = 1 << 24) -> DataFrame:
+    """The ``rows`` whose ``column`` may be in the first column of ``wanted``, and few others, or with ``others`` all rows
+    but these: a bitmap of hashes, two megabytes whatever the data, travels to all tasks. A true join then shuffles little."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marks = wanted.select(place(F.col(wanted.columns[0])).alias("k"))
+    maps = marks.groupBy(F.bitmap_bucket_number("k").alias("_m_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_m_bits"))
+    told = rows.withColumn("_m_k", place(F.col(column))).withColumn("_m_bucket", F.bitmap_bucket_number("_m_k")).join(F.broadcast(maps), "_m_bucket", "left")
+    at = F.bitmap_bit_position("_m_k").cast("int")
+    byte = F.conv(F.hex(F.substring("_m_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, CAST(bitmap_bit_position(_m_k) AS INT) % 8)")) != 0, F.lit(False))
+    return told.filter(~hit if others else hit).drop("_m_k", "_m_bucket", "_m_bits")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.staging import staged, text_of
+from tallyforge.llm.staging import maybe_among, staged, text_of
 
 GRAM = 32  #: a power of two
 CHUNK = 48_000  #: starts that are handled at a time; places in a chunk fit into 16 bits
@@ -239,8 +239,10 @@ def repeated_bytes(docs: DataFrame, width: int = 200, text_column: str = "text")
     each = found.select("d", F.explode(F.arrays_zip("keys", "firsts", "counts")).alias("p")).select("d", F.col("p.keys").alias("key"), F.col("p.firsts").alias("first"), F.col("p.counts").alias("starts"))
     place = F.xxhash64("d", "first")
     often = each.select("key", place.alias("p")).groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high")).filter("low <> high").select("key")
-    parts = each.join(often, "key").groupBy("d").agg(F.collect_set(F.struct("key", "first", "starts")).alias("parts"))
-    texts = staged(rows.join(parts, "d").groupBy("d").agg(F.first("b").alias("b"), F.first("parts").alias("parts")), "repeats")
+    often = staged(often, "keys")
+    parts = maybe_among(each, "key", often).join(often, "key").groupBy("d").agg(F.collect_set(F.struct("key", "first", "starts")).alias("parts"))
+    parts = staged(parts, "parts")
+    texts = staged(maybe_among(rows, "d", parts).join(parts, "d").groupBy("d").agg(F.first("b").alias("b"), F.first("parts").alias("parts")), "repeats")
 
     spots = _contexts(texts, width)
     seen = spots.withColumn("p", F.xxhash64("d", "first")).groupBy("key", "c").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.first("context").alias("context"))
