@@ -1,7 +1,7 @@
 """Links between rows that share keys, and the groups that the links make.
 
 Postings are rows (key, id, info). Two ids that share a key are candidates if ``fits`` holds for their infos at that
-key. A key's ids are never paired with one another: first every id is compared to the key's least id alone, which is
+key. A key's ids are never all paired with one another: first every id is compared to a few of the key's ids, which is
 linear and joins the members of a group of copies; then only keys whose ids still lie in different groups are
 left, and for these the pairs across groups. What the first step has joined needs no further comparison, as groups
 are all that is asked for.
@@ -20,33 +20,39 @@ Fits = Callable[[Column, Column], Column]
 Enough = Callable[[Column, Column, Column], Column]
 
 
-def _pairs(rows: DataFrame, fits: Fits, enough: Enough | None) -> DataFrame:
-    """Pairs (a, b) of rows (a, b, x, y: their infos at a key) that fit at some key; ``enough`` looks at the number of
-    keys that they share, whether they fit there or not."""
+def _pairs(rows: DataFrame, shared: DataFrame, enough: Enough | None) -> DataFrame:
+    """Distinct pairs (a, b) of rows (a, b, x, y: their infos at a key); ``enough`` looks at how many keys of ``shared``
+    they have in common, which are counted for these pairs alone."""
+    found = rows.groupBy("a", "b").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     if enough is None:
-        return rows.filter(fits(F.col("x"), F.col("y"))).select("a", "b").distinct()
-    counted = rows.groupBy("a", "b").agg(F.count("*").alias("c"), F.max(fits(F.col("x"), F.col("y"))).alias("fit"), F.min("x").alias("x"), F.min("y").alias("y"))
-    return counted.filter(F.col("fit") & enough(F.col("c"), F.col("x"), F.col("y"))).select("a", "b")
+        return found.select("a", "b")
+    keys = shared.select("id", "key")
+    mine = found.join(keys.withColumnRenamed("id", "a"), "a").join(keys.withColumnRenamed("id", "b"), ["b", "key"])
+    return mine.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("x").alias("x"), F.min("y").alias("y")).filter(enough(F.col("c"), F.col("x"), F.col("y"))).select("a", "b")
 
 
-def star_pairs(postings: DataFrame, fits: Fits, enough: Enough | None = None, near: Fits | None = None) -> tuple[DataFrame, DataFrame]:
-    """The postings whose key has two ids or more, staged; and the pairs (a, b) of a key's least id and another."""
+def star_pairs(postings: DataFrame, fits: Fits, enough: Enough | None = None, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The postings whose key has two ids or more, staged; and the pairs (a, b) of a key's anchors, its least id and the
+    least by some hashes, with the key's other ids. More anchors leave fewer ids of a group unlinked."""
     often = staged(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
     shared = staged(maybe_among(postings, "key", often).join(often, "key"), "shared")
-    heads = shared.groupBy("key").agg(F.min(F.struct("id", "info")).alias("head"))
-    both = shared.join(heads, "key").filter((F.col("head.id") < F.col("id")) & (near or fits)(F.col("head.info"), F.col("info")))
-    return shared, staged(_pairs(both.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.info").alias("x"), F.col("info").alias("y")), fits, enough), "star")
+    by = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, anchors)]]
+    heads = shared.groupBy("key").agg(F.array(*[F.min_by(F.struct("id", "info"), b) for b in by]).alias("heads")).select("key", F.explode(F.array_distinct("heads")).alias("head"))
+    both = shared.join(heads, "key").filter((F.col("head.id") != F.col("id")) & fits(F.col("head.info"), F.col("info")))
+    pairs = _pairs(both.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.info").alias("x"), F.col("info").alias("y")), shared, enough)
+    once = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")  # two anchors may meet both ways
+    return shared, staged(once, "star")
 
 
-def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits, enough: Enough | None = None, near: Fits | None = None) -> DataFrame:
+def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits, enough: Enough | None = None) -> DataFrame:
     """Pairs (a, b) that share a key across groups (id, group) and weren't tried; ids without a group are their own."""
     named = shared.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     split = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
     left = staged(named.join(split, "key"), "across")
     one, two = left.select("key", F.struct("id", "info", "group").alias("x")), left.select("key", F.struct("id", "info", "group").alias("y"))
-    both = one.join(two, "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & (near or fits)(F.col("x.info"), F.col("y.info")))
-    pairs = _pairs(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.info").alias("x"), F.col("y.info").alias("y")), fits, enough)
-    return staged(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
+    both = one.join(two, "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & fits(F.col("x.info"), F.col("y.info")))
+    pairs = _pairs(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.info").alias("x"), F.col("y.info").alias("y")), shared, enough)
+    return staged(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -70,11 +76,11 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select(F.col("u").alias("id"), F.col("v").alias("group")).union(heads)
 
 
-def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], enough: Enough | None = None, near: Fits | None = None) -> DataFrame:
+def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], enough: Enough | None = None) -> DataFrame:
     """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` keeps the true ones;
-    ``enough`` (of the number of shared keys and the two infos) must hold of them, and spares it the others; ``near`` is
-    what ``fits`` asks at every key alike."""
-    shared, star = star_pairs(postings, fits, enough, near)
+    ``fits`` must hold at some shared key of a true pair, and ``enough`` (of the number of keys they share, and their
+    infos) of the pair; both spare ``verify`` the others."""
+    shared, star = star_pairs(postings, fits, enough)
     first = staged(verify(star), "links")
-    rest = rest_pairs(shared, components(first), star, fits, enough, near)
+    rest = rest_pairs(shared, components(first), star, fits, enough)
     return first.union(staged(verify(rest), "links"))

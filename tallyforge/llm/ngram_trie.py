@@ -201,24 +201,26 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 85, id_column: st
     size_of, place_of = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
     ceiling = lambda share, whole: F.floor((percent * share + (whole - 1)) / whole)
 
-    def near(x: Column, y: Column) -> Column:
-        return 100 * F.least(size_of(x), size_of(y)) >= percent * F.greatest(size_of(x), size_of(y))
+    def least_shared(n: Column, m: Column) -> Column:
+        """Beyond its head a set has one less than the overlap that it needs itself; the rest is shared in the heads."""
+        return F.greatest(ceiling(n + m, 100 + percent) - ceiling(F.greatest(n, m), 100) + 1, F.lit(1))
 
     def fits(x: Column, y: Column) -> Column:
-        n, m = size_of(x), size_of(y)
-        return near(x, y) & (F.least(n - place_of(x), m - place_of(y)) >= ceiling(n + m, 100 + percent))
+        """Whether a key can be the first that two similar sets share: enough members follow, and enough of the heads."""
+        n, m, p, q = size_of(x), size_of(y), place_of(x), place_of(y)
+        head = lambda k: k - ceiling(k, 100) + 1
+        close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+        return close & (F.least(n - p, m - q) >= ceiling(n + m, 100 + percent)) & (F.least(head(n) - p, head(m) - q) >= least_shared(n, m))
 
     def enough(c: Column, x: Column, y: Column) -> Column:
-        """Beyond its head a set has one less than the overlap that it needs itself; the rest must be shared in the heads."""
-        n, m = size_of(x), size_of(y)
-        return c >= ceiling(n + m, 100 + percent) - ceiling(F.greatest(n, m), 100) + 1
+        return c >= least_shared(size_of(x), size_of(y))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
         texts = staged(maybe_among(rows, "id", ids).join(ids, "id", "left_semi"), "texts")
         return verified(pairs, texts, size, percent, heavy)
 
-    links = linked_pairs(postings, fits, verify, enough, near)
+    links = linked_pairs(postings, fits, verify, enough)
     copies = real.join(classes.filter("copies > 1").select("d1", "d2", F.col("x.id").alias("head_id")), ["d1", "d2"]).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
     groups = staged(components(links.union(copies)), "groups")
     found = signed.select("id", "n").join(groups, "id", "left")
