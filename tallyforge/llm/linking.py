@@ -76,11 +76,11 @@ def components(edges: DataFrame) -> DataFrame:
     return found.select(F.col("u").alias("id"), F.col("v").alias("group")).union(heads)
 
 
-def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], enough: Enough | None = None) -> DataFrame:
+def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], enough: Enough | None = None, anchors: int = 4) -> DataFrame:
     """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` keeps the true ones;
     ``fits`` must hold at some shared key of a true pair, and ``enough`` (of the number of keys they share, and their
     infos) of the pair; both spare ``verify`` the others."""
-    shared, star = star_pairs(postings, fits, enough)
+    shared, star = star_pairs(postings, fits, enough, anchors)
     first = staged(verify(star), "links")
     rest = rest_pairs(shared, components(first), star, fits, enough)
     return first.union(staged(verify(rest), "links"))
