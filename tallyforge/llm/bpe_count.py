@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.bpe_tables import SPACE, BpeTables
+from tallyforge.llm.bpe_tables import SPACE, BpeTables, Splitter
 from tallyforge.llm.staging import text_of
 
 SHIFT = 24  #: a heap entry is rank << SHIFT | place; longer pre-tokens use a wider one
@@ -27,6 +27,8 @@ SHIFT = 24  #: a heap entry is rank << SHIFT | place; longer pre-tokens use a wi
 ASCII_WORDS = re.compile("'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 WORDS = regex.compile(rf"'(?:[sdmt]|ll|ve|re)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
+SPLITTER = Splitter(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", ASCII_WORDS, WORDS)
+
 
 def pair_table(tables: BpeTables) -> tuple[list[int], dict[int, int]]:
     """The symbol of each byte, and for a pair ``left << 20 | right`` its ``rank << 20 | joined symbol``."""
@@ -106,7 +108,7 @@ def counter(tables: BpeTables):
             if k % 2:
                 total += 1
             elif part:
-                total += sum([counts[w] for w in (ASCII_WORDS if part.isascii() else WORDS).findall(part)])
+                total += sum([counts[w] for w in SPLITTER.split(part)])
         return total
 
     return count

@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from dataclasses import dataclass, field
 
+from tokenizers import Regex, pre_tokenizers
+
 #: Unicode White_Space, spelled out because engines disagree on what a backslash-s means.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -52,3 +55,19 @@ def pieces(text: str, size: int):
         end = found.start() if found else n
         yield text[at:end]
         at = end
+
+
+class Splitter:
+    """Words of a text by a pattern. ``ascii_words`` and ``words`` say the same as ``pattern`` with tables of their own; a
+    text with code points that these don't know is split with the tokenizers library's tables."""
+
+    def __init__(self, pattern: str, ascii_words, words):
+        self.ascii, self.words = ascii_words, words
+        self.theirs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+    def split(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii.findall(text)
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return [w for w, _ in self.theirs.pre_tokenize_str(text)]
+        return self.words.findall(text)
