@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import normalizers
 
-from tallyforge.llm.bpe_tables import SPACE, BpeTables, pieces
+from tallyforge.llm.bpe_tables import SPACE, BpeTables, Splitter, pieces
 from tallyforge.llm.staging import text_of
 
 SLICE = 1 << 16  #: characters normalised and split at a time
 #: The vocabulary's word patterns, for texts of ASCII only and for all.
 ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+SPLITTER = Splitter(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", ASCII_WORDS, WORDS)
 NORMALIZER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
@@ -156,21 +157,21 @@ class Decoder:
         return self.state.decode(b"", True) if self.byte_level else ""
 
 
-def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tuple[str, str, int, list[int]]]:
-    """For each word or special string of ``text``: its ids in decimal, its decoding, the number of ids, and the ids."""
+def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tuple[str, str, int]]:
+    """For each word or special string of ``text``: its ids in decimal, its decoding, and the number of ids."""
     tables, decoder = transducer.tables, transducer.decoder
     for k, part in enumerate(tables.special_pattern().split(text)):
         if k % 2:
-            yield str(tables.special[part]), part, 1, [tables.special[part]]
+            yield str(tables.special[part]), part, 1
             continue
         for piece in pieces(part, SLICE):
-            words = ASCII_WORDS.findall(piece.lower()) if piece.isascii() else WORDS.findall(NORMALIZER.normalize_str(piece))
+            words = SPLITTER.split(piece.lower() if piece.isascii() else NORMALIZER.normalize_str(piece))
             for w in words:
                 found = cache.get(w)
                 if found is None:
                     ids = transducer.encode(w)
                     decoder.reset()
-                    found = (" ".join(map(str, ids)), decoder.push(ids), len(ids), ids)
+                    found = (" ".join(map(str, ids)), decoder.push(ids), len(ids))
                     if len(w) <= transducer.longest:
                         if len(cache) >= transducer.most:
                             cache.clear()
@@ -181,7 +182,7 @@ def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tupl
 def digests(text: str, transducer: Transducer, cache: dict) -> tuple[int, str, str]:
     """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text; both hashes are fed as tokens settle."""
     n, ids, out = 0, hashlib.sha256(), hashlib.sha256()
-    held: list[tuple[str, str, int, list[int]]] = []
+    held: list[tuple[str, str, int]] = []
     lead = ""
 
     def flush():
@@ -201,6 +202,27 @@ def digests(text: str, transducer: Transducer, cache: dict) -> tuple[int, str, s
     return n, ids.hexdigest(), out.hexdigest()
 
 
+def ids_of(text: str, transducer: Transducer, cache: dict, most: int = 100_000) -> Iterator[list[int]]:
+    """The ids of each word or special string of ``text``; ``cache`` keeps short words' ids, up to ``most``."""
+    special = transducer.tables.special
+    for k, part in enumerate(transducer.tables.special_pattern().split(text)):
+        if k % 2:
+            yield [special[part]]
+            continue
+        for piece in pieces(part, SLICE):
+            for w in SPLITTER.split(piece.lower() if piece.isascii() else NORMALIZER.normalize_str(piece)):
+                ids = cache.get(w)
+                if ids is None:
+                    ids = transducer.encode(w)
+                    if len(w) <= transducer.longest:
+                        if len(cache) >= most:
+                            cache.clear()
+                        cache[w] = ids
+                yield ids
+
+
+ROWS = 128  #: rows whose ids or texts are held at a time
+_IDS: dict = {}  # the same, for ids alone
 _TRANSDUCERS: dict = {}  # one for each vocabulary and worker process
 
 
@@ -233,10 +255,13 @@ def encode(docs: DataFrame, vocabulary: str, text_column: str = "text", ids_colu
     at = rest.columns.index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, cache = _ready(vocabulary, shared)
-        for b in batches:
-            ids = [list(itertools.chain.from_iterable([f[3] for f in encode_text(t.as_py() or "", transducer, cache)])) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, ids_column])
+        transducer, _ = _ready(vocabulary, shared)
+        cache = _IDS.setdefault(vocabulary, {})
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at_row, ROWS)
+                ids = [list(itertools.chain.from_iterable(ids_of(t.as_py() or "", transducer, cache))) for t in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*b.schema.names, ids_column])
 
     return rest.mapInArrow(run, schema.removeprefix("struct<").removesuffix(">"))
 
@@ -250,11 +275,12 @@ def decode(rows: DataFrame, vocabulary: str, ids_column: str = "token_ids", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _ready(vocabulary, shared)[0].decoder
-        for b in batches:
-            out = []
-            for ids in b.column(at):
-                decoder.reset()
-                out.append("".join([decoder.push(ids.as_py() or []), decoder.finish()]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text_column])
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, ROWS):
+                b, out = whole.slice(at_row, ROWS), []
+                for ids in b.column(at):
+                    decoder.reset()
+                    out.append("".join([decoder.push(ids.as_py() or []), decoder.finish()]))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, text_column])
 
     return rest.mapInArrow(run, schema)

@@ -36,7 +36,7 @@ LOCAL, LEAST, MOST = 8, 32, 200_000  #: frequent shingles: uses in a block of do
 class Words(dict):
     """64-bit hashes of words seen by this worker; at ``most`` entries it starts anew."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
