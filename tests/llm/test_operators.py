@@ -91,6 +91,17 @@ def test_line_dedup_against_brute_force(docs):
     assert got == want and sum(n for _, n in got) >= 3
 
 
+def test_lines_of_one_changed_word_meet(spark):
+    rows = []
+    for k in range(60):
+        line = words(1000 + k, 10 + k // 2).split()
+        other = [*line[:4], words(3000 + k, 1), *line[5:]]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(other)), (500 + k, " ".join([*line[:5], words(5000 + k, len(line) - 5)]))]
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] for k in range(60)) >= 57  # nearly all of the similar lines
+    assert not any(got[2 * k] or got[500 + k] for k in range(60))  # and none that only shares half of its words
+
+
 def test_line_rewrite_keeps_columns(docs):
     out = line_dedup.rewrite(docs)
     assert out.columns == docs.columns
