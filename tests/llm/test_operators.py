@@ -302,6 +302,25 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs):
     assert left.columns == docs.columns and left.count() == docs.count()
 
 
+def test_decontamination_judges_long_items_whole(spark):
+    items = [(0, words(300, 59)), (1, words(301, 150)), (2, words(302, 59))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+
+    def changed(k, gone):
+        return " ".join("other" if n in gone else w for n, w in enumerate(items[k][1].split()))
+
+    around = words(310, 60) + " {} " + words(311, 60)
+    rows = [
+        (1, around.format(changed(0, range(12, 34)))),  # 37 of 59 words and the answer
+        (2, around.format(changed(0, [*range(12, 33), 58, 57, 56]))),  # as many, without the answer
+        (3, around.format(changed(1, range(0, 145, 3)))),  # two thirds of 150 words and the answer
+        (4, around.format(" ".join(items[1][1].split()[:60]))),  # 40 % of the item
+        (5, items[2][1]),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.item_words, r.answer_found) for r in got) == [(1, 0, 59, True), (3, 1, 150, True), (5, 2, 59, True)]
+
+
 def test_lcs():
     assert decontaminate.lcs(b"a b c d e".split(), b"x a y c e b".split()) == 3
     assert decontaminate.lcs(b"a".split(), []) == 0
