@@ -102,6 +102,13 @@ def test_lines_of_one_changed_word_meet(spark):
     assert not any(got[2 * k] or got[500 + k] for k in range(60))  # and none that only shares half of its words
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    chinese = "数据管道会删除重复的行但是保留每一组里面最早出现的那一行文字"
+    rows = [(1, "Read more\n" + chinese), (2, "read  more!\n" + chinese), (3, chinese.replace("最早", "最先")), (4, "one word\nHome"), (5, "home\n\n..."), (6, "one ward\n\n...")]
+    got = {r.doc_id: r.n_removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 2, 3: 1, 4: 0, 5: 1, 6: 0}
+
+
 def test_line_rewrite_keeps_columns(docs):
     out = line_dedup.rewrite(docs)
     assert out.columns == docs.columns
