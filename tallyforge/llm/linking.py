@@ -1,10 +1,11 @@
 """Links between rows that share keys, and the groups that the links make.
 
-Postings are rows (key, id, info). Two ids that share a key are candidates if ``fits`` holds for their infos at that
-key. A key's ids are never all paired with one another: first every id is compared to a few of the key's ids, which is
+Postings are rows (key, id, info), all numbers. Two ids that share a key are candidates if ``fits`` holds for their infos at
+that key. A key's ids are never all paired with one another: first every id is compared to a few of the key's ids, which is
 linear and joins the members of a group of copies; then only keys whose ids still lie in different groups are
 left, and for these the pairs across groups. What the first step has joined needs no further comparison, as groups
-are all that is asked for.
+are all that is asked for. How many pairs are left to the second step is a matter of how rare the keys are that rows
+share without being alike, so callers make their keys of several features each.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.staging import maybe_among, staged
+from tallyforge.llm.staging import Workspace, maybe_among
 
 Fits = Callable[[Column, Column], Column]
 Enough = Callable[[Column, Column, Column], Column]
@@ -31,56 +32,71 @@ def _pairs(rows: DataFrame, shared: DataFrame, enough: Enough | None) -> DataFra
     return mine.groupBy("a", "b").agg(F.count("*").alias("c"), F.min("x").alias("x"), F.min("y").alias("y")).filter(enough(F.col("c"), F.col("x"), F.col("y"))).select("a", "b")
 
 
-def star_pairs(postings: DataFrame, fits: Fits, enough: Enough | None = None, anchors: int = 4) -> tuple[DataFrame, DataFrame]:
-    """The postings whose key has two ids or more, staged; and the pairs (a, b) of a key's anchors, its least id and the
-    least by some hashes, with the key's other ids. More anchors leave fewer ids of a group unlinked."""
-    often = staged(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
-    shared = staged(maybe_among(postings, "key", often).join(often, "key"), "shared")
+def shared_postings(postings: DataFrame, work: Workspace) -> DataFrame:
+    """The postings whose key has two ids or more, staged."""
+    often = work.staged(postings.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "keys")
+    shared = work.staged(maybe_among(postings, "key", often).join(often, "key"), "shared")
+    work.drop(often)
+    return shared
+
+
+def star_pairs(shared: DataFrame, fits: Fits, work: Workspace, enough: Enough | None = None, anchors: int = 4) -> DataFrame:
+    """The pairs (a, b) of a key's anchors, its least id and the least by some hashes, with the key's other ids. More
+    anchors leave fewer ids of a group unlinked."""
     by = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, anchors)]]
     heads = shared.groupBy("key").agg(F.array(*[F.min_by(F.struct("id", "info"), b) for b in by]).alias("heads")).select("key", F.explode(F.array_distinct("heads")).alias("head"))
     both = shared.join(heads, "key").filter((F.col("head.id") != F.col("id")) & fits(F.col("head.info"), F.col("info")))
-    pairs = _pairs(both.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.info").alias("x"), F.col("info").alias("y")), shared, enough)
-    once = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).groupBy("low", "high").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")  # two anchors may meet both ways
-    return shared, staged(once, "star")
+    low, high = F.least("head.id", "id"), F.greatest("head.id", "id")  # two anchors may meet both ways
+    turned = F.col("head.id") > F.col("id")
+    x, y = F.when(turned, F.col("info")).otherwise(F.col("head.info")), F.when(turned, F.col("head.info")).otherwise(F.col("info"))
+    return work.staged(_pairs(both.select(low.alias("a"), high.alias("b"), x.alias("x"), y.alias("y")), shared, enough), "star")
 
 
-def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits, enough: Enough | None = None) -> DataFrame:
+def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits, work: Workspace, enough: Enough | None = None) -> DataFrame:
     """Pairs (a, b) that share a key across groups (id, group) and weren't tried; ids without a group are their own."""
     named = shared.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     split = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    left = staged(named.join(split, "key"), "across")
+    left = work.staged(named.join(split, "key"), "across")
     one, two = left.select("key", F.struct("id", "info", "group").alias("x")), left.select("key", F.struct("id", "info", "group").alias("y"))
     both = one.join(two, "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & fits(F.col("x.info"), F.col("y.info")))
     pairs = _pairs(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.info").alias("x"), F.col("y.info").alias("y")), shared, enough)
-    return staged(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
+    rest = work.staged(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
+    work.drop(left)
+    return rest
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, group): the least id that can be reached from each id on an edge (a, b). Large-star and small-star steps
-    in turn, each a grouping and a join on staged edges, until the edges no longer change."""
-    found = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+def components(edges: DataFrame, work: Workspace) -> DataFrame:
+    """(id, group), staged: the least id that can be reached from each id on an edge (a, b). Large-star and small-star
+    steps in turn on staged edges, until these no longer change. A node's least neighbour is a small table of
+    its own, so that Spark can split the join of a node with very many edges."""
+    found = work.staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     before = mark(found)
     while before[0]:
         both = found.union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = work.staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = work.staged(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        found = staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = mark(found)
+        after_edges = work.staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        work.drop(found, least, large)
+        found, after = after_edges, mark(after_edges)
         if after == before:
             break
         before = after
     heads = found.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct()
-    return found.select(F.col("u").alias("id"), F.col("v").alias("group")).union(heads)
+    groups = work.staged(found.select(F.col("u").alias("id"), F.col("v").alias("group")).union(heads), "groups")
+    work.drop(found)
+    return groups
 
 
-def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], enough: Enough | None = None, anchors: int = 4) -> DataFrame:
-    """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` keeps the true ones;
+def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], work: Workspace, enough: Enough | None = None, anchors: int = 4) -> DataFrame:
+    """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` stages the true ones;
     ``fits`` must hold at some shared key of a true pair, and ``enough`` (of the number of keys they share, and their
     infos) of the pair; both spare ``verify`` the others."""
-    shared, star = star_pairs(postings, fits, enough, anchors)
-    first = staged(verify(star), "links")
-    rest = rest_pairs(shared, components(first), star, fits, enough)
-    return first.union(staged(verify(rest), "links"))
+    shared = shared_postings(postings, work)
+    star = star_pairs(shared, fits, work, enough, anchors)
+    first = verify(star)
+    rest = rest_pairs(shared, components(first, work), star, fits, work, enough)
+    work.drop(shared, star)
+    return first.union(verify(rest))

@@ -11,7 +11,7 @@ without a change of results, is sent to all executors.
 
 Defined results: a null or wordless text has the empty set, n_shingles 0, and links to nothing; a row with a null id
 takes part in no link and its component is null; rows that repeat an id count as one document with all their links;
-other columns are ignored, whatever their names. Hashes stand for shingles: two different shingles of two compared
+other columns are ignored or pass through, whatever their names but those that begin with ``P``. Hashes stand for shingles: two different shingles of two compared
 documents agree with probability 2^-63 a pair.
 """
 
@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.linking import components, linked_pairs
-from tallyforge.llm.staging import maybe_among, staged, text_of
+from tallyforge.llm.staging import Workspace, maybe_among, text_of
 
+P = "_n_"  #: prefix of working columns
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]  # odd multipliers
 HEAVY = np.uint64(1 << 63)
 LOCAL, LEAST, MOST = 8, 32, 200_000  #: frequent shingles: uses in a block of documents, in all, and how many are ordered
@@ -123,32 +124,37 @@ def signatures(docs: DataFrame, size: int, percent: int, heavy) -> DataFrame:
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["id", "n", "d1", "d2", "head"])
 
-    return staged(docs.mapInArrow(run, "id long, n long, d1 long, d2 long, head array<long>"), "shingles")
+    return docs.mapInArrow(run, "id long, n long, d1 long, d2 long, head array<long>")
 
 
 def similar(members: list[tuple[int, np.ndarray]], anchor: np.ndarray, percent: int) -> list[int]:
-    """Ids of ``members`` whose set is similar enough to ``anchor``, by one traversal of the members' trie."""
+    """Ids of ``members`` whose set is similar enough to ``anchor``, by one traversal of the members' trie: in the order
+    of a walk through it, a member goes on from where it leaves the path of the one before. ``path[d]`` is the overlap of
+    the first d members. Where the overlap so far and what remains on either side can't reach the threshold, the
+    subtree is left, and members that begin with the same path are told at its end."""
     n, out = len(anchor), []
     members.sort(key=lambda m: m[1].tobytes())  # any order that keeps equal beginnings together
-    before, path = np.empty(0, np.uint64), np.zeros(1, np.int64)  # path[d]: overlap of the first d members
+    before, path, place = np.empty(0, np.uint64), np.zeros(1, np.int64), 0  # place: members of the anchor up to the path's end
     for i, s in members:
         m = len(s)
         need = -(-percent * (n + m) // (100 + percent))
         if need > min(n, m):
             continue
-        k = min(len(before), m)
+        k = min(len(before), m, len(path) - 1)
         differs = np.flatnonzero(before[:k] != s[:k])
         depth = int(differs[0]) if len(differs) else k
-        depth = min(depth, len(path) - 1)
-        parts, so_far, stop = [path[: depth + 1]], int(path[depth]), False
+        so_far = int(path[depth])
+        if so_far + min(m - depth, n - (place if depth == len(path) - 1 else so_far)) < need:
+            continue  # the path that is kept is a beginning of this member too, or shorter
+        parts, stop = [path[: depth + 1]], False
         for at in range(depth, m, 256):
             part = s[at : at + 256]
-            place = np.searchsorted(anchor, part)
-            hit = anchor[np.minimum(place, n - 1)] == part
+            found = np.searchsorted(anchor, part)
+            hit = anchor[np.minimum(found, n - 1)] == part
             parts.append(so_far + np.cumsum(hit))
-            so_far = int(parts[-1][-1])
-            if so_far + min(m - at - len(part), n - int(place[-1])) < need:
-                stop = True  # the rest of this subtree can't reach the threshold
+            so_far, place = int(parts[-1][-1]), int(found[-1]) + int(hit[-1])
+            if so_far + min(m - at - len(part), n - place) < need:
+                stop = True
                 break
         before, path = s, np.concatenate(parts)
         if not stop and 100 * so_far >= percent * (n + m - so_far):
@@ -193,42 +199,46 @@ def near_copies(docs: DataFrame, size: int = 4, percent: int = 85, id_column: st
     """For each row: its id, the size of its shingle set, and the least id that links reach from it."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     heavy = docs.sparkSession.sparkContext.broadcast(frequent(rows, size))
-    signed = signatures(rows, size, percent, heavy)
-    real = signed.filter("n > 0 AND id IS NOT NULL")
-    classes = staged(real.groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "head")).alias("x"), F.count("*").alias("copies")), "classes")
-    postings = classes.select("x.*").select(F.col("id"), "n", F.posexplode("head").alias("at", "key")).select("key", "id", (F.shiftleft("n", 32) + F.col("at")).alias("info"))  # size and place in one number
-
-    size_of, place_of = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
-    ceiling = lambda share, whole: F.floor((percent * share + (whole - 1)) / whole)
-
-    def least_shared(n: Column, m: Column) -> Column:
-        """Beyond its head a set has one less than the overlap that it needs itself; the rest is shared in the heads."""
-        return F.greatest(ceiling(n + m, 100 + percent) - ceiling(F.greatest(n, m), 100) + 1, F.lit(1))
-
-    def fits(x: Column, y: Column) -> Column:
-        """Whether a key can be the first that two similar sets share: enough members follow, and enough of the heads."""
-        n, m, p, q = size_of(x), size_of(y), place_of(x), place_of(y)
-        head = lambda k: k - ceiling(k, 100) + 1
-        close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-        return close & (F.least(n - p, m - q) >= ceiling(n + m, 100 + percent)) & (F.least(head(n) - p, head(m) - q) >= least_shared(n, m))
-
-    def enough(c: Column, x: Column, y: Column) -> Column:
-        return c >= least_shared(size_of(x), size_of(y))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        texts = staged(maybe_among(rows, "id", ids).join(ids, "id", "left_semi"), "texts")
-        return verified(pairs, texts, size, percent, heavy)
-
-    links = linked_pairs(postings, fits, verify, enough)
-    copies = real.join(classes.filter("copies > 1").select("d1", "d2", F.col("x.id").alias("head_id")), ["d1", "d2"]).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
-    groups = staged(components(links.union(copies)), "groups")
-    found = signed.select("id", "n").join(groups, "id", "left")
+    with Workspace(docs.sparkSession, "ngrams") as work:
+        whole = work.staged(signatures(rows, size, percent, heavy), "shingles")
+        classes = work.staged(whole.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("id", "n", "head")).alias("x"), F.count("*").alias("copies")), "classes")
+        signed = work.staged(whole.drop("head"), "sizes")
+        work.drop(whole)
+        postings = classes.select("x.*").select(F.col("id"), "n", F.posexplode("head").alias("at", "key")).select("key", "id", (F.shiftleft("n", 32) + F.col("at")).alias("info"))  # size and place in one number
+
+        size_of, place_of = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))
+        ceiling = lambda share, whole: F.floor((percent * share + (whole - 1)) / whole)
+
+        def least_shared(n: Column, m: Column) -> Column:
+            """Beyond its head a set has one less than the overlap that it needs itself; the rest is shared in the heads."""
+            return F.greatest(ceiling(n + m, 100 + percent) - ceiling(F.greatest(n, m), 100) + 1, F.lit(1))
+
+        def fits(x: Column, y: Column) -> Column:
+            """Whether a key can be the first that two similar sets share: enough members follow, and enough of the heads."""
+            n, m, p, q = size_of(x), size_of(y), place_of(x), place_of(y)
+            head = lambda k: k - ceiling(k, 100) + 1
+            close = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+            return close & (F.least(n - p, m - q) >= ceiling(n + m, 100 + percent)) & (F.least(head(n) - p, head(m) - q) >= least_shared(n, m))
+
+        def enough(c: Column, x: Column, y: Column) -> Column:
+            return c >= least_shared(size_of(x), size_of(y))
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            ids = work.staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+            texts = work.staged(maybe_among(rows, "id", ids).join(ids, "id", "left_semi"), "texts")
+            links = work.staged(verified(pairs, texts, size, percent, heavy), "links")
+            work.drop(ids, texts)
+            return links
+
+        links = linked_pairs(postings, fits, verify, work, enough)
+        copies = signed.filter("n > 0 AND id IS NOT NULL").join(classes.filter("copies > 1").select("d1", "d2", F.col("x.id").alias("head_id")), ["d1", "d2"]).select(F.col("head_id").alias("a"), F.col("id").alias("b"))
+        groups = components(links.union(copies), work)
+        found = work.keep(work.staged(signed.select("id", "n").join(groups, "id", "left"), "components"))
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("group", "id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the least id of each group of near copies. Rows that repeat an id stay or go together."""
     found = near_copies(docs, size, percent, id_column, text_column)
-    gone = staged(found.filter(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("_n_id")).distinct(), "copies")
-    return docs.join(gone, F.col(id_column).cast("long") == F.col("_n_id"), "left_anti")
+    gone = found.filter(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias(P + "id")).distinct()
+    return docs.join(gone, F.col(id_column).cast("long") == F.col(P + "id"), "left_anti")

@@ -8,26 +8,65 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Shuffle files go as soon as the table that they were for is written.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests, one machine), a temporary one that is then set."""
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a local session (tests, one machine) gets a temporary
+    one, which is then set; on a cluster it must be set, as executors don't share local folders."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isDefined():
             folder = jsc.getCheckpointDir().get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             folder = tempfile.mkdtemp(prefix="spark-stage-")
             spark.sparkContext.setCheckpointDir(folder)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: later steps start from files, not from lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Workspace:
+    """The tables of one run of an operator. ``drop`` removes those that are no longer read; at the end of the ``with``
+    block all go but those that were given to ``keep``, which the caller's DataFrame still reads."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet to the shared folder and read back: later steps start from files, not from lineage."""
+        path = f"{self.folder}/{len(self.tables)}-{name}"
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(SHUFFLE_CLEANUP) if before is None else self.spark.conf.set(SHUFFLE_CLEANUP, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes the files of ``tables``, which nothing reads any more."""
+        gone = {id(t) for t in tables}
+        for _, path in (t for t in self.tables if id(t[0]) in gone):
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+        self.tables = [t for t in self.tables if id(t[0]) not in gone]
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """``table`` stays when the block ends."""
+        self.tables = [t for t in self.tables if t[0] is not table]
+        return table
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[t for t, _ in self.tables])
 
 
 def text_of(column: str = "text"):
@@ -35,9 +74,17 @@ def text_of(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, others: bool = False, bits: int = 1 << 24) -> DataFrame:
-    """The ``rows`` whose ``column`` may be in the first column of ``wanted``, and few others, or with ``others`` all rows
-    but these: a bitmap of hashes, two megabytes whatever the data, travels to all tasks. A true join then shuffles little."""
+BITS_A_KEY, MOST_BITS = 16, 1 << 27  #: of a bitmap of keys: its bits for each of them, and the most it has (16 MB)
+
+
+def maybe_among(rows: DataFrame, column: str, wanted: DataFrame, others: bool = False) -> DataFrame:
+    """The ``rows`` whose ``column`` may be in the first column of the staged ``wanted``, and few others, or with
+    ``others`` all rows but these. A bitmap of hashes, ``BITS_A_KEY`` for each key, travels to all tasks, so that a join
+    which follows shuffles little; beyond ``MOST_BITS`` it would say less and less, and the join alone decides."""
+    n = wanted.count()
+    if n * BITS_A_KEY > MOST_BITS:
+        return rows.filter(F.lit(False)) if others else rows
+    bits = 1 << max(16, (n * BITS_A_KEY - 1).bit_length())
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     marks = wanted.select(place(F.col(wanted.columns[0])).alias("k"))
     maps = marks.groupBy(F.bitmap_bucket_number("k").alias("_m_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("k")).alias("_m_bits"))

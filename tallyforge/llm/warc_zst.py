@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.staging import staged, text_of
+from tallyforge.llm.staging import Workspace, text_of
 
 MAGIC = 0x184D2A5D  #: the skippable frame that holds the dictionary
 DICT_MAGIC, FRAME_MAGIC = b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
@@ -173,7 +173,8 @@ def write_archives(pages: DataFrame, archive_bytes: int = 1 << 20, id_column: st
         if held:
             yield out()
 
-    return staged(told.mapInArrow(run, "path string, content binary"), "warc")
+    with Workspace(pages.sparkSession, "warc") as work:
+        return work.keep(work.staged(told.mapInArrow(run, "path string, content binary"), "archives"))
 
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
