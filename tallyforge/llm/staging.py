@@ -35,10 +35,12 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.tables: list[tuple[DataFrame, str]] = []
+        self.written = 0
 
     def staged(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written as Parquet to the shared folder and read back: later steps start from files, not from lineage."""
-        path = f"{self.folder}/{len(self.tables)}-{name}"
+        self.written += 1
+        path = f"{self.folder}/{self.written}-{name}"
         before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
         try:
