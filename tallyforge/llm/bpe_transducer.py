@@ -1,10 +1,13 @@
 """Byte-pair encoding as a transducer with bounded lookahead, and decoding as a state machine.
 
-How far does the future reach back? A symbol that comes later can change an earlier token only through a chain of
-merges of rising rank, each of which takes away or makes the right part of the next. The longest such chain in the
-merge list, times the longest token, bounds the reach: a token that ends further back than that is stable. The
-encoder reads symbols, keeps at most twice that many, and emits tokens once they are stable; what is left starts at
-a token's edge, and no merge crosses that, so it may be encoded alone.
+How far does the future reach back? What comes later can change a token only through a merge that takes it, or a part at
+its end, as the left part. Whether the right part of that merge is there may depend on what follows it in turn, through
+merges of lower rank. Going through the merge list in order of rank gives for each token the number of symbols after it
+that such a chain can cover at most: the sum of the lengths of its right parts. A token with as many symbols after it is
+stable. The encoder reads symbols, emits tokens once they are stable and holds the rest, never much more than the longest
+reach; what is left starts at a token's edge, and no merge crosses that, so it may be encoded alone.
+
+The decoder turns ids into text bit by bit, in whatever portions they come.
 
 Defined results: a null text is empty (no ids, empty decoding); repeated rows give repeated rows; a null id stays
 null; other columns are ignored, whatever their names.
@@ -17,7 +20,7 @@ import hashlib
 import heapq
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -29,6 +32,7 @@ from tallyforge.llm.bpe_tables import SPACE, BpeTables, Splitter, pieces
 from tallyforge.llm.staging import text_of
 
 SLICE = 1 << 16  #: characters normalised and split at a time
+STEP = 64  #: symbols read before those held are encoded again
 #: The vocabulary's word patterns, for texts of ASCII only and for all.
 ASCII_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -36,16 +40,14 @@ SPLITTER = Splitter(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
 
 
-def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
-    """Symbols after a token that can still change it, at most."""
-    chain: dict[str, int] = {}  # longest chain so far whose last merge takes the token as its left part, or makes it
-    longest, width = 0, 1
+def sufficient_lookahead(merges: list[tuple[str, str]], width: Callable[[str], int] = len) -> dict[str, int]:
+    """For each token that some merge takes or makes, the symbols after it that can still change it, at most."""
+    reach: dict[str, int] = {}
     for a, b in merges:
-        n = 1 + chain.get(b, 0)
-        longest, width = max(longest, n), max(width, len(a + b))
-        chain[a] = max(chain.get(a, 0), n)
-        chain[a + b] = max(chain.get(a + b, 0), n)
-    return (longest + 1) * width
+        beyond = reach.get(b, 0)  # of the right part, through merges of lower rank
+        reach[a] = max(reach.get(a, 0), width(b) + beyond)
+        reach[a + b] = max(reach.get(a + b, 0), beyond)
+    return reach
 
 
 class Transducer:
@@ -56,7 +58,7 @@ class Transducer:
         self.ranks = {}
         for rank, pair in enumerate(tables.merges):
             self.ranks.setdefault(pair, rank)
-        self.lookahead = sufficient_lookahead(tables.merges)
+        self.lookahead = sufficient_lookahead(tables.merges, self.width)
         self.decoder = Decoder(tables)
 
     def settle(self, symbols: list[str]) -> list[str]:
@@ -97,19 +99,20 @@ class Transducer:
 
     def tokens(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a stream of symbols, each given out once nothing that follows can change it."""
-        k, held = self.lookahead, []
+        reach, held, full = self.lookahead, [], STEP
         for symbol in symbols:
             held.append(symbol)
-            if len(held) < 2 * k:
+            if len(held) < full:
                 continue
             at = 0
             for token in self.settle(held):
-                width = self.width(token)
-                if at + width > len(held) - k:
+                end = at + self.width(token)
+                if end + reach.get(token, 0) >= len(held):  # the last held symbol may still become another one's part
                     break
-                at += width
+                at = end
                 yield token
             del held[:at]
+            full = len(held) + STEP
         yield from self.settle(held)
 
     def width(self, token: str) -> int:
@@ -145,7 +148,7 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def push(self, ids: Iterable[int]) -> str:
-        names = [self.names[i] for i in ids]
+        names = list(map(self.names.__getitem__, ids))
         if not self.byte_level:
             text = " ".join(names)
             out = f" {text}" if self.started and names else text
@@ -157,12 +160,12 @@ class Decoder:
         return self.state.decode(b"", True) if self.byte_level else ""
 
 
-def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tuple[str, str, int]]:
-    """For each word or special string of ``text``: its ids in decimal, its decoding, and the number of ids."""
-    tables, decoder = transducer.tables, transducer.decoder
+def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tuple[str, list[int]]]:
+    """For each word or special string of ``text``: its ids in decimal, and the ids."""
+    tables = transducer.tables
     for k, part in enumerate(tables.special_pattern().split(text)):
         if k % 2:
-            yield str(tables.special[part]), part, 1
+            yield str(tables.special[part]), [tables.special[part]]
             continue
         for piece in pieces(part, SLICE):
             words = SPLITTER.split(piece.lower() if piece.isascii() else NORMALIZER.normalize_str(piece))
@@ -170,8 +173,7 @@ def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tupl
                 found = cache.get(w)
                 if found is None:
                     ids = transducer.encode(w)
-                    decoder.reset()
-                    found = (" ".join(map(str, ids)), decoder.push(ids), len(ids))
+                    found = (" ".join(map(str, ids)), ids)
                     if len(w) <= transducer.longest:
                         if len(cache) >= transducer.most:
                             cache.clear()
@@ -180,26 +182,19 @@ def encode_text(text: str, transducer: Transducer, cache: dict) -> Iterator[tupl
 
 
 def digests(text: str, transducer: Transducer, cache: dict) -> tuple[int, str, str]:
-    """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text; both hashes are fed as tokens settle."""
-    n, ids, out = 0, hashlib.sha256(), hashlib.sha256()
-    held: list[tuple[str, str, int]] = []
-    lead = ""
-
-    def flush():
-        nonlocal n, lead
-        n += sum([h[2] for h in held])
-        ids.update((lead + " ".join([h[0] for h in held])).encode())
-        out.update((lead + " ".join([h[1] for h in held])).encode())
-        held.clear()
-        lead = " "
-
-    for found in encode_text(text, transducer, cache):
-        held.append(found)
-        if len(held) >= 4096:
-            flush()
-    if held:
-        flush()
-    return n, ids.hexdigest(), out.hexdigest()
+    """Number of ids, SHA-256 of the ids in decimal, SHA-256 of the text that they decode to; ids are hashed and decoded
+    in portions, as they come."""
+    n, hashed, decoded = 0, hashlib.sha256(), hashlib.sha256()
+    decoder, lead = transducer.decoder, ""
+    decoder.reset()
+    found = encode_text(text, transducer, cache)
+    while held := list(itertools.islice(found, 4096)):
+        ids = list(itertools.chain.from_iterable([h[1] for h in held]))
+        hashed.update((lead + " ".join([h[0] for h in held])).encode())
+        decoded.update(decoder.push(ids).encode())
+        n, lead = n + len(ids), " "
+    decoded.update(decoder.finish().encode())
+    return n, hashed.hexdigest(), decoded.hexdigest()
 
 
 def ids_of(text: str, transducer: Transducer, cache: dict, most: int = 100_000) -> Iterator[list[int]]:

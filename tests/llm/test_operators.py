@@ -211,6 +211,23 @@ def test_tokens_equal_the_library(coders, text):
     assert count(text) == len(other.encode(text, add_special_tokens=False).ids)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["the", "er", "in", "a", "tion", "s", "qu", "ing", "an", "e", "th", "on", "x"]), min_size=60, max_size=200).map("".join) | st.text("etaoinshrdlu", min_size=130, max_size=400))
+def test_emitted_tokens_stay(coders, word):
+    library, transducer, *_ = coders
+    held, seen = [], [0]
+
+    def symbols():
+        for k, x in enumerate(transducer.symbols(word)):
+            seen[0] = k
+            yield x
+
+    for token in transducer.tokens(symbols()):
+        held.append((token, seen[0]))
+    assert [transducer.tables.ids[t] for t, _ in held] == library.encode(word, add_special_tokens=False).ids
+    assert held[0][1] < len(word) - 1  # the first is out before the word has ended
+
+
 def test_long_words_stream(coders):
     library, transducer, cache, other, count = coders
     for text in ("ab" * 9000, "x" * 12000, "".join(random.Random(1).choice("etaoinsh") for _ in range(12000))):
