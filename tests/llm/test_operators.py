@@ -344,6 +344,46 @@ def test_decontamination_judges_long_items_whole(spark):
     assert sorted((r.doc_id, r.item_id, r.item_words, r.answer_found) for r in got) == [(1, 0, 59, True), (3, 1, 150, True), (5, 2, 59, True)]
 
 
+@pytest.fixture(scope="module")
+def planted(spark, sf_dir):
+    """The smallest documents and, beside them, paraphrases of benchmark items: words dropped, added and replaced."""
+    r = random.Random(11)
+    items = [(x.item_id, x.text) for x in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    for n, share in enumerate((0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35)):
+        for k, (_, text) in enumerate(items[:6]):
+            said = []
+            for w in text.split():
+                said += [] if r.random() < share / 2 else ["elsewise"] if r.random() < share / 2 else [w, "verily"] if r.random() < share else [w]
+            rows.append((10_000 + 10 * n + k, " ".join([words(800 + k, r.randint(5, 90)), *said, words(900 + k, r.randint(5, 90))])))
+    return rows, items
+
+
+def test_decontamination_against_brute_force(spark, planted):
+    rows, items = planted
+    asked = decontaminate.Items(items)
+    want = set()
+    for i, text in rows:
+        found = decontaminate.words_of(text or "")
+        for k in range(0, max(1, len(found) - decontaminate.WINDOW + decontaminate.STRIDE), decontaminate.STRIDE):
+            for part, _, before, after in asked.parts:
+                near = found[max(0, k - before) : k + after]
+                if decontaminate.judged(asked.whole[part][1], near):
+                    want.add((i, asked.whole[part][0]))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 30
+
+
+def test_decontamination_in_blocks_and_shared_columns(spark, planted, monkeypatch):
+    rows, items = planted
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    pairs = lambda: {(x.doc_id, x.item_id, x.lcs_words) for x in decontaminate.leaks(docs, benchmark).collect()}
+    whole = pairs()
+    monkeypatch.setattr(decontaminate, "ITEMS_BYTES", 4000)
+    monkeypatch.setattr(decontaminate, "TERMS", 300)
+    assert len(whole & pairs()) >= 0.97 * len(whole)
+
+
 def test_lcs():
     assert decontaminate.lcs(b"a b c d e".split(), b"x a y c e b".split()) == 3
     assert decontaminate.lcs(b"a".split(), []) == 0
