@@ -51,8 +51,8 @@ def after_tax(yearly: Column, years: int, rate_hold: Column, rate_short: Column)
 
 
 def profit_zone(nupl: Column) -> Column:
-    """Bands of net unrealised profit and loss."""
-    return F.when(nupl < 0, "capitulation").when(nupl < 0.25, "hope").when(nupl < 0.5, "optimism").when(nupl < 0.75, "belief").otherwise("euphoria")
+    """Bands of net unrealised profit and loss (fixed values)."""
+    return F.when(nupl < 0, "Capitulation").when(nupl < 0.25, "Hope/Fear").when(nupl < 0.5, "Optimism/Anxiety").when(nupl < 0.75, "Belief/Denial").otherwise("Euphoria/Greed")
 
 
 def implied_growth(price: Column, earnings: Column, discount: float, years: int, terminal_pe: float) -> Column:

@@ -26,35 +26,154 @@ def yoy(now: Column, then: Column) -> Column:
     return F.when(then != 0, (now / then - 1) * 100)
 
 
+def cagr(ratio: Column, years: int) -> Column:
+    """Yearly percent of growth by ``ratio`` over ``years``."""
+    return (F.pow(F.greatest(ratio, F.lit(1e-9)), 1.0 / years) - 1) * 100
+
+
+def split_safe_yoy(now: Column, then: Column, shares: Column, was: Column) -> Column:
+    """Growth in a value by the share, null where the shares moved by over 40 percent, which is a split."""
+    split = F.coalesce((was > 0) & (F.abs(shares / F.nullif(was, F.lit(0.0)) - 1) * 100 > 40), F.lit(False))
+    return F.when((then != 0) & ~split, (now / F.nullif(then, F.lit(0.0)) - 1) * 100)
+
+
+def share_cut(shares: Column, prior: Column, was: Column) -> Column:
+    """Percent by which the shares fell: on the year before as the same filing tells it, else on an older filing's, if by 40 at most."""
+    step = F.when(was > 0, (shares / F.nullif(was, F.lit(0.0)) - 1) * 100)
+    return F.when(prior.isNotNull(), -yoy(shares, F.nullif(prior, F.lit(0.0)))).otherwise(F.when(F.abs(step) <= 40, -step))
+
+
+def return_on_capital(revenue: Column, op_margin: Column, net_margin: Column, roe: Column, roa: Column, net_debt: Column) -> Column:
+    """Operating income over invested capital (equity by the return on it, and net debt); where that isn't known or above 0, over
+    assets by the return on these, if above 0."""
+    ebit, net = op_margin / 100 * revenue, net_margin / 100 * revenue
+    capital = net / (F.nullif(roe, F.lit(0.0)) / 100) + net_debt
+    assets = net / (F.nullif(roa, F.lit(0.0)) / 100)
+    return ebit / F.when(capital > 0, capital).otherwise(F.when(assets > 0, assets)) * 100
+
+
 def factors(asked: DataFrame, filings: DataFrame, years: int = 2) -> DataFrame:
-    """Factors at each cutoff from three as-of lookups: growth in revenue over ``years`` and the last year and their
-    difference, margin trend, buyback (share change turned round, not across steps over 40 %), margin stability."""
+    """Factors at each cutoff from three as-of lookups (now, ``years`` and one year before) and from the filings known then:
+    growth in revenue, assets (turned round) and earnings by the share, trend and stability of margins, buyback, returns, the gap
+    between earnings and free cash flow, and levels as filed. Growth in earnings chains each filing's own prior value over
+    ``years`` filings; without these it compares the ends, if no step over 40 percent in shares lies between."""
     cut = as_of(as_of(as_of(asked.select("ticker", "cutoff"), filings).withColumnRenamed("f", "now"), filings, years * 365).withColumnRenamed("f", "then"), filings, 365).withColumnRenamed("f", "ago")
-    known = asked.select("ticker", "cutoff").join(filings.select("ticker", "filed", "period_end", "net_margin"), "ticker").filter("filed <= cutoff")
-    w = Window.partitionBy("ticker", "cutoff").orderBy(F.desc("period_end"))
-    margins = known.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= years + 1).groupBy("ticker", "cutoff").agg(F.when(F.count("net_margin") >= 3, -F.stddev_samp("net_margin")).alias("margin_stability"))
-    growth = F.when(F.col("then.revenue") > 0, (F.pow(F.col("now.revenue") / F.col("then.revenue"), 1.0 / years) - 1) * 100)
-    year = yoy(F.col("now.revenue"), F.col("ago.revenue"))
-    step = F.col("now.shares") / F.nullif(F.col("ago.shares"), F.lit(0.0)) - 1
-    out = cut.join(margins, ["ticker", "cutoff"], "left")
-    return out.select(
-        "ticker", "cutoff", F.col("now.period_end").alias("period_end"), F.round(growth, 6).alias("rev_cagr"), F.round(year, 6).alias("rev_1y"), F.round(year - growth, 6).alias("rev_accel"),
-        F.round(F.col("now.net_margin") - F.col("then.net_margin"), 6).alias("margin_trend"), F.round(F.when(F.abs(step) <= 0.4, -step * 100), 6).alias("buyback"), F.round("margin_stability", 6).alias("margin_stability"),
+    known = asked.select("ticker", "cutoff").join(filings.select("ticker", "filed", "period_end", "net_margin", "eps", "prior_eps", "shares"), "ticker").filter("filed <= cutoff")
+    w = Window.partitionBy("ticker", "cutoff")
+    known = known.withColumn("m", F.row_number().over(w.orderBy(F.col("net_margin").isNull(), F.desc("period_end"))))
+    near, late = F.col("period_end") > F.date_sub("cutoff", (years + 1) * 365), F.col("period_end") >= F.date_sub("cutoff", years * 365)
+    known = known.withColumns({"k": F.row_number().over(w.orderBy(~near, F.desc("period_end"))), "was": F.lag(F.when(late & near, F.col("shares"))).over(w.orderBy("period_end"))})
+    step = F.when(near & (F.col("k") <= years) & (F.col("eps") > 0) & (F.col("prior_eps") > 0), F.log(F.col("eps") / F.col("prior_eps")))
+    jump = near & late & (F.col("was") > 0) & (F.abs(F.col("shares") / F.nullif("was", F.lit(0.0)) - 1) > 0.4)
+    told = known.groupBy("ticker", "cutoff").agg(
+        F.when(F.count(F.when(F.col("m") <= years + 1, F.col("net_margin"))) >= 3, -F.stddev_samp(F.when(F.col("m") <= years + 1, F.col("net_margin")))).alias("margin_stability"),
+        F.when(F.count(step) == years, F.exp(F.sum(step))).alias("chain"), F.coalesce(F.max(jump), F.lit(False)).alias("jump"),
     )
+    now, then, ago = (lambda c: F.col(f"now.{c}")), (lambda c: F.col(f"then.{c}")), (lambda c: F.col(f"ago.{c}"))
+    ratio = lambda a, b: F.when(b > 0, a / F.nullif(b, F.lit(0.0)))
+    rev, year = cagr(ratio(now("revenue"), then("revenue")), years), (ratio(now("revenue"), ago("revenue")) - 1) * 100
+    ends = F.when((now("eps") > 0) & (then("eps") > 0) & ~F.coalesce("jump", F.lit(False)), cagr(ratio(now("eps"), then("eps")), years))
+    gap = F.when(now("shares") > 0, -((now("eps") - now("fcf_margin") / 100 * now("revenue") / F.nullif(now("shares"), F.lit(0.0))) / F.greatest(F.abs(now("eps")), F.lit(0.5))))
+    out = {
+        "rev_cagr": rev, "rev_1y": year, "rev_accel": year - rev, "asset_growth": -cagr(ratio(now("assets"), then("assets")), years), "margin_trend": now("op_margin") - ago("op_margin"),
+        "eps_growth": F.when(F.col("chain").isNotNull(), cagr(F.col("chain"), years)).otherwise(ends), "eps_yoy": F.when(now("prior_eps").isNotNull(), yoy(now("eps"), F.nullif(now("prior_eps"), F.lit(0.0)))).otherwise(split_safe_yoy(now("eps"), ago("eps"), now("shares"), ago("shares"))),
+        "buyback": share_cut(now("shares"), now("prior_shares"), ago("shares")), "margin_stability": F.col("margin_stability"), "accrual_gap": gap, "gross_margin": now("gross_margin"), "op_margin": now("op_margin"), "net_margin": now("net_margin"), "roe": now("roe"),
+        "quality": quality_return(now("roe"), now("roa"), now("net_margin")), "roic": return_on_capital(now("revenue"), now("op_margin"), now("net_margin"), now("roe"), now("roa"), now("net_debt")), "fcf_margin": now("fcf_margin"), "interest_cover": now("interest_cover"), "net_debt": now("net_debt"),
+    }
+    return cut.join(told, ["ticker", "cutoff"], "left").select("ticker", "cutoff", now("period_end").alias("period_end"), *[F.round(c, 6).alias(n) for n, c in out.items()])
+
+
+def factor_of(name: str, rows: DataFrame) -> Column:
+    """The factor of that name; an unknown one is null."""
+    return F.col(name) if name in rows.columns else F.lit(None).cast("double")
 
 
 def annual_rollup(filings: DataFrame) -> DataFrame:
-    """(ticker, year, revenue, net_margin, eps, shares, quarters, yoy): sums and revenue-weighted margins by the period's
-    year, and growth in revenue over the year before if both are whole (one row or four and more)."""
-    both = F.col("net_margin").isNotNull() & F.col("revenue").isNotNull()
+    """(ticker, year, revenue, margins, eps, shares, prior_eps, prior_shares, quarters, yoy): sums and revenue-weighted margins by
+    the period's year, prior values of its newest filing, and growth in revenue over the year before if both are whole (one row
+    or four and more)."""
     money = lambda c: F.sum(F.round(c, 4).cast("decimal(30,4)")).cast("double")
+
+    def weighed(c: str) -> Column:
+        both = F.col(c).isNotNull() & F.col("revenue").isNotNull()
+        return F.try_divide(F.sum(F.when(both, F.col(c) * F.col("revenue"))), F.sum(F.when(both, F.col("revenue")))).alias(c)
+
     years = filings.groupBy("ticker", F.year("period_end").alias("year")).agg(
-        money(F.col("revenue")).alias("revenue"), (F.sum(F.when(both, F.col("net_margin") * F.col("revenue"))) / F.sum(F.when(both, F.col("revenue")))).alias("net_margin"), F.sum("eps").alias("eps"), F.avg("shares").alias("shares"), F.count("*").alias("quarters"),
+        money(F.col("revenue")).alias("revenue"), weighed("gross_margin"), weighed("op_margin"), weighed("net_margin"), F.sum("eps").alias("eps"), F.avg("shares").alias("shares"),
+        F.max_by("prior_eps", "period_end").alias("prior_eps"), F.max_by("prior_shares", "period_end").alias("prior_shares"), F.count("*").alias("quarters"),
     )
     whole = years.filter("quarters = 1 OR quarters >= 4")
     w = Window.partitionBy("ticker").orderBy("year")
     grown = whole.withColumn("yoy", yoy(F.col("revenue"), F.lag("revenue").over(w))).select("ticker", "year", "yoy")
-    return years.join(grown, ["ticker", "year"], "left").select("ticker", "year", F.round("revenue", 2).alias("revenue"), F.round("net_margin", 6).alias("net_margin"), F.round("eps", 6).alias("eps"), F.round("shares", 4).alias("shares"), "quarters", F.round("yoy", 6).alias("yoy"))
+    six = ("gross_margin", "op_margin", "net_margin", "eps", "prior_eps")
+    return years.join(grown, ["ticker", "year"], "left").select("ticker", "year", F.round("revenue", 2).alias("revenue"), *[F.round(c, 6).alias(c) for c in six], F.round("shares", 4).alias("shares"), F.round("prior_shares", 4).alias("prior_shares"), "quarters", F.round("yoy", 6).alias("yoy"))
+
+
+def income_snapshot(annual: DataFrame) -> DataFrame:
+    """(ticker, year, rev_yoy, eps_yoy, net_margin, buyback): of each ticker's newest whole year, against the year before it in
+    the table, whole or not."""
+    w = Window.partitionBy("ticker").orderBy("year")
+    was = {f"was_{c}": F.lag(c).over(w) for c in ("revenue", "eps", "shares")}
+    rows = annual.withColumns(was).filter("quarters = 1 OR quarters >= 4").withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("year")))).filter("rn = 1")
+    eps = F.when(F.col("prior_eps").isNotNull(), yoy(F.col("eps"), F.nullif("prior_eps", F.lit(0.0)))).otherwise(split_safe_yoy(F.col("eps"), F.col("was_eps"), F.col("shares"), F.col("was_shares")))
+    return rows.select("ticker", "year", F.round(F.when(F.col("was_revenue") > 0, yoy(F.col("revenue"), F.col("was_revenue"))), 6).alias("rev_yoy"), F.round(eps, 6).alias("eps_yoy"), "net_margin", F.round(share_cut(F.col("shares"), F.col("prior_shares"), F.col("was_shares")), 6).alias("buyback"))
+
+
+def annual_brief(annual: DataFrame, years: int = 5) -> DataFrame:
+    """(ticker, n, chain, rev_cagr, first_margin, last_margin): the newest ``years`` whole years of a ticker, oldest first, as a
+    chain of revenues in millions, with the growth a year from the first to the last; from two years on."""
+    w = Window.partitionBy("ticker").orderBy(F.desc("year"))
+    rows = annual.filter("quarters = 1 OR quarters >= 4").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= years)
+    one = rows.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("year", "revenue", "net_margin"))).alias("y")).filter(F.size("y") >= 2)
+    first, last, n = F.get("y", F.lit(0)), F.element_at("y", -1), F.size("y")
+    grown = F.when((first["revenue"] > 0) & (last["revenue"] > 0), (F.pow(last["revenue"] / first["revenue"], 1.0 / (n - 1)) - 1) * 100)
+    chain = F.array_join(F.transform("y", lambda x: F.format_string("%.2fM", x["revenue"] / 1e6)), " > ")
+    return one.select("ticker", n.cast("long").alias("n"), chain.alias("chain"), F.round(grown, 6).alias("rev_cagr"), first["net_margin"].alias("first_margin"), last["net_margin"].alias("last_margin"))
+
+
+def needs_fx(a: Column, b: Column) -> Column:
+    return (a != "") & (b != "") & (F.lower(a) != F.lower(b))
+
+
+def converted(price: Column, from_ccy: Column, to_ccy: Column, from_rate: Column, to_rate: Column) -> Column:
+    """A price in another currency by both rates to the euro; as it is between the same, null if a rate isn't known."""
+    return F.when(~needs_fx(from_ccy, to_ccy), price).otherwise(F.when((from_rate > 0) & (to_rate > 0), price * from_rate / to_rate))
+
+
+def rates_as_of(asked: DataFrame, rates: DataFrame) -> DataFrame:
+    """``asked`` (ccy, cutoff, ...) with ``rate``: the last of ``rates`` (ccy, bar_date, rate) on or before the cutoff."""
+    told = rates.select("ccy", F.col("bar_date").alias("day"), F.lit(0).alias("side"), "rate", F.lit(None).cast("date").alias("cutoff"))
+    asks = asked.select("ccy", "cutoff").distinct().select("ccy", F.col("cutoff").alias("day"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("rate"), "cutoff")
+    w = Window.partitionBy("ccy").orderBy("day", "side").rowsBetween(Window.unboundedPreceding, 0)
+    found = told.unionByName(asks).withColumn("rate", F.last("rate", ignorenulls=True).over(w)).filter("side = 1").select("ccy", "cutoff", "rate")
+    return asked.join(found, ["ccy", "cutoff"], "left")
+
+
+def routed(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Yearly rows of the first source, and of the second for tickers that the first lacks altogether, with their source."""
+    rest = second.join(first.select("ticker").distinct(), "ticker", "left_anti")
+    return first.withColumn("source", F.lit("first")).unionByName(rest.withColumn("source", F.lit("second")))
+
+
+def patched(rows: DataFrame, instances: DataFrame) -> DataFrame:
+    """``rows`` with earnings and shares of instances (ticker, period_end, eps, shares) by period, and the instance before as the
+    prior year, for those tickers alone that report no earnings in any row."""
+    w = Window.partitionBy("ticker")
+    inst = instances.withColumns({"p_eps": F.lag("eps").over(w.orderBy("period_end")), "p_shares": F.lag("shares").over(w.orderBy("period_end"))}).select("ticker", "period_end", F.col("eps").alias("i_eps"), F.col("shares").alias("i_shares"), "p_eps", "p_shares")
+    none = F.max(F.col("eps").isNotNull()).over(w) == F.lit(False)
+    both = rows.withColumn("none", none).join(inst, ["ticker", "period_end"], "left")
+    use = F.col("none") & F.col("i_eps").isNotNull()
+    put = lambda old, new: F.when(use, F.col(new)).otherwise(F.col(old)).alias(old)
+    prior = lambda old, new: F.when(use & F.col("p_eps").isNotNull(), F.col(new)).otherwise(F.col(old)).alias(old)
+    mine = {"eps": put("eps", "i_eps"), "shares": put("shares", "i_shares"), "prior_eps": prior("prior_eps", "p_eps"), "prior_shares": prior("prior_shares", "p_shares")}
+    return both.select(*[mine.get(c, F.col(c)) for c in rows.columns])
+
+
+def enriched(quotes: DataFrame, latest: DataFrame) -> DataFrame:
+    """``quotes`` (ticker, price, class, ...) with earnings_yield and peg_yield from the latest factors (ticker, eps, eps_growth); coins get none."""
+    rows = quotes.join(latest, "ticker", "left")
+    v = valuation(F.col("price"), F.col("eps"), F.col("eps_growth"), *[F.lit(None).cast("double")] * 3)
+    return rows.select(*quotes.columns, *[F.round(F.when(F.col("class") != 0, v[c]), 6).alias(c) for c in ("earnings_yield", "peg_yield")])
 
 
 def insider_net(asked: DataFrame, trades: DataFrame, window: int = 180) -> DataFrame:
@@ -75,7 +194,7 @@ def valuation(price: Column, eps: Column, growth: Column, ebitda: Column, shares
     }
 
 
-def quality_return(net_income: Column, equity: Column, assets: Column, margin: Column, most: float = 20.0) -> Column:
-    """Return on equity if its sign is the margin's and it is under ``most`` times that on assets; else on assets."""
-    roe, roa = net_income / F.nullif(equity, F.lit(0.0)) * 100, net_income / F.nullif(assets, F.lit(0.0)) * 100
-    return F.when(roe.isNotNull() & (F.signum(roe) == F.signum(margin)) & (F.abs(F.try_divide(roe, roa)) < most), roe).otherwise(roa)
+def quality_return(roe: Column, roa: Column, margin: Column, most: float = 20.0) -> Column:
+    """The return on equity if its sign is the margin's and it is under ``most`` times a return on assets above 0; else the latter."""
+    credible = F.coalesce((roe >= 0) == (margin >= 0), F.lit(True)) & ~F.coalesce((roa > 0) & (roe / F.nullif(roa, F.lit(0.0)) >= most), F.lit(False))
+    return F.when(roe.isNotNull() & credible, roe).otherwise(roa)

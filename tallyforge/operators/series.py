@@ -41,6 +41,14 @@ def anchor_half(days: int) -> int:
     return next((h for least, h in ((1825, 365), (182, 90), (30, 30), (7, 7)) if days >= least), 0)
 
 
+ENDPOINT_DAYS = 17  #: trading days whose mean close is the price that long measures end at
+
+
+def span_to_bars(days: int, cadence: int) -> int:
+    """Trading days as bars, of which there are ``cadence`` a year; one at least."""
+    return max(1, days * cadence // 252)
+
+
 def positioned(bars: DataFrame) -> DataFrame:
     """``bars`` with i (0 first), n, prev, peak (running high), first_date, last_date, last_close and ret (percent)."""
     rows = bars.withColumns({"i": F.row_number().over(by_date()) - 1, "prev": F.lag("close").over(by_date()), "peak": F.max("close").over(by_date())})
@@ -59,14 +67,14 @@ def life(first: Column, last: Column, start: Column, end: Column) -> Column:
     return F.when((first > 0) & (age >= 0.5), cagr((last / first - 1) * 100, age))
 
 
-def growth(bars: DataFrame, dividends: DataFrame, cap_years: float = 5.0, smooth: int = 5) -> DataFrame:
+def growth(bars: DataFrame, dividends: DataFrame, cap_years: float = 5.0, cadence: int = 78) -> DataFrame:
     """age_years, life_cagr, tr_life_cagr (with dividends), capped_cagr (last ``cap_years``), life_return (smoothed end)."""
     rows = positioned(bars)
     days = math.trunc(cap_years * 365.25)
     late = F.col("bar_date") >= F.date_sub("last_date", days)
     one = rows.groupBy("ticker").agg(
         F.min_by("close", "bar_date").alias("first"), F.max_by("close", "bar_date").alias("last"), F.min("bar_date").alias("d0"), F.max("bar_date").alias("d1"),
-        F.min_by("close", F.when(late, F.col("bar_date"))).alias("cap_first"), F.min(F.when(late, F.col("bar_date"))).alias("cap_d0"), F.avg(tail(F.col("close"), smooth)).alias("endpoint"),
+        F.min_by("close", F.when(late, F.col("bar_date"))).alias("cap_first"), F.min(F.when(late, F.col("bar_date"))).alias("cap_d0"), F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).alias("endpoint"),
     )
     paid = dividends.groupBy("ticker").agg(F.sum("amount").cast("double").alias("paid"))
     one = one.join(paid, "ticker", "left")
@@ -79,19 +87,21 @@ def growth(bars: DataFrame, dividends: DataFrame, cap_years: float = 5.0, smooth
 
 
 def trend(bars: DataFrame, cadence: int = 78, ma: int = 60, tol: float = 0.02) -> DataFrame:
-    """Log-trend fit and yearly slope, distance from the long average, place in the range, distance from the high."""
+    """Log-trend fit and yearly slope, distance of the last close from the long average, and of the smoothed endpoint its
+    place among all closes and its distance from the high."""
     rows = positioned(bars)
+    rows = rows.withColumn("endpoint", F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).over(whole()))
     up = rows.filter("close > 0").withColumn("x", F.row_number().over(by_date()) - 1)
     fit = up.groupBy("ticker").agg(F.count("*").alias("m"), F.regr_r2(F.log("close"), "x").alias("r2"), F.regr_slope(F.log("close"), F.col("x")).alias("slope"))
     one = rows.groupBy("ticker").agg(
         F.count("*").alias("n"), F.avg(tail(F.col("close"), ma)).alias("ma"), F.max_by("close", "bar_date").alias("last"), F.max("close").alias("hi"), F.min("close").alias("lo"),
-        F.count_if(F.col("close") < F.col("last_close")).alias("below"),
+        F.count_if(F.col("close") < F.col("endpoint")).alias("below"), F.max("endpoint").alias("endpoint"),
     ).join(fit, "ticker", "left")
     gap = lambda x: F.when((F.col("n") >= ma) & (F.col("ma") > 0), F.greatest(F.lit(0.0), x / F.col("ma") * 100)).otherwise(0.0)
     return one.select(
         "ticker", F.round(F.when(F.col("m") >= 2, F.coalesce("r2", F.lit(1.0))).otherwise(0.0), 6).alias("trend_r2"), F.round(F.when(F.col("m") >= 2, (F.exp(F.col("slope") * cadence) - 1) * 100), 4).alias("trend_cagr"),
         F.round(gap(F.col("ma") - F.col("last")), 6).alias("below_ma"), F.round(gap(F.col("last") - F.col("ma")), 6).alias("above_ma"),
-        F.round(F.when(F.col("n") >= 2, F.col("below") / (F.col("n") - 1) * 100).otherwise(0.0), 6).alias("pct_rank"), F.round(F.greatest(F.lit(0.0), (F.col("hi") - F.col("last")) / F.col("hi") * 100), 6).alias("from_high"),
+        F.round(F.when(F.col("n") >= 2, F.col("below") / (F.col("n") - 1) * 100).otherwise(0.0), 6).alias("pct_rank"), F.round(F.greatest(F.lit(0.0), (F.col("hi") - F.col("endpoint")) / F.col("hi") * 100), 6).alias("from_high"),
         (F.col("last") >= F.col("hi") * (1 - tol)).alias("at_high"), (F.col("last") <= F.col("lo") * (1 + tol)).alias("at_low"),
     )
 
@@ -143,7 +153,7 @@ def monthly_tail(bars: DataFrame, k: int = 36) -> DataFrame:
     return rows.filter(F.col("was").isNotNull() & (F.col("back") <= k)).select("ticker", "month", F.round((F.col("close") / F.col("was") - 1) * 100, 6).alias("ret"))
 
 
-def horizon_changes(bars: DataFrame, smooth: int = 5) -> DataFrame:
+def horizon_changes(bars: DataFrame, cadence: int = 78) -> DataFrame:
     """(ticker, horizon, change): from each anchor, averaged over its half-width or else as of it, to the end; long ones
     end at the smoothed close. Null where the series starts over 31 days after the anchor."""
     spark = bars.sparkSession
@@ -153,7 +163,7 @@ def horizon_changes(bars: DataFrame, smooth: int = 5) -> DataFrame:
     near = F.expr("bar_date between date_sub(target, half) and date_add(target, half)") & (F.col("half") > 0)
     one = rows.groupBy("ticker", "horizon", "days").agg(
         F.avg(F.when(near, F.col("close"))).alias("mean"), F.max_by("close", F.when(F.col("bar_date") <= F.col("target"), F.col("bar_date"))).alias("asof"), F.max_by("close", "bar_date").alias("raw"),
-        F.avg(tail(F.col("close"), smooth)).alias("smooth"), F.min("first_date").alias("d0"), F.min("target").alias("target"),
+        F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).alias("smooth"), F.min("first_date").alias("d0"), F.min("target").alias("target"),
     )
     past = F.coalesce("mean", "asof")
     now = F.when(F.col("days") >= 365, F.col("smooth")).otherwise(F.col("raw"))

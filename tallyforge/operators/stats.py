@@ -69,47 +69,69 @@ def edges(samples: DataFrame, by: str, score: str = "score", relative: str = "re
     )
 
 
-def draws(spark, buckets: list[int], n_draws: int, block: int) -> DataFrame:
-    """(draw, pos, bucket): block resamples of ``buckets`` with wrap-around, from one xorshift stream, so that the same
-    seed gives the same table wherever it is made. Its size is set by ``n_draws`` and the number of half-years."""
-    state, rows = 0x9E3779B97F4A7C15, []
-    for draw in range(n_draws):
-        pos = 0
-        while pos < len(buckets):
-            for shift in (13, -7, 17):
-                state ^= (state << shift if shift > 0 else state >> -shift) & 0xFFFFFFFFFFFFFFFF
-            start = state % len(buckets)
-            for k in range(min(block, len(buckets) - pos)):
-                rows.append((draw, pos, buckets[(start + k) % len(buckets)]))
-                pos += 1
-    return spark.createDataFrame(rows, "draw int, pos int, bucket int")
-
-
-def bootstrap(samples: DataFrame, drawn: DataFrame) -> DataFrame:
-    """(lo, mid, hi): 5th, 50th and 95th percentile of the edge over block resamples (draw, pos, bucket) of the buckets."""
-    rows = samples.join(F.broadcast(drawn), "bucket").withColumn("id", F.concat_ws(":", F.lpad(F.col("pos").cast("string"), 6, "0"), "ticker", F.col("cutoff").cast("string")))
-    each = edges(rows, "draw", key="id").select("draw", "edge").withColumn("one", F.lit(1))
-    ranked = placed(each, "one", ["edge"])
+def draws(spark, buckets: DataFrame, n_draws: int, block: int) -> DataFrame:
+    """(draw, bucket, times): block resamples of ``buckets`` (bucket) with wrap-around, as the number of times that each is
+    drawn. Where a block begins is a hash of the draw and the block's number, so the same table comes out wherever it is made."""
+    w = Window.partitionBy(F.lit(1))
+    numbered = F.broadcast(buckets.distinct().withColumns({"at": F.row_number().over(w.orderBy("bucket")) - 1, "m": F.count("*").over(w)}))  # half-years
+    size = numbered.agg(F.max("m").alias("m")).withColumn("one", F.lit(1))
+    each = spark.range(n_draws).select(F.col("id").cast("int").alias("draw"), F.lit(1).alias("one")).join(F.broadcast(size), "one")
+    blocks = each.select("draw", "m", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / block).cast("int"))).alias("nth"))
+    placed_at = blocks.withColumn("start", F.pmod((F.col("draw").cast("long") * 7919 + F.col("nth").cast("long") * 104729) * 48271 % 2147483647, F.col("m")))
+    drawn = placed_at.select("draw", "m", F.explode(F.sequence(F.lit(0), F.least(F.lit(block), (F.col("m") - F.col("nth") * block).cast("int")) - 1)).alias("k"), "start").withColumn("at", F.pmod(F.col("start") + F.col("k"), F.col("m")))
+    return drawn.groupBy("draw", "at").agg(F.count("*").alias("times")).join(numbered.select("at", "bucket"), "at").select("draw", "bucket", "times")
+
+
+def bootstrap(samples: DataFrame, drawn: DataFrame, block: int = 2, least_keys: int = 4, least_blocks: int = 10) -> DataFrame:
+    """(lo, mid, hi): 5th, 50th and 95th percentile of the halves' edge over resamples (draw, bucket, times) of the buckets; null
+    under ``least_keys`` buckets, or for blocks of several under ``least_blocks`` of them. A row drawn several times counts so
+    often: places in a draw come from running sums of ``times`` over the rows in order of score, which are sorted once a draw."""
+    keys = samples.agg(F.countDistinct("bucket").alias("keys")).withColumn("one", F.lit(1))
+    rows = samples.join(F.broadcast(drawn), "bucket")
+    w = Window.partitionBy("draw")
+    ranked = rows.withColumns({"upto": F.sum("times").over(w.orderBy(F.desc("score"), "ticker", "cutoff").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("times").over(w)})
+    half = F.floor(F.col("n") / 2)
+    upper = F.greatest(F.lit(0), F.least("times", half - (F.col("upto") - F.col("times"))))
+    lower = F.greatest(F.lit(0), F.least("times", F.col("upto") - (F.col("n") - half)))
+    each = ranked.groupBy("draw").agg(F.try_divide(F.sum(upper * F.col("relative")), F.sum(upper)).alias("t"), F.try_divide(F.sum(lower * F.col("relative")), F.sum(lower)).alias("b")).select((F.col("t") - F.col("b")).alias("edge"), F.lit(1).alias("one"))
+    ranked = placed(each.filter("edge IS NOT NULL"), "one", ["edge"])
     at = lambda p: pick("edge", F.floor(p / 100.0 * (F.col("n") - 1) + 0.5))
-    return ranked.agg(at(5.0).alias("lo"), at(50.0).alias("mid"), at(95.0).alias("hi"))
+    band = ranked.groupBy("one").agg(at(5.0).alias("lo"), at(50.0).alias("mid"), at(95.0).alias("hi")).join(F.broadcast(keys), "one")
+    enough = (F.col("keys") >= least_keys) & ((F.lit(block) <= 1) | (F.floor(F.col("keys") / block) >= least_blocks))
+    return band.select(*[F.when(enough, F.col(c)).alias(c) for c in ("lo", "mid", "hi")])
+
+
+def lane_metrics(samples: DataFrame, by: str) -> DataFrame:
+    """(by, n, rho, edge): rank correlation of score and relative return, and the halves' edge; null and 0 under four rows."""
+    ranked = samples.withColumns({"rx": average_rank("score", by), "ry": average_rank("relative", by)})
+    rho = ranked.groupBy(by).agg(F.when(F.count("*") >= 4, pearson("rx", "ry")).alias("rho"))
+    keyed = samples.withColumn("id", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")))
+    return edges(keyed, by, key="id").join(rho, by).select(by, "n", F.round("rho", 6).alias("rho"), F.when(F.col("n") >= 4, F.col("edge")).otherwise(0.0).alias("edge"))
+
+
+def tail_side(tests: int) -> float:
+    """Percent to leave on either side of a band when the best of so many tests is looked at."""
+    return 5.0 / max(1, tests)
 
 
 def turnover(samples: DataFrame) -> DataFrame:
-    """(turnover): mean Jaccard distance of the upper halves of consecutive buckets, by score."""
+    """(turnover): mean Jaccard distance of the upper halves of consecutive buckets, by score; 0 under two buckets."""
     top = placed(samples, "bucket", [F.desc("score"), "ticker", "cutoff"]).filter(F.col("rn") <= F.floor(F.col("n") / 2))
     sets = top.groupBy("bucket").agg(F.collect_set("ticker").alias("held"))
     was = sets.withColumn("was", F.lag("held").over(Window.partitionBy(F.lit(1)).orderBy("bucket"))).filter("was IS NOT NULL")
-    return was.agg(F.round(F.avg(1 - F.try_divide(F.size(F.array_intersect("held", "was")), F.size(F.array_union("held", "was")))), 6).alias("turnover"))
-
-
-def recall(samples: DataFrame, top: int = 10, share: float = 0.1) -> DataFrame:
-    """(bucket, recall, captured): of a bucket's best ``share`` by realised return, the part that is among the ``top``
-    by score, by number and by multiple."""
-    both = placed(samples, "bucket", [F.desc("score"), "ticker", "cutoff"]).withColumnRenamed("rn", "by_score").drop("n")
-    both = placed(both, "bucket", [F.desc("realized"), "ticker", "cutoff"])
-    won = both.filter(F.col("rn") <= F.greatest(F.floor(share * F.col("n")), F.lit(1))).withColumn("multiple", 1 + F.col("realized") / 100)
-    held = F.col("by_score") <= top
-    return won.groupBy("bucket").agg(F.round(F.avg(held.cast("double")), 6).alias("recall"), F.round(F.try_divide(F.sum(F.when(held, F.col("multiple")).otherwise(0.0)), F.sum("multiple")), 6).alias("captured"))
+    return was.agg(F.round(F.avg(1 - F.try_divide(F.size(F.array_intersect("held", "was")), F.size(F.array_union("held", "was")))), 6).alias("t")).select(F.coalesce("t", F.lit(0.0)).alias("turnover"))
+
+
+def recall(samples: DataFrame, top: int = 10, share: float = 0.1, least: float = 0.0) -> DataFrame:
+    """(recall, captured, winners), over all buckets of two rows or more: of each bucket's best ``share`` by realised return,
+    rounded and one at least, that made ``least`` times their money, the part whose ticker is among the ``top`` by score, by
+    number and by multiple. Rows without a score are in the pool and not among the picks; null without winners."""
+    pool = placed(samples, "bucket", [F.desc("realized"), "ticker", "cutoff"]).filter("n >= 2")
+    won = pool.filter(F.col("rn") <= F.least(F.greatest(F.floor(share * F.col("n") + 0.5), F.lit(1)), F.col("n"))).withColumn("multiple", F.greatest(1 + F.col("realized") / 100, F.lit(0.0))).filter(F.col("multiple") >= least)
+    picks = placed(samples.filter("score IS NOT NULL"), "bucket", [F.desc("score"), "ticker", "cutoff"]).filter(F.col("rn") <= top).select("bucket", "ticker", F.lit(True).alias("held")).distinct()
+    both = won.join(picks, ["bucket", "ticker"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
+    all_in = both.agg(F.count("*").alias("winners"), F.avg(F.col("held").cast("double")).alias("r"), F.try_divide(F.sum(F.when(F.col("held"), F.col("multiple")).otherwise(0.0)), F.sum("multiple")).alias("c"))
+    return all_in.select(F.round(F.when(F.col("c").isNotNull(), F.col("r")), 6).alias("recall"), F.round("c", 6).alias("captured"), "winners")
 
 
 def decorrelate(trails: DataFrame, keep: int = 10, cap: float = 0.6) -> DataFrame:

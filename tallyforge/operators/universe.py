@@ -7,27 +7,65 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Venue suffixes and what they say about a listing (fixed values): country, currency.
-VENUES = {"DE": ("Germany", "EUR"), "PA": ("France", "EUR"), "AS": ("Netherlands", "EUR"), "LS": ("Portugal", "EUR"), "MC": ("Spain", "EUR"), "MI": ("Italy", "EUR"), "SW": ("Switzerland", "CHF"), "L": ("United Kingdom", "GBp"), "TO": ("Canada", "CAD"), "T": ("Japan", "JPY")}
+#: Venue suffixes that stay in a symbol (fixed values).
+SYMBOL_VENUES = ["L", "DE", "PA", "AS", "MI", "MC", "SW", "ST", "CO", "OL", "HE", "LS"]
+#: Country and trading currency by venue suffix (fixed values).
+VENUES = {
+    "DE": ("Germany", "EUR"), "L": ("UK", "GBP"), "PA": ("France", "EUR"), "AS": ("Netherlands", "EUR"), "MI": ("Italy", "EUR"), "MC": ("Spain", "EUR"), "SW": ("Switzerland", "CHF"), "VI": ("Austria", "EUR"),
+    "LS": ("Portugal", "EUR"), "BR": ("Belgium", "EUR"), "HE": ("Finland", "EUR"), "ST": ("Sweden", "SEK"), "OL": ("Norway", "NOK"), "CO": ("Denmark", "DKK"), "IR": ("Ireland", "EUR"), "TO": ("Canada", "CAD"),
+    "HK": ("Hong Kong", "HKD"), "T": ("Japan", "JPY"), "AX": ("Australia", "AUD"), "SA": ("Brazil", "BRL"), "NS": ("India", "INR"), "SS": ("China", "CNY"), "SZ": ("China", "CNY"), "KS": ("South Korea", "KRW"),
+}
+#: Member states of the Union, as spelled above (fixed values).
+EU_MARKETS = ["Germany", "France", "Netherlands", "Italy", "Spain", "Austria", "Portugal", "Belgium", "Finland", "Sweden", "Denmark", "Ireland"]
+#: Fund issuers that begin a fund's name, and words that say nothing of its index (fixed values).
+ISSUERS = [
+    "amundi index solutions", "legal & general", "credit suisse", "goldman sachs", "state street", "first trust", "bnp paribas easy", "bnp paribas", "jp morgan", "global x", "21shares", "abrdn",
+    "amundi", "comstage", "coinshares", "deka", "dws", "fidelity", "franklin", "han etf", "hsbc", "invesco", "ishares", "jpmorgan", "l&g", "lyxor", "ossiam", "pimco", "rize", "spdr", "swisscanto",
+    "tabula", "ubs", "vaneck", "vanguard", "vontobel", "wisdomtree", "xtrackers",
+]
+NOISE = [
+    "ucits", "etf", "etfs", "etc", "etp", "fund", "index", "indices", "solutions", "core", "prime", "source", "pea", "eqqq", "acc", "accumulating", "dist", "distributing", "inc", "1c", "1d", "1acc",
+    "2c", "eur", "usd", "gbp", "chf", "&",
+]
 
 
 def is_isin(code: Column) -> Column:
     return F.coalesce(code.rlike("^[A-Z]{2}[0-9A-Za-z]{9}[0-9]$"), F.lit(False))
 
 
+def suffix_of(symbol: Column) -> Column:
+    """What follows the last dot, null without one."""
+    return F.when(symbol.contains("."), F.element_at(F.split(symbol, r"\."), -1))
+
+
 def normal_symbol(symbol: Column) -> Column:
-    """Share-class dots become hyphens; a venue suffix stays."""
-    suffix = F.element_at(F.split(symbol, r"\."), -1)
-    return F.when(~symbol.contains(".") | suffix.isin(*VENUES), symbol).otherwise(F.replace(symbol, F.lit("."), F.lit("-")))
+    """Share-class dots become hyphens; a symbol with a venue's suffix stays."""
+    return F.when(F.coalesce(suffix_of(symbol).isin(*SYMBOL_VENUES), F.lit(False)), symbol).otherwise(F.replace(symbol, F.lit("."), F.lit("-")))
+
+
+def in_venues(suffix: Column, field: int) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, told in VENUES.items() for x in (k, told[field])]), suffix)
+
+
+def is_coin(symbol: Column) -> Column:
+    """Whether a symbol is quoted in a currency, as a coin is."""
+    return symbol.rlike("-(USD|EUR)$")
+
+
+def market_of(symbol: Column) -> Column:
+    """Country of the listing; an unknown suffix stands for itself, none is the USA, or for a coin its class."""
+    suffix = F.upper(suffix_of(symbol))
+    return F.when(suffix.isNotNull(), F.coalesce(in_venues(suffix, 0), suffix)).when(is_coin(symbol), "Crypto").otherwise("USA")
+
+
+def listing_currency(symbol: Column) -> Column:
+    """Currency that the listing trades in: dollars without a suffix, null if the suffix is unknown."""
+    return F.when(suffix_of(symbol).isNull(), "USD").otherwise(in_venues(suffix_of(symbol), 1))
 
 
-def listing(symbol: Column, field: int, home: str) -> Column:
-    """Country (0) or currency (1) of a symbol by its venue suffix; ``home`` without a suffix, null if unknown."""
-    suffix = F.upper(F.element_at(F.split(symbol, r"\."), -1))
-    out = F.lit(None).cast("string")
-    for venue, told in VENUES.items():
-        out = F.when(suffix == venue, told[field]).otherwise(out)
-    return F.when(symbol.contains("."), out).otherwise(home)
+def asset_class(symbol: Column, is_fund: Column) -> Column:
+    """0 for coins, 1 for exchange-traded funds, 2 for stocks."""
+    return F.when(is_coin(symbol), 0).when(is_fund, 1).otherwise(2)
 
 
 def union_first_wins(ponds: list[DataFrame], caps: list[int | None]) -> DataFrame:
@@ -80,13 +118,40 @@ def quality_counters(rows: DataFrame, measures: list[str]) -> DataFrame:
     return long.groupBy("measure").agg(F.count_if("gone").alias("missing"), F.count_if(~F.col("gone")).alias("present"))
 
 
-def overlaps(holdings: DataFrame, least: int = 3) -> DataFrame:
-    """(a, b, shared, jaccard): pairs of funds that share ``least`` holdings or more; funds meet by what they hold."""
+def overlaps(holdings: DataFrame, least: int = 5) -> DataFrame:
+    """(a, b, shared): pairs of funds that share ``least`` holdings or more. Funds meet by their rarest holdings: of two that
+    share so many, each has a shared one among all but its ``least`` - 1 most common."""
     h = holdings.select("fund", "symbol").distinct()
-    n = h.groupBy("fund").agg(F.count("*").alias("n"))
-    pairs = h.withColumnRenamed("fund", "a").join(h.withColumnRenamed("fund", "b"), "symbol").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
-    both = pairs.join(n.select(F.col("fund").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("fund").alias("b"), F.col("n").alias("nb")), "b")
-    return both.select("a", "b", "shared", F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 6).alias("jaccard"))
+    uses = h.groupBy("symbol").agg(F.count("*").alias("uses"))
+    w = Window.partitionBy("fund")
+    ranked = h.join(uses, "symbol").withColumns({"rn": F.row_number().over(w.orderBy("uses", "symbol")), "n": F.count("*").over(w)})
+    held = h.groupBy("fund").agg(F.collect_set("symbol").alias("held"))
+    keys = ranked.filter(F.col("rn") <= F.col("n") - least + 1).select("fund", "symbol")
+    met = keys.withColumnRenamed("fund", "a").join(keys.withColumnRenamed("fund", "b"), "symbol").filter("a < b").select("a", "b").distinct()
+    both = met.join(held.select(F.col("fund").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("fund").alias("b"), F.col("held").alias("y")), "b")
+    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).filter(F.col("shared") >= least)
+
+
+def overlap_groups(holdings: DataFrame, least: int = 5) -> DataFrame:
+    """(report, members, common): in each report, funds of ``least`` holdings or more in order of name; each joins the first
+    group with all of whose members it shares ``least``, else begins one. A report's shortlist is folded in one task, as each
+    step depends on those before."""
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        held = {fund: set(part["symbol"]) for fund, part in pdf.groupby("fund")}
+        groups: list[list[str]] = []
+        for fund in sorted(f for f, x in held.items() if len(x) >= least):
+            for g in groups:
+                if all(len(held[fund] & held[m]) >= least for m in g):
+                    g.append(fund)
+                    break
+            else:
+                groups.append([fund])
+        rows = [(pdf["report"].iloc[0], " ".join(g), len(set.intersection(*[held[m] for m in g]))) for g in groups if len(g) > 1]
+        return pd.DataFrame(rows, columns=["report", "members", "common"])
+
+    return holdings.select("report", "fund", "symbol").groupBy("report").applyInPandas(fold, "report long, members string, common long")
 
 
 def concentration(holdings: DataFrame, top: int = 3, most: float = 40.0) -> DataFrame:
@@ -113,9 +178,14 @@ def allocation_gaps(actual: DataFrame, wanted: DataFrame, band: float = 5.0) ->
     return both.select("ticker", F.round(gap, 6).alias("gap"), F.when(gap >= band, "trim").when(gap <= -band, "add").otherwise("hold").alias("advice"))
 
 
-def index_key(name: Column, noise: list[str]) -> Column:
-    """The words of a fund's name in order, without noise and repeats; null under two."""
-    words = F.array_sort(F.array_distinct(F.array_except(F.filter(F.split(F.lower(name), "[^a-z0-9]+"), lambda w: w != ""), F.array(*map(F.lit, noise)))))
+def index_key(name: Column, issuers: int = 3) -> Column:
+    """The words of a fund's name that identify its index, in order of the alphabet, each once; null under two. Up to
+    ``issuers`` issuers are taken off its beginning, the longest that fits each time."""
+    flat = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), r"[.,()']", ""), "[-/+:]", " "), r"\s+", " "))
+    brands = "|".join(sorted(ISSUERS, key=len, reverse=True))
+    for _ in range(issuers):
+        flat = F.regexp_replace(flat, f"^(?:{brands})(?: |$)", "")
+    words = F.array_sort(F.array_distinct(F.array_except(F.filter(F.split(flat, " "), lambda w: w != ""), F.array(*map(F.lit, NOISE)))))
     return F.when(F.size(words) >= 2, F.array_join(words, " "))
 
 

@@ -18,30 +18,33 @@ def half_year(day: Column) -> Column:
 
 
 def samples(bars: DataFrame, spans: DataFrame, sectors: DataFrame, years: int = 2, history: int = 156, step: int = 20, peers: int = 8) -> DataFrame:
-    """One row a ticker and cutoff: cutoff, bucket, market, realized and relative forward return, and the quote as of then:
+    """One row a ticker and cutoff: cutoff, bucket, market, class, realized and relative forward return, and the quote as of then:
     cagr_life, max_dd, vol, pct_rank, r2, score.
 
     Cutoffs are every ``step`` bars from ``history`` on, where a bar ``years`` ahead exists and the ticker is a member then
-    (tickers without spans always are). Relative is realized less the mean of the half-year, of the market where that has
-    ``peers`` rows or more."""
-    day = F.unix_date("bar_date")
+    (tickers without spans always are). Relative is realized less the mean of the half-year and asset class, within the
+    market where that has ``peers`` rows or more."""
     w = by_date()
-    ahead = Window.partitionBy("ticker").orderBy(day).rangeBetween(365 * years, Window.unboundedFollowing)
+    ahead = Window.partitionBy("ticker").orderBy(F.desc("day"), "side").rowsBetween(Window.unboundedPreceding, 0)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     year = w.rowsBetween(-77, 0)
-    rows = bars.withColumns({"i": F.row_number().over(w) - 1, "prev": F.lag("close").over(w), "peak": F.max("close").over(past), "fwd": F.first("close").over(ahead), "d0": F.min("bar_date").over(past), "c0": F.first("close").over(past)})
+    # a bar asks for the first close on or after its date plus the hold: questions and answers in one order, latest first
+    asks = bars.select("ticker", (F.unix_date("bar_date") + 365 * years).alias("day"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("price"), "bar_date")
+    tells = bars.select("ticker", F.unix_date("bar_date").alias("day"), F.lit(0).alias("side"), F.col("close").cast("double").alias("price"), F.lit(None).cast("date").alias("bar_date"))
+    later = tells.unionByName(asks).withColumn("fwd", F.last("price", ignorenulls=True).over(ahead)).filter("side = 1").select("ticker", "bar_date", "fwd")
+    rows = bars.join(later, ["ticker", "bar_date"]).withColumns({"i": F.row_number().over(w) - 1, "prev": F.lag("close").over(w), "peak": F.max("close").over(past), "d0": F.min("bar_date").over(past), "c0": F.first("close").over(past)})
     rows = rows.withColumns({"ret": F.try_divide(F.col("close") - F.col("prev"), F.col("prev")) * 100, "dd": (F.col("peak") - F.col("close")) / F.col("peak") * 100, "low": F.min("close").over(past)})
     rows = rows.withColumns({"max_dd": F.max("dd").over(past), "vol": F.stddev_pop("ret").over(year), "r2": F.regr_r2(F.log("close"), F.col("i")).over(past)})
     cut = rows.filter((F.col("i") >= history) & ((F.col("i") - history) % step == 0) & F.col("fwd").isNotNull())
     held = spans.groupBy("ticker").agg(F.collect_list(F.struct("start_date", "end_date")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["start_date"] <= F.col("bar_date")) & (s["end_date"].isNull() | (F.col("bar_date") < s["end_date"])))
-    cut = cut.join(held, "ticker", "left").filter(F.col("spans").isNull() | inside).join(sectors.select("ticker", "market"), "ticker", "left")
+    cut = cut.join(held, "ticker", "left").filter(F.col("spans").isNull() | inside).join(sectors.select("ticker", "market", "class"), "ticker", "left")
     life = cagr((F.col("close") / F.col("c0") - 1) * 100, F.datediff("bar_date", "d0") / 365.25)
     out = cut.select(
-        "ticker", F.col("bar_date").alias("cutoff"), half_year(F.col("bar_date")).alias("bucket"), "market", F.round((F.col("fwd") / F.col("close") - 1) * 100, 6).alias("realized"),
+        "ticker", F.col("bar_date").alias("cutoff"), half_year(F.col("bar_date")).alias("bucket"), "market", "class", F.round((F.col("fwd") / F.col("close") - 1) * 100, 6).alias("realized"),
         F.round(life, 6).alias("cagr_life"), F.round("max_dd", 6).alias("max_dd"), F.round("vol", 6).alias("vol"), F.round((F.col("close") - F.col("low")) / F.nullif(F.col("peak") - F.col("low"), F.lit(0.0)) * 100, 6).alias("range_pct"), F.round("r2", 6).alias("r2"),
     )
-    all_in, local = Window.partitionBy("bucket"), Window.partitionBy("bucket", "market")
+    all_in, local = Window.partitionBy("bucket", "class"), Window.partitionBy("bucket", "class", "market")
     mean = F.when(F.count("*").over(local) >= peers, F.avg("realized").over(local)).otherwise(F.avg("realized").over(all_in))
     scored = F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("range_pct") / 10 - F.col("max_dd") / 20, 4)
     return out.withColumns({"relative": F.round(F.col("realized") - mean, 6), "score": scored})
@@ -74,9 +77,11 @@ def books(rows: DataFrame, benchmark: DataFrame, years: int = 2, ladder: tuple[i
 
 
 def purged_cut(rows: DataFrame, months: int = 24, share: float = 0.7) -> DataFrame:
-    """(part, n, first, last): training and test rows by date, without training rows within ``months`` of the test."""
-    ranked = rows.withColumns({"rn": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("cutoff", "ticker")), "n": F.count("*").over(Window.partitionBy(F.lit(1)))})
-    edge = ranked.filter(F.col("rn") == F.floor(share * F.col("n")) + 1).select(F.col("cutoff").alias("edge"), F.lit(1).alias("one"))
+    """(part, n, first, last): training and test rows by date, without training rows within ``months`` of the test. The
+    edge is the date of the row at ``share`` of all, from counts by date and their running sums."""
+    w = Window.partitionBy(F.lit(1))
+    days = rows.groupBy("cutoff").agg(F.count("*").alias("k")).withColumns({"upto": F.sum("k").over(w.orderBy("cutoff")), "n": F.sum("k").over(w)})  # a row a date
+    edge = days.filter(F.col("upto") >= F.floor(share * F.col("n")) + 1).agg(F.min("cutoff").alias("edge")).withColumn("one", F.lit(1))
     parts = rows.withColumn("one", F.lit(1)).join(F.broadcast(edge), "one")
     part = F.when(F.col("cutoff") >= F.col("edge"), "test").when(F.col("cutoff") < F.date_sub("edge", months * 30), "train")
     return parts.withColumn("part", part).filter("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("n"), F.min("cutoff").alias("first"), F.max("cutoff").alias("last"))

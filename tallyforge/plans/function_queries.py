@@ -51,7 +51,7 @@ SELECT years, round(rate, 6) AS rate, round(1 + g - greatest(g, 0) * rate, 6) AS
     "fund_hold_rules": "SELECT * FROM (VALUES ('A All-World ETF', 'world', NULL), ('B MSCI World Energy', 'narrow', 'ter'), ('C S&P 500 Swap', 'country', 'replication'), ('D Europe Dist', 'other', 'share class'), ('E World Small', 'world', 'size')) v(name, tier, miss)",
     "implied_growth": """WITH x AS (SELECT p_partkey, p_retailprice AS price, (p_size - 5)::DOUBLE AS e FROM part)
 SELECT p_partkey, round(CASE WHEN price > 0 AND e > 0 THEN (power(price * power(1.1::DOUBLE, 10) / (e * 15), 0.1::DOUBLE) - 1) * 100 END, 6) AS growth, round(CASE WHEN e > 20 THEN (price + e + 1) / 3 WHEN e > 0 THEN (price + e) / 2 END, 6) AS composite,
-  CASE WHEN (e - 10) / 40 < 0 THEN 'capitulation' WHEN (e - 10) / 40 < 0.25 THEN 'hope' WHEN (e - 10) / 40 < 0.5 THEN 'optimism' WHEN (e - 10) / 40 < 0.75 THEN 'belief' ELSE 'euphoria' END AS zone FROM x""",
+  CASE WHEN (e - 10) / 40 < 0 THEN 'Capitulation' WHEN (e - 10) / 40 < 0.25 THEN 'Hope/Fear' WHEN (e - 10) / 40 < 0.5 THEN 'Optimism/Anxiety' WHEN (e - 10) / 40 < 0.75 THEN 'Belief/Denial' ELSE 'Euphoria/Greed' END AS zone FROM x""",
     "format_cells": """SELECT c_custkey, format('{:,.2f}', c_acctbal) AS money, (CASE WHEN floor(c_acctbal) >= 0 THEN '+' ELSE '-' END) || (CASE WHEN abs(floor(c_acctbal) / 4) >= 1000 THEN printf('%.0f', abs(floor(c_acctbal) / 4)) ELSE printf('%.1f', abs(floor(c_acctbal) / 4)) END) || '%' AS pct,
   CASE WHEN h >= 1e12 THEN format('{:,.1f}', h / 1e12) || 'T' WHEN h >= 1e9 THEN format('{:,.1f}', h / 1e9) || 'B' WHEN h >= 1e6 THEN format('{:,.1f}', h / 1e6) || 'M' WHEN h >= 1e3 THEN format('{:,.1f}', h / 1e3) || 'K' ELSE printf('%.0f', h) END AS human,
   CASE WHEN length(c_name) > 10 THEN left(c_name, 9) || '…' ELSE c_name END AS name FROM (SELECT *, c_custkey * 1000.0::DOUBLE * c_custkey AS h FROM customer)""",

@@ -11,17 +11,44 @@ from tallyforge.sources import tables as T
 from tallyforge.sources.tables import SQL as VIEWS
 
 LADDER = [(1, 0.0), (2, 0.25), (6, 0.5), (10, 1.0)]
-SYMBOLS = ["BRK.B", "SAP.DE", "ABC", "VOD.L", "X.Y.PA", "BF.A"]
 CODES = ["IE00B4L5Y983", "US0378331005", "ie00B4L5Y983", "IE00B4L5Y98X", "", "LU0123a56789"]
-FUNDS = [("F1", "A", 30.0), ("F1", "B", 20.0), ("F1", "C", 10.0), ("F1", "D", 5.0), ("F2", "A", 10.0), ("F2", "B", 10.0), ("F2", "C", 10.0), ("F3", "Z", 50.0), ("F3", "A", 50.0)]
-NOISE = ["ucits", "etf", "acc", "usd", "eur", "dist"]
-NAMES = ["iShares Core MSCI World UCITS ETF USD (Acc)", "World Core MSCI iShares ETF", "ETF", "Xtrackers MSCI World"]
 
 
 def _inline(s, kind, rows):
     return s.createDataFrame(rows, kind)
 
 
+def _symbols(s, d):
+    """A symbol of each part: plain, with a share class, with one of the venues' suffixes or an unknown one, or a coin."""
+    suffixes = F.array(*map(F.lit, [*U.VENUES, "XX", "ls"]))
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("P"), k.cast("string"))
+    tail = F.when(k % 5 == 0, "").when(k % 5 == 1, ".A").when(k % 5 == 2, "-USD").otherwise(F.concat(F.lit("."), F.get(suffixes, F.floor(k / 5) % len([*U.VENUES, "XX", "ls"]))))
+    return T.table(s, d, "part").select(F.concat(name, tail).alias("symbol"))
+
+
+def _holdings(s, d):
+    """What a fund of sixteen orders holds: parts, by quantity."""
+    rows = T.table(s, d, "lineitem").select(F.floor(F.col("l_orderkey") / 16).alias("o"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("symbol"), "l_quantity")
+    return rows.groupBy("o", "symbol").agg(F.sum("l_quantity").alias("weight")).select((F.col("o") % 7).alias("report"), F.concat(F.lit("F"), F.col("o").cast("string")).alias("fund"), "symbol", "weight")
+
+
+def _positions(s, d):
+    funds = _holdings(s, d).groupBy("fund").agg(F.max("weight").alias("weight")).withColumnRenamed("fund", "ticker")
+    return funds.union(T.table(s, d, "part").filter("p_size = 7").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")), F.col("p_size").cast("double")))
+
+
+def _shares(s, d, name, key):
+    rows = T.table(s, d, name).groupBy(F.concat(F.lit("N"), F.col(key).cast("string")).alias("ticker")).agg(F.count("*").alias("n"))
+    return rows.withColumn("weight", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).drop("n")
+
+
+def _fund_names(s, d):
+    k = F.col("p_partkey")
+    issuer = F.get(F.array(*map(F.lit, [*U.ISSUERS, "Nobody"])), k % (len(U.ISSUERS) + 1))
+    return T.table(s, d, "part").select(F.concat_ws(" ", F.upper(issuer), F.when(k % 3 == 0, F.concat(F.upper(issuer), F.lit(" Core"))), F.col("p_type"), F.when(k % 4 == 0, "S&P-500 U.S."), F.lit("UCITS ETF USD (Acc)")).alias("name")).distinct()
+
+
 def _levels(s, d):
     return T.benchmark_bars(s, d).groupBy(F.trunc("bar_date", "month").alias("day")).agg(F.round(F.sum("close"), 4).alias("level"))
 
@@ -65,16 +92,17 @@ QUERIES = {
     "universe_first_wins": _ponds,
     "universe_merge_lists": _lists,
     "universe_pit_pool": _pool,
-    "universe_symbols": lambda s, d: _inline(s, "symbol string", [(x,) for x in SYMBOLS]).select("symbol", U.normal_symbol(F.col("symbol")).alias("normal"), U.listing(F.col("symbol"), 0, "United States").alias("country"), U.listing(F.col("symbol"), 1, "USD").alias("currency")),
+    "universe_symbols": lambda s, d: _symbols(s, d).select("symbol", U.normal_symbol(F.col("symbol")).alias("normal"), U.market_of(F.col("symbol")).alias("country"), U.listing_currency(F.col("symbol")).alias("currency"), U.asset_class(F.col("symbol"), F.endswith("symbol", F.lit("0"))).alias("class")),
     "universe_isins": lambda s, d: _inline(s, "code string", [(x,) for x in CODES]).select("code", U.is_isin(F.col("code")).alias("ok")),
     "universe_sector_filter": lambda s, d: T.sectors(s, d).filter(U.sector_matches(F.col("sector"), ["nation_1", " _2"])).groupBy("sector").agg(F.count("*").alias("n")),
     "universe_prefix_lookup": lambda s, d: U.prefix_lookup(T.table(s, d, "part").select(F.left("p_name", F.lit(12)).alias("name")).distinct(), T.table(s, d, "part").groupBy(F.col("p_name").alias("known")).agg(F.min("p_size").alias("value")), 6),
     "universe_quality_counters": lambda s, d: U.quality_counters(T.table(s, d, "events").select(F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.zz").alias("zz"), "event_type"), ["k", "zz", "event_type"]),
-    "report_overlaps": lambda s, d: U.overlaps(_inline(s, "fund string, symbol string, weight double", FUNDS)),
-    "report_concentration": lambda s, d: U.concentration(_inline(s, "fund string, symbol string, weight double", FUNDS)),
-    "report_look_through": lambda s, d: U.look_through(_inline(s, "ticker string, weight double", [("F1", 50.0), ("F2", 30.0), ("Q", 20.0)]), _inline(s, "fund string, symbol string, weight double", FUNDS), _inline(s, "symbol string, field string", [("A", "USD"), ("B", "EUR"), ("Q", "EUR")])),
-    "report_allocation_gaps": lambda s, d: U.allocation_gaps(_inline(s, "ticker string, weight double", [("A", 30.0), ("B", 10.0), ("C", 5.0)]), _inline(s, "ticker string, weight double", [("A", 25.0), ("B", 14.9), ("D", 20.0)])),
-    "report_index_keys": lambda s, d: _inline(s, "name string", [(x,) for x in NAMES]).select("name", U.index_key(F.col("name"), NOISE).alias("key")),
+    "report_overlaps": lambda s, d: U.overlaps(_holdings(s, d)),
+    "report_overlap_groups": lambda s, d: U.overlap_groups(_holdings(s, d)),
+    "report_concentration": lambda s, d: U.concentration(_holdings(s, d), most=150.0),
+    "report_look_through": lambda s, d: U.look_through(_positions(s, d), _holdings(s, d), T.table(s, d, "part").filter("p_size > 2").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_brand").alias("field"))),
+    "report_allocation_gaps": lambda s, d: U.allocation_gaps(_shares(s, d, "supplier", "s_nationkey"), _shares(s, d, "customer", "c_nationkey"), 1.0),
+    "report_index_keys": lambda s, d: _fund_names(s, d).select("name", U.index_key(F.col("name")).alias("key")),
     "fx_rates": lambda s, d: U.fx_rates(_inline(s, "ccy string", [("EUR",), ("USD",), ("GBp",), ("JPY",), ("XXX",)]), _inline(s, "base string, quote string, px double", [("USD", "EUR", 0.9), ("EUR", "JPY", 160.0), ("GBP", "EUR", 1.2)])),
     "inflation_merge": lambda s, d: U.merge_series(_inline(s, "year int, rate double", [(2021, 3.0), (2022, 8.0)]), _inline(s, "year int, rate double", [(2020, 1.0), (2021, 2.0)])),
     "inflation_stats": lambda s, d: U.inflation_stats(s.range(2001, 2024).select(F.col("id").cast("int").alias("year"), ((F.col("id") % 7) + 0.5).cast("double").alias("rate"))),
@@ -89,6 +117,8 @@ _GRADES = _J + """, e AS (SELECT ticker, arg_max(px, day) AS px_now FROM journal
 g AS (SELECT day, count(*) AS n, round(100 * avg(px_now / px - 1), 6) AS ret, round(100 * (avg(px_now / px - 1) - max(level_now / level - 1)), 6) AS excess FROM journal JOIN e USING (ticker) JOIN ix USING (day) WHERE rank <= 10 AND px > 0 GROUP BY day)"""
 _SEC = "WITH " + VIEWS["sectors"]
 
+_HOLD = "WITH h AS (SELECT 'F' || (l_orderkey // 16) AS fund, 'P' || l_partkey AS symbol, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2)"
+
 
 def _v(columns: str, rows: list) -> str:
     q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
@@ -118,16 +148,24 @@ s AS (SELECT day, CASE WHEN dd <= -15 THEN 'BEAR' WHEN dd <= -5 THEN 'PULLBACK'
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) SELECT symbol, arg_min(sector, pond) AS sector, min(pond)::INT AS pond FROM u GROUP BY 1""",
     "universe_merge_lists": "WITH m AS (SELECT 'P' || p_partkey AS isin, p_retailprice AS size FROM part WHERE p_retailprice > 1500), h AS (SELECT isin, false AS speculative FROM m ORDER BY size DESC, isin LIMIT 50) SELECT * FROM h UNION ALL SELECT DISTINCT 'P' || p_partkey, true FROM part WHERE p_size < 10 AND 'P' || p_partkey NOT IN (SELECT isin FROM m)",
     "universe_pit_pool": _SEC + ", " + VIEWS["spans"] + " SELECT ticker FROM sectors WHERE ticker NOT IN (SELECT ticker FROM spans WHERE end_date IS NULL) UNION SELECT ticker FROM spans WHERE start_date < DATE '1997-01-01'",
-    "universe_symbols": _v("symbol, normal, country, currency", [("BRK.B", "BRK-B", None, None), ("SAP.DE", "SAP.DE", "Germany", "EUR"), ("ABC", "ABC", "United States", "USD"), ("VOD.L", "VOD.L", "United Kingdom", "GBp"), ("X.Y.PA", "X.Y.PA", "France", "EUR"), ("BF.A", "BF-A", None, None)]),
+    "universe_symbols": f"""WITH v(suffix, country, currency) AS (VALUES {', '.join(f"('{k}', '{c}', '{m}')" for k, (c, m) in U.VENUES.items())}), x AS (SELECT 'P' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN '.A' WHEN 2 THEN '-USD' ELSE '.' || {[*U.VENUES, "XX", "ls"]}[p_partkey // 5 % {len(U.VENUES) + 2} + 1] END AS symbol FROM part),
+y AS (SELECT symbol, CASE WHEN contains(symbol, '.') THEN regexp_extract(symbol, '[^.]*$') END AS sx FROM x)
+SELECT symbol, CASE WHEN list_contains({U.SYMBOL_VENUES}, sx) THEN symbol ELSE replace(symbol, '.', '-') END AS normal, CASE WHEN sx IS NOT NULL THEN coalesce(u.country, upper(sx)) WHEN regexp_matches(symbol, '-(USD|EUR)$') THEN 'Crypto' ELSE 'USA' END AS country,
+  CASE WHEN sx IS NULL THEN 'USD' ELSE w.currency END AS currency, CASE WHEN regexp_matches(symbol, '-(USD|EUR)$') THEN 0 WHEN ends_with(symbol, '0') THEN 1 ELSE 2 END::INT AS class FROM y LEFT JOIN v u ON u.suffix = upper(sx) LEFT JOIN v w ON w.suffix = sx""",
     "universe_isins": "SELECT code, regexp_full_match(code, '[A-Z]{2}[0-9A-Za-z]{9}[0-9]') AS ok FROM (VALUES " + ", ".join(f"('{c}')" for c in CODES) + ") v(code)",
     "universe_sector_filter": _SEC + " SELECT sector, count(*) AS n FROM sectors WHERE contains(lower(sector), 'nation_1') OR contains(lower(sector), '_2') GROUP BY 1",
     "universe_prefix_lookup": "WITH n AS (SELECT DISTINCT left(p_name, 12) AS name FROM part), k AS (SELECT p_name AS known, min(p_size) AS value FROM part GROUP BY 1) SELECT name, min(value) AS value FROM n JOIN k ON starts_with(known, name) WHERE length(name) >= 6 GROUP BY 1 HAVING min(value) = max(value)",
     "universe_quality_counters": "WITH e AS (SELECT json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.zz') AS zz, event_type FROM events) SELECT 'k' AS measure, count(*) - count(k) AS missing, count(k) AS present FROM e UNION ALL SELECT 'zz', count(*) - count(zz), count(zz) FROM e UNION ALL SELECT 'event_type', count(*) - count(event_type), count(event_type) FROM e",
-    "report_overlaps": _v("a, b, shared, jaccard", [("F1", "F2", 3, 0.75)]).replace("3,", "3::BIGINT,"),
-    "report_concentration": _v("fund, top_weight, concentrated", [("F1", 60.0, 1), ("F2", 30.0, 0), ("F3", 100.0, 1)]).replace("SELECT *", "SELECT fund, top_weight, concentrated = 1 AS concentrated"),
-    "report_look_through": "WITH h(f, s, w) AS (" + _v("f, s, w", FUNDS) + "), t AS (SELECT f, sum(w) AS a FROM h GROUP BY 1), p(t, w) AS (VALUES ('F1', 50.0::DOUBLE), ('F2', 30.0), ('Q', 20.0)), x AS (SELECT coalesce(h.s, p.t) AS s, p.w * coalesce(h.w / t.a, 1) AS w FROM p LEFT JOIN h ON p.t = h.f LEFT JOIN t ON t.f = h.f) SELECT CASE WHEN s = 'A' THEN 'USD' WHEN s IN ('B', 'Q') THEN 'EUR' ELSE 'other' END AS field, round(100 * sum(w) / (SELECT sum(w) FROM x), 6) AS weight FROM x GROUP BY 1",
-    "report_allocation_gaps": _v("ticker, gap, advice", [("A", 5.0, "trim"), ("B", -4.9, "hold"), ("C", 5.0, "trim"), ("D", -20.0, "add")]),
-    "report_index_keys": _v("name, key", [(NAMES[0], "core ishares msci world"), (NAMES[1], "core ishares msci world"), (NAMES[2], None), (NAMES[3], "msci world xtrackers")]),
+    "report_overlaps": _HOLD + " SELECT a.fund AS a, b.fund AS b, count(*) AS shared FROM h a JOIN h b ON a.symbol = b.symbol AND a.fund < b.fund GROUP BY 1, 2 HAVING count(*) >= 5",
+    "report_concentration": _HOLD + ", r AS (SELECT *, row_number() OVER (PARTITION BY fund ORDER BY weight DESC, symbol) AS rn FROM h) SELECT fund, round(sum(weight) FILTER (WHERE rn <= 3), 6) AS top_weight, sum(weight) FILTER (WHERE rn <= 3) >= 150 AS concentrated FROM r GROUP BY 1",
+    "report_look_through": _HOLD + """, t AS (SELECT fund, sum(weight) AS a FROM h GROUP BY 1), p AS (SELECT fund AS ticker, max(weight) AS w FROM h GROUP BY 1 UNION ALL SELECT 'P' || p_partkey, p_size FROM part WHERE p_size = 7),
+x AS (SELECT coalesce(h.symbol, p.ticker) AS s, p.w * coalesce(h.weight / t.a, 1) AS w FROM p LEFT JOIN h ON p.ticker = h.fund LEFT JOIN t ON t.fund = h.fund), f AS (SELECT coalesce(p_brand, 'other') AS field, sum(w) AS w FROM x LEFT JOIN part ON 'P' || p_partkey = x.s AND p_size > 2 GROUP BY 1) SELECT field, round(100 * w / sum(w) OVER (), 6) AS weight FROM f""",
+    "report_allocation_gaps": """WITH a AS (SELECT 'N' || s_nationkey AS ticker, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS w FROM supplier GROUP BY 1), b AS (SELECT 'N' || c_nationkey AS ticker, 100.0::DOUBLE * count(*) / sum(count(*)) OVER () AS w FROM customer GROUP BY 1),
+g AS (SELECT ticker, coalesce(a.w, 0) - coalesce(b.w, 0) AS gap FROM a FULL JOIN b USING (ticker)) SELECT ticker, round(gap, 6) AS gap, CASE WHEN gap >= 1 THEN 'trim' WHEN gap <= -1 THEN 'add' ELSE 'hold' END AS advice FROM g""",
+    "report_index_keys": f"""WITH n AS (SELECT DISTINCT array_to_string(list_filter([i, CASE WHEN p_partkey % 3 = 0 THEN i || ' Core' END, p_type, CASE WHEN p_partkey % 4 = 0 THEN 'S&P-500 U.S.' END, 'UCITS ETF USD (Acc)'], lambda x: x IS NOT NULL), ' ') AS name FROM (SELECT *, {[x.upper() for x in [*U.ISSUERS, "Nobody"]]}[p_partkey % {len(U.ISSUERS) + 1} + 1] AS i FROM part)),
+f AS (SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[.,()'']', '', 'g'), '[-/+:]', ' ', 'g'), '\\s+', ' ', 'g')) AS flat FROM n),
+g AS (SELECT name, {"regexp_replace(" * 3}flat{(", '^(" + "|".join(sorted(U.ISSUERS, key=len, reverse=True)) + ")( |$)', '')") * 3} AS rest FROM f),
+k AS (SELECT name, list_sort(list_distinct(list_filter(string_split(rest, ' '), lambda w: w <> '' AND NOT list_contains({U.NOISE}, w)))) AS t FROM g) SELECT name, CASE WHEN len(t) >= 2 THEN array_to_string(t, ' ') END AS key FROM k""",
     "fx_rates": _v("ccy, rate", [("EUR", 1.0), ("USD", 0.9), ("GBp", 0.012), ("JPY", 0.00625), ("XXX", None)]),
     "inflation_merge": "SELECT year::INT AS year, rate FROM (VALUES (2020, 1.0::DOUBLE), (2021, 3.0), (2022, 8.0)) v(year, rate)",
     "inflation_stats": "WITH s AS (SELECT range::INT AS year, (range % 7 + 0.5)::DOUBLE AS rate FROM range(2001, 2024)), r AS (SELECT *, row_number() OVER (ORDER BY year DESC) AS b FROM s) SELECT max(year) AS latest, round(arg_max(rate, year), 6) AS rate, round(avg(rate) FILTER (WHERE b <= 10), 6) AS mean10, round(avg(rate) FILTER (WHERE b <= 30), 6) AS mean30, round((product(1 + rate / 100) FILTER (WHERE b <= 10) - 1) * 100, 6) AS compounded10 FROM r",

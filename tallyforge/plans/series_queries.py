@@ -43,10 +43,10 @@ SELECT ticker, round((d1 - d0) / 365.25, 6) AS age_years, round({_LIFE.format(fi
   round(CASE WHEN first > 0 AND (d1 - d0) / 365.25 >= 0.5 THEN (endpoint - first) / first * 100 END, 6) AS life_return FROM one LEFT JOIN paid USING (ticker)"""),
     "series_trend": with_views("bars", _POS + """, up AS (SELECT ticker, ln(close) AS y, row_number() OVER (PARTITION BY ticker ORDER BY bar_date) - 1 AS x FROM bars WHERE close > 0),
 fit AS (SELECT ticker, count(*) AS m, regr_r2(y, x) AS r2, regr_slope(y, x) AS slope FROM up GROUP BY ticker),
-one AS (SELECT ticker, count(*) AS n, avg(close) FILTER (WHERE i >= n - 60) AS ma, arg_max(close, bar_date) AS last, max(close) AS hi, min(close) AS lo, count(*) FILTER (WHERE close < last_close) AS below FROM pos GROUP BY ticker)
+one AS (SELECT ticker, count(*) AS n, avg(close) FILTER (WHERE i >= n - 60) AS ma, arg_max(close, bar_date) AS last, max(close) AS hi, min(close) AS lo, any_value(ep) AS ep, count(*) FILTER (WHERE close < ep) AS below FROM (SELECT *, avg(close) FILTER (WHERE i >= n - 5) OVER (PARTITION BY ticker) AS ep FROM pos) GROUP BY ticker)
 SELECT ticker, round(CASE WHEN m >= 2 THEN coalesce(r2, 1.0) ELSE 0 END, 6) AS trend_r2, round(CASE WHEN m >= 2 THEN (exp(slope * 78) - 1) * 100 END, 4) AS trend_cagr,
   round(CASE WHEN n >= 60 AND ma > 0 THEN greatest(0, (ma - last) / ma * 100) ELSE 0 END, 6) AS below_ma, round(CASE WHEN n >= 60 AND ma > 0 THEN greatest(0, (last - ma) / ma * 100) ELSE 0 END, 6) AS above_ma,
-  round(CASE WHEN n >= 2 THEN below / (n - 1) * 100 ELSE 0 END, 6) AS pct_rank, round(greatest(0, (hi - last) / hi * 100), 6) AS from_high, last >= hi * 0.98 AS at_high, last <= lo * 1.02 AS at_low FROM one LEFT JOIN fit USING (ticker)"""),
+  round(CASE WHEN n >= 2 THEN below / (n - 1) * 100 ELSE 0 END, 6) AS pct_rank, round(greatest(0, (hi - ep) / hi * 100), 6) AS from_high, last >= hi * 0.98 AS at_high, last <= lo * 1.02 AS at_low FROM one LEFT JOIN fit USING (ticker)"""),
     "series_drawdown": with_views("bars", _POS + """, p2 AS (SELECT *, lead(close, 78) OVER w AS ahead, max(CASE WHEN close > 0 AND close >= peak THEN i END) OVER w AS top_i FROM pos WINDOW w AS (PARTITION BY ticker ORDER BY bar_date)),
 p3 AS (SELECT *, i % 5 = 0 AND close > 0 AND coalesce(ahead, 0) > 0 AS pair FROM p2)
 SELECT ticker, round(greatest(0, max((peak - close) / peak * 100)), 6) AS max_drawdown, round(CASE WHEN count(*) >= 2 THEN max(i - top_i) / 252.0::DOUBLE END, 6) AS underwater_years,

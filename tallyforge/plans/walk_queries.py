@@ -10,7 +10,7 @@ from tallyforge.sources import tables as T
 from tallyforge.sources.tables import SQL as VIEWS
 
 ARMS = [(f"r{r}-d{d}", r, d) for r in (0.0, 0.1, 0.5) for d in (0.0, 0.05, 0.2)]
-DRAWS, BLOCK = 200, 2
+DRAWS, BLOCK = 1000, 2
 
 
 def _samples(s, d):
@@ -31,8 +31,7 @@ def _trails(s, d):
 
 def _bootstrap(s, d):
     rows = _samples(s, d)
-    buckets = sorted(r[0] for r in rows.select("bucket").distinct().collect())  # half-years: a few dozen numbers
-    return X.bootstrap(rows, X.draws(s, buckets, DRAWS, BLOCK)).select(*[F.round(c, 4).alias(c) for c in ("lo", "mid", "hi")])
+    return X.bootstrap(rows, X.draws(s, rows.select("bucket"), DRAWS, BLOCK), BLOCK, least_blocks=2).select(*[F.round(c, 4).alias(c) for c in ("lo", "mid", "hi")])
 
 
 QUERIES = {
@@ -49,7 +48,8 @@ QUERIES = {
     "stat_edges": lambda s, d: X.edges(_samples(s, d).withColumn("id", F.concat_ws(":", "ticker", F.col("cutoff").cast("string"))), "bucket", key="id"),
     "stat_bootstrap": _bootstrap,
     "stat_turnover": lambda s, d: X.turnover(_samples(s, d)),
-    "stat_recall": lambda s, d: X.recall(_samples(s, d)),
+    "stat_recall": lambda s, d: X.recall(_samples(s, d).withColumn("score", F.when(_gate(), F.col("score"))), least=0.5),
+    "stat_lane_metrics": lambda s, d: X.lane_metrics(_samples(s, d), "bucket"),
     "stat_decorrelate": lambda s, d: X.decorrelate(_trails(s, d)),
 }
 
@@ -62,11 +62,11 @@ r2 AS (SELECT *, (peak - close) / peak * 100 AS dd FROM r1),
 r3 AS (SELECT *, max(dd) OVER p AS mdd, stddev_pop(ret) OVER (PARTITION BY ticker ORDER BY bar_date ROWS BETWEEN 77 PRECEDING AND CURRENT ROW) AS v, regr_r2(ln(close), i) OVER p AS rr
   FROM r2 WINDOW p AS (PARTITION BY ticker ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 r4 AS (SELECT a.*, (SELECT arg_min(b.close, b.bar_date) FROM bars b WHERE b.ticker = a.ticker AND b.bar_date >= a.bar_date + 730) AS fwd FROM r3 a WHERE i >= 156 AND (i - 156) % 20 = 0),
-r5 AS (SELECT r4.*, market FROM r4 LEFT JOIN sectors USING (ticker) WHERE fwd IS NOT NULL AND (NOT EXISTS (SELECT 1 FROM spans s WHERE s.ticker = r4.ticker) OR EXISTS (SELECT 1 FROM spans s WHERE s.ticker = r4.ticker AND s.start_date <= bar_date AND (s.end_date IS NULL OR bar_date < s.end_date)))),
-r6 AS (SELECT ticker, bar_date AS cutoff, CAST(year(bar_date) * 2 + (month(bar_date) - 1) // 6 AS INT) AS bucket, market, round((fwd / close - 1) * 100, 6) AS realized,
+r5 AS (SELECT r4.*, market, class FROM r4 LEFT JOIN sectors USING (ticker) WHERE fwd IS NOT NULL AND (NOT EXISTS (SELECT 1 FROM spans s WHERE s.ticker = r4.ticker) OR EXISTS (SELECT 1 FROM spans s WHERE s.ticker = r4.ticker AND s.start_date <= bar_date AND (s.end_date IS NULL OR bar_date < s.end_date)))),
+r6 AS (SELECT ticker, bar_date AS cutoff, CAST(year(bar_date) * 2 + (month(bar_date) - 1) // 6 AS INT) AS bucket, market, class, round((fwd / close - 1) * 100, 6) AS realized,
   round(CASE WHEN bar_date = d0 THEN (close / c0 - 1) * 100 ELSE (power(greatest(close / c0, 1e-9), 1 / ((bar_date - d0) / 365.25)) - 1) * 100 END, 6) AS cagr_life, round(mdd, 6) AS max_dd, round(v, 6) AS vol,
   round((close - low) / nullif(peak - low, 0) * 100, 6) AS range_pct, round(rr, 6) AS r2 FROM r5),
-samples AS (SELECT *, round(realized - CASE WHEN count(*) OVER (PARTITION BY bucket, market) >= 8 THEN avg(realized) OVER (PARTITION BY bucket, market) ELSE avg(realized) OVER (PARTITION BY bucket) END, 6) AS relative,
+samples AS (SELECT *, round(realized - CASE WHEN count(*) OVER (PARTITION BY bucket, class, market) >= 8 THEN avg(realized) OVER (PARTITION BY bucket, class, market) ELSE avg(realized) OVER (PARTITION BY bucket, class) END, 6) AS relative,
   round(least(cagr_life, 30.0) + range_pct / 10 - max_dd / 20, 4) AS score FROM r6)"""
 )
 _GATE = "coalesce(max_dd <= 98 AND range_pct >= 40, max_dd <= 98, range_pct >= 40, true)"
@@ -102,7 +102,16 @@ SELECT ticker, round(max(close) FILTER (WHERE rn - 1 = least(floor(0.3::DOUBLE *
     "stat_edges": _SAMPLES + ", z AS (SELECT *, ticker || ':' || cutoff AS id FROM samples)" + _EDGES.format(by="bucket", key="id", src="z") + """ SELECT bucket, n, round(top, 6) AS top, round(bottom, 6) AS bottom, round(top - bottom, 6) AS edge, round(CASE WHEN n >= 3 THEN t1 END, 6) AS t1, round(CASE WHEN n >= 3 THEN t2 END, 6) AS t2, round(CASE WHEN n >= 3 THEN t3 END, 6) AS t3,
   coalesce(n >= 3 AND t1 > t2 AND t2 > t3, false) AS monotone, round(CASE WHEN n >= 4 THEN w END, 6) AS winsor_edge FROM e""",
     "stat_turnover": _SAMPLES + """, k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, ticker, cutoff) AS rn, count(*) OVER (PARTITION BY bucket) AS n FROM samples), h AS (SELECT bucket, array_agg(DISTINCT ticker) AS held FROM k WHERE rn <= n // 2 GROUP BY 1),
-l AS (SELECT *, lag(held) OVER (ORDER BY bucket) AS was FROM h) SELECT round(avg(1 - len(list_intersect(held, was)) / nullif(len(list_distinct(list_concat(held, was))), 0)), 6) AS turnover FROM l WHERE was IS NOT NULL""",
-    "stat_recall": _SAMPLES + """, k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, ticker, cutoff) AS sn, row_number() OVER (PARTITION BY bucket ORDER BY realized DESC, ticker, cutoff) AS rn, count(*) OVER (PARTITION BY bucket) AS n FROM samples)
-SELECT bucket, round(avg(CASE WHEN sn <= 10 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall, round(sum(CASE WHEN sn <= 10 THEN 1 + realized / 100 ELSE 0 END) / nullif(sum(1 + realized / 100), 0), 6) AS captured FROM k WHERE rn <= greatest(floor(0.1::DOUBLE * n), 1) GROUP BY bucket""",
+l AS (SELECT *, lag(held) OVER (ORDER BY bucket) AS was FROM h) SELECT coalesce(round(avg(1 - len(list_intersect(held, was)) / nullif(len(list_distinct(list_concat(held, was))), 0)), 6), 0) AS turnover FROM l WHERE was IS NOT NULL""",
+    "stat_recall": _SAMPLES + f""", k AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY realized DESC, ticker, cutoff) AS rn, count(*) OVER (PARTITION BY bucket) AS n FROM samples),
+p AS (SELECT bucket, ticker, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, ticker, cutoff) AS sn FROM samples WHERE {_GATE}), h AS (SELECT DISTINCT bucket, ticker FROM p WHERE sn <= 10),
+w AS (SELECT greatest(1 + realized / 100, 0) AS m, EXISTS (SELECT 1 FROM h WHERE h.bucket = k.bucket AND h.ticker = k.ticker) AS held FROM k WHERE n >= 2 AND rn <= least(greatest(floor(0.1::DOUBLE * n + 0.5), 1), n))
+SELECT round(avg(CASE WHEN held THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall, round(sum(CASE WHEN held THEN m ELSE 0 END) / sum(m), 6) AS captured, count(*) AS winners FROM w WHERE m >= 0.5""",
+    "stat_lane_metrics": _SAMPLES + ", z AS (SELECT *, ticker || ':' || cutoff AS id FROM samples)" + _EDGES.format(by="bucket", key="id", src="z") + f""", k2 AS (SELECT bucket, rank() OVER (PARTITION BY bucket ORDER BY score) + (count(*) OVER (PARTITION BY bucket, score) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY bucket ORDER BY relative) + (count(*) OVER (PARTITION BY bucket, relative) - 1) / 2.0::DOUBLE AS ry FROM samples),
+r AS (SELECT bucket, CASE WHEN count(*) >= 4 THEN {_RHO} END AS rho FROM k2 GROUP BY 1) SELECT bucket, n, rho, CASE WHEN n >= 4 THEN round(top - bottom, 6) ELSE 0 END AS edge FROM e JOIN r USING (bucket)""",
+    "stat_bootstrap": _SAMPLES + f""", b AS (SELECT bucket, row_number() OVER (ORDER BY bucket) - 1 AS place, count(*) OVER () AS m FROM (SELECT DISTINCT bucket FROM samples)), x AS (SELECT d.range AS draw, n.range AS nth, (SELECT max(m) FROM b) AS m FROM range({DRAWS}) d, range(0, 10000) n WHERE n.range <= ((SELECT max(m) FROM b) - 1) // {BLOCK}),
+y AS (SELECT draw, (((draw * 7919 + nth * 104729) * 48271 % 2147483647) % m + k.range) % m AS place FROM x, range({BLOCK}) k WHERE nth * {BLOCK} + k.range < m), c AS (SELECT draw, bucket, count(*) AS times FROM y JOIN b USING (place) GROUP BY 1, 2),
+u AS (SELECT draw, relative, row_number() OVER (PARTITION BY draw ORDER BY score DESC, ticker, cutoff) AS rn, count(*) OVER (PARTITION BY draw) AS n FROM samples JOIN (SELECT draw, bucket, unnest(range(times)) FROM c) USING (bucket)),
+e AS (SELECT draw, avg(relative) FILTER (WHERE rn <= n // 2) - avg(relative) FILTER (WHERE rn > n - n // 2) AS edge FROM u GROUP BY 1), r AS (SELECT edge, row_number() OVER (ORDER BY edge) - 1 AS i, count(*) OVER () AS n FROM e), g AS (SELECT count(*) >= 4 AND count(*) // {BLOCK} >= 2 AS ok FROM b)
+SELECT round(CASE WHEN any_value(ok) THEN max(edge) FILTER (WHERE i = floor(0.05::DOUBLE * (n - 1) + 0.5)) END, 4) AS lo, round(CASE WHEN any_value(ok) THEN max(edge) FILTER (WHERE i = floor(0.5::DOUBLE * (n - 1) + 0.5)) END, 4) AS mid, round(CASE WHEN any_value(ok) THEN max(edge) FILTER (WHERE i = floor(0.95::DOUBLE * (n - 1) + 0.5)) END, 4) AS hi FROM r, g""",
 }
