@@ -121,3 +121,53 @@ def knob_sweep(rows: DataFrame, arms: DataFrame) -> DataFrame:
     each = rows.withColumn("one", F.lit(1)).join(F.broadcast(arms.withColumn("one", F.lit(1))), "one")
     scored = each.withColumn("score", F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4)).withColumn("id", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")))
     return edges(scored, "arm", key="id").select("arm", "n", "edge")
+
+
+def cadences(bars: DataFrame) -> DataFrame:
+    """(ticker, per_year, history, hold, step): bars a year of each series from its own span, and one year, three and a half as
+    bars, one at least; null for a series of one day."""
+    one = bars.groupBy("ticker").agg(F.count("*").alias("n"), F.datediff(F.max("bar_date"), F.min("bar_date")).alias("days"))
+    rate = F.try_divide((F.col("n") - 1) * F.lit(365.25), F.col("days"))
+    rounded = lambda k: F.greatest(F.floor(rate * k + 0.5), F.lit(1)).cast("long")
+    return one.select("ticker", F.round(rate, 6).alias("per_year"), rounded(1.0).alias("history"), rounded(3.0).alias("hold"), rounded(0.5).alias("step"))
+
+
+def knob_draws(spark, n: int) -> DataFrame:
+    """(arm, w_range, w_dd, active): weights from a hash of the draw; a third of each is off, and ``active`` counts those on."""
+    part = lambda salt: F.pmod(F.col("id") * 2654435761 + salt, F.lit(997)) / 996.0
+    on = lambda c: F.when(c < 1 / 3, 0.0).otherwise(F.round((c - 1 / 3) * 1.5, 4))
+    rows = spark.range(n).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("arm"), on(part(0)).alias("w_range"), on(part(31337)).alias("w_dd"))
+    return rows.withColumn("active", ((F.col("w_range") > 0).cast("int") + (F.col("w_dd") > 0).cast("int")))
+
+
+def knob_search(rows: DataFrame, arms: DataFrame, edge_day: str, months: int = 24) -> DataFrame:
+    """(arm, active, train_rho, train_edge, test_rho, test_edge): each arm scores the samples before ``edge_day``, less those
+    within ``months`` of it; of the arms with a rank correlation above 0 there, the one with the best halves' edge, and
+    of equal ones the one with fewest active weights, is tested once on the samples from ``edge_day`` on."""
+    from tallyforge.operators.stats import lane_metrics
+
+    def scored(part: DataFrame, some: DataFrame) -> DataFrame:
+        each = part.withColumn("one", F.lit(1)).join(F.broadcast(some.withColumn("one", F.lit(1))), "one")
+        return lane_metrics(each.withColumn("score", F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4)), "arm")
+
+    day = F.lit(edge_day).cast("date")
+    train = scored(rows.filter(F.col("cutoff") < F.date_sub(day, months * 30)), arms).join(arms, "arm").filter("rho > 0")
+    won = train.orderBy(F.desc("edge"), "active", "arm").limit(1).select("arm", "w_range", "w_dd", "active", F.col("rho").alias("train_rho"), F.col("edge").alias("train_edge"))
+    test = scored(rows.filter(F.col("cutoff") >= day), won.select("arm", "w_range", "w_dd"))
+    return won.join(test, "arm", "left").select("arm", "active", "train_rho", "train_edge", F.col("rho").alias("test_rho"), F.col("edge").alias("test_edge"))
+
+
+def factor_sweep(rows: DataFrame, factors: list[str], edge_day: str) -> DataFrame:
+    """(factor, n, rho, edge, early_rho, late_rho, beats): each factor as the score, over all samples and on either side of
+    ``edge_day``; it beats the present score if its edge is higher and both halves' correlations are above 0."""
+    from tallyforge.operators.stats import lane_metrics
+
+    base = lane_metrics(rows.withColumn("all", F.lit("all")), "all").select(F.col("edge").alias("base"), F.lit(1).alias("one"))
+    long = rows.select("relative", "ticker", "cutoff", *[F.col(f).cast("double") for f in factors]).unpivot(["relative", "ticker", "cutoff"], factors, "factor", "score").filter("score IS NOT NULL")
+    half = F.when(F.col("cutoff") < F.lit(edge_day).cast("date"), "early").otherwise("late")
+    whole = lane_metrics(long, "factor")
+    parts = lane_metrics(long.withColumn("part", F.concat_ws(":", "factor", half)), "part").select(F.split("part", ":")[0].alias("factor"), F.split("part", ":")[1].alias("half"), "rho")
+    sides = parts.groupBy("factor").agg(F.max(F.when(F.col("half") == "early", F.col("rho"))).alias("early_rho"), F.max(F.when(F.col("half") == "late", F.col("rho"))).alias("late_rho"))
+    told = whole.join(sides, "factor").withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
+    beats = F.coalesce((F.col("edge") > F.col("base")) & (F.col("early_rho") > 0) & (F.col("late_rho") > 0), F.lit(False))
+    return told.select("factor", "n", "rho", "edge", "early_rho", "late_rho", beats.alias("beats"))
