@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def journal_json(journal: DataFrame) -> DataFrame:
-    """(day, line): a JSON line for each day, its rows in the order of rank."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker", "px"))), lambda r: F.struct(r["ticker"].alias("ticker"), r["px"].alias("px")))
-    return journal.groupBy("day").agg(F.to_json(F.struct(F.first("day").cast("string").alias("date"), rows.alias("rows"))).alias("line"))
+    """(day, line): a JSON line for each day, its rows as pairs of ticker and price in the order of rank; a missing price is null."""
+    pair = lambda r: F.concat(F.regexp_replace(F.to_json(F.array(r["ticker"])), r"\]$", ","), F.coalesce(r["px"].cast("string"), F.lit("null")), F.lit("]"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ticker", "px"))), pair), ",")
+    return journal.groupBy("day").agg(F.concat(F.lit('{"date":"'), F.first("day").cast("string"), F.lit('","rows":['), rows, F.lit("]}")).alias("line"))
 
 
 def write_journal(journal: DataFrame, path: str) -> None:

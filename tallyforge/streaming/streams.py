@@ -31,7 +31,8 @@ def window_totals(events: DataFrame, size: str = "1 day", late: str = "1 day") -
 
 
 def first_of_day(events: DataFrame, late: str = "2 days") -> DataFrame:
-    """(day, user_id): one row a user and day; repeats within the watermark are dropped."""
+    """(day, user_id): one row a user and day; repeats within the watermark are dropped, and so are rows that come more than
+    ``late`` behind the newest."""
     rows = events.withWatermark("ts", late).withColumn("day", F.to_date("ts"))
     return rows.dropDuplicatesWithinWatermark(["day", "user_id"]).select("day", "user_id")
 
@@ -58,9 +59,61 @@ def dip_alerts(prices: DataFrame, fall: float = 0.3) -> DataFrame:
     return prices.groupBy("ticker").applyInPandasWithState(step, "ticker string, ts timestamp, px double", "high double, alerted boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def regime_flips(levels: DataFrame) -> DataFrame:
+    """(series, ts, was, state): a row when a series (series, ts, level) changes between near its high, pullback and bear; a series
+    begins near its high. Rows of a batch are taken in the order of their time."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        high, was = state.get if state.exists else (float("-inf"), "NEAR-HIGH")
+        rows = pd.concat(list(batches)).sort_values("ts")
+        out = []
+        for ts, level in zip(rows["ts"], rows["level"]):
+            if level is None or level != level:
+                continue
+            high = max(high, level)
+            below = 100 * (level / high - 1) if high > 0 else 0.0
+            now = "BEAR" if below <= -15 else "PULLBACK" if below <= -5 else "NEAR-HIGH"
+            if now != was:
+                out.append((key[0], ts, was, now))
+            was = now
+        state.update((high, was))
+        yield pd.DataFrame(out, columns=["series", "ts", "was", "state"])
+
+    return levels.groupBy("series").applyInPandasWithState(step, "series string, ts timestamp, was string, state string", "high double, was string", "append", GroupStateTimeout.NoTimeout)
+
+
+def refetches(asks: DataFrame, days: float = 3.0, forget: str = "30 days") -> DataFrame:
+    """(key, ts): of requests (key, ts) those that a cache of ``days`` doesn't serve. A key that isn't asked for is forgotten once the
+    watermark is past its entry's end, so state is bounded by the keys of that time."""
+    life = pd.Timedelta(days=days)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = pd.Timestamp(state.get[0]) if state.exists else None
+        out = []
+        for ts in sorted(pd.concat(list(batches))["ts"]):
+            if last is None or ts >= last + life:
+                out.append((key[0], ts))
+                last = ts
+        state.update((last,))
+        end = int((last + life).timestamp() * 1000)
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+        yield pd.DataFrame(out, columns=["key", "ts"])
+
+    return asks.withWatermark("ts", forget).groupBy("key").applyInPandasWithState(step, "key string, ts timestamp", "fetched timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All rows that ``stream`` gives for what its source holds now, as a table in memory: for reports and tests."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{shared_folder(spark)}/{name}").start()
+    """All rows that ``stream`` gives for what its source holds now, as a table of files: each batch is written under its
+    number, so that one that runs again replaces itself; a complete result replaces the one before."""
+    spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
