@@ -35,7 +35,7 @@ KINDS = {"assign": (ASSIGN, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex":
 #: What a text must match before the pattern is tried; cheaper, and implied by it.
 HINTS = {"assign": r"[dDtTnNyY][\"']?\x20*[:=]", "access": "AKIA", "hex": r"[0-9a-f]{16}"}
 LEAST = 12  #: characters of a candidate
-CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+"
 #: Encodings, the smallest alphabet first: pattern, alphabet, and of ordinary text in it the chance that two symbols are equal,
 #: that three are, and that neighbours differ in kind. Ordinary hexadecimal strings are decimal numbers, other ones are words.
 ENCODINGS = {
@@ -55,7 +55,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def matches(text: Column, pattern: str, group: int, least: int, hint: str) -> Column:
+def matches(text: Column, pattern: str, group: int, least: int, hint: str = "") -> Column:
     """Structs (start, end) of leftmost non-overlapping matches whose group has ``least`` characters or more: the
     pieces between the matches and the matches themselves add up to each match's place."""
     lengths = lambda a: F.transform(a, lambda x: F.length(x))
@@ -70,7 +70,8 @@ def matches(text: Column, pattern: str, group: int, least: int, hint: str) -> Co
         out = F.when(m["part"] >= least, F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"))))).otherwise(s["out"])
         return F.struct(end.alias("at"), out.alias("out"))
 
-    return F.when(text.rlike(hint), F.aggregate(rows, start, step, lambda s: s["out"])).otherwise(empty)
+    found = F.aggregate(rows, start, step, lambda s: s["out"])
+    return F.when(text.rlike(hint), found).otherwise(empty) if hint else found
 
 
 def upper_tail(z: Column) -> Column:
@@ -138,19 +139,25 @@ def p_values(token: Column) -> Column:
     return let(encoding_of(token), lambda e: let(counted(token, e), lambda c: tests(e, c)))
 
 
-def scanned(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """For each row: base spans by kind, and candidates (start, end, stratum, level on the p-value grid)."""
+def scanned(docs: DataFrame, fdr: float = 0.01, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """For each row: base spans by kind, and candidates (start, end, stratum, level on the p-value grid). Places are only
+    worked out where a token has a p-value of ``fdr`` or less, as no other one can be a discovery."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     text = F.col("text")
 
-    def tested(m: Column) -> Column:
-        size = m["end"] - m["start"]
-        length = sum((F.when(size >= s, 1).otherwise(0) for s in STRATA), F.lit(-1))
+    def tested(token: Column) -> Column:
+        length = sum((F.when(F.length(token) >= s, 1).otherwise(0) for s in STRATA), F.lit(-1))
         p = lambda v: F.when(v["battery"] < NOT_RANDOM, 1.0).otherwise(F.greatest(v["ordinary"], F.lit(1e-40)))
-        return let(p_values(F.substring(text, m["start"] + 1, size)), lambda v: F.struct(m["start"].alias("start"), m["end"].alias("end"), (v["encoding"] * len(STRATA) + length).alias("stratum"), F.floor(-F.log10(p(v)) * GRID).cast("int").alias("level")))
+        return let(p_values(token), lambda v: F.struct((v["encoding"] * len(STRATA) + length).alias("stratum"), F.floor(-F.log10(p(v)) * GRID).cast("int").alias("level")))
+
+    def placed(v: Column) -> Column:
+        cell = lambda start, end, x: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["stratum"].alias("stratum"), x["level"].alias("level"))
+        low = F.exists(v, lambda x: x["level"] >= math.floor(-math.log10(fdr) * GRID))
+        return F.when(low, F.zip_with(v, matches(text, CANDIDATE, 0, LEAST), lambda x, m: cell(m["start"], m["end"], x))).otherwise(F.transform(v, lambda x: cell(F.lit(None), F.lit(None), x)))
 
     spans = [matches(text, p, g, least, HINTS[kind]).alias(kind) for kind, (p, g, least) in KINDS.items()]
-    return rows.select("id", *spans, F.transform(matches(text, CANDIDATE, 0, LEAST, CANDIDATE), tested).alias("candidates"))
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), tested)
+    return rows.select("id", *spans, let(tokens, placed).alias("candidates"))
 
 
 def thresholds(rows: DataFrame, fdr: float) -> dict[int, int]:
@@ -165,7 +172,7 @@ def thresholds(rows: DataFrame, fdr: float) -> dict[int, int]:
 def find_secrets(docs: DataFrame, fdr: float = 0.01, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For each row: its id and ``found``, an array of (start, kind number, kind, end) by start, then kind."""
     with Workspace(docs.sparkSession, "secrets") as work:
-        rows = work.keep(work.staged(scanned(docs, id_column, text_column), "spans"))
+        rows = work.keep(work.staged(scanned(docs, fdr, id_column, text_column), "spans"))
     limits = thresholds(rows, fdr)
 
     def stands(c: Column) -> Column:
