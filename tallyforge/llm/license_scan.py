@@ -5,7 +5,8 @@ compared by units: windows of ``WINDOWS`` lines from a line on that has one of t
 licences also the whole text. A mark is a term that a unit needs for a cosine of ``COSINE`` with some template: the other terms
 of that template together weigh too little. Units and templates are sparse rows (unit, term, weight) joined by term; equal
 units are compared once. Inverse document frequencies count all documents. A file's own licence is what its
-SPDX tag says, or else that of its best unit, if that is near enough. A directory's is the one that most files directly in
+SPDX tag says, or else that of a unit: of those with a cosine of ``SURE`` or more the one with the largest template (a text that
+goes on is told from one that ends), else the one with the highest cosine, if that is near enough. A directory's is the one that most files directly in
 it have themselves (the first by name if tied). A file without one of its own takes that of the nearest
 directory above it that has one: its ancestors are listed and joined to directories by path.
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.staging import Workspace, text_of
 
-COSINE = 0.6
+COSINE, SURE = 0.6, 0.9
 WINDOWS = (1, 2, 4, 8, 16, 32)  #: lines of a unit
 SPDX = r"SPDX-License-Identifier:\s*\(?\s*([A-Za-z0-9.+-]+)"
 LICENSE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)[^/]*$"
@@ -131,20 +132,20 @@ def document_counts(texts: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def match_units(units: DataFrame, df: dict[str, int], n: int) -> DataFrame:
-    """(unit, license, cosine): the best template of each of the different ``units`` (unit), where it is near enough."""
+    """(unit, license, cosine, size): the best template of each of the different ``units`` (unit), where it is near enough, and its norm."""
     spark = units.sparkSession
     rows = []
     for k, w in enumerate(template_weights(df, n)):
         norm = math.sqrt(sum(x * x for x in w.values()))
-        rows += [(t, k, TEMPLATES[k][0], x / norm) for t, x in w.items()]
-    wanted = F.broadcast(spark.createDataFrame(rows, "term string, t int, license string, w double"))
+        rows += [(t, k, TEMPLATES[k][0], x / norm, norm) for t, x in w.items()]
+    wanted = F.broadcast(spark.createDataFrame(rows, "term string, t int, license string, w double, size double"))
     idf = F.broadcast(spark.createDataFrame([(t, rarity(df.get(t, 0), n)) for t in {r[0] for r in rows}], "term string, idf double"))
     tf = units.select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
     weighed = tf.join(idf, "term", "left").select("unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(rarity(0, n)))).alias("x"))
     sizes = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(wanted, "term").groupBy("unit", "t", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dots = weighed.join(wanted, "term").groupBy("unit", "t", "license", "size").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     near = dots.join(sizes, "unit").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= COSINE)
-    return near.groupBy("unit").agg(F.max(F.struct("cosine", (-F.col("t")).alias("t"), "license")).alias("m")).select("unit", "m.license", "m.cosine")
+    return near.groupBy("unit").agg(F.max(F.struct("cosine", (-F.col("t")).alias("t"), "license", "size")).alias("m")).select("unit", "m.license", "m.cosine", "m.size")
 
 
 def unit_texts(text: Column, path: Column, mark: list[str]) -> Column:
@@ -169,8 +170,9 @@ def scan(files: DataFrame, path: Column, id_column: str = "doc_id", text_column:
         rows = work.staged(texts.select("id", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), tag.alias("tag"), unit_texts(F.col("text"), F.coalesce("path", F.lit("")), mark).alias("units")), "files")
         units = rows.select("id", F.posexplode("units").alias("at", "unit"))
         best = work.staged(match_units(units.select("unit").distinct(), df, n), "units")
-        told = units.join(best, "unit").select("id", "cosine", "at", "license").union(rows.filter("tag IS NOT NULL").select("id", F.lit(2.0), F.lit(-1), "tag"))
-        own = told.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("at")).alias("at"), "license")).alias("m")).select(F.col("id").alias("own_id"), F.col("m.license").alias("own_license"))
+        told = units.join(best, "unit").select("id", F.when(F.col("cosine") >= SURE, F.col("size")).otherwise(0.0).alias("sure"), "cosine", "at", "license")
+        told = told.union(rows.filter("tag IS NOT NULL").select("id", F.lit(float("inf")), F.lit(1.0), F.lit(-1), "tag"))
+        own = told.groupBy("id").agg(F.max(F.struct("sure", "cosine", (-F.col("at")).alias("at"), "license")).alias("m")).select(F.col("id").alias("own_id"), F.col("m.license").alias("own_license"))
         known = work.keep(work.staged(rows.select("id", "dir", F.size("units").cast("long").alias("n_notice_units")).join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id"), "own"))
         votes = known.filter("own_license IS NOT NULL AND dir IS NOT NULL").groupBy("dir", "own_license").agg(F.count("*").alias("n"))
         dirs = votes.groupBy("dir").agg(F.min(F.struct((-F.col("n")).alias("n"), "own_license")).alias("m")).select("dir", F.col("m.own_license").alias("license"))
