@@ -209,11 +209,15 @@ def splice_start(bars: DataFrame, max_weekly: float = 3.0) -> DataFrame:
 
 
 def splice_proxy(bars: DataFrame, proxy: DataFrame) -> DataFrame:
-    """``bars`` (ticker, bar_date, close) after the proxy's older bars, which are scaled to meet their first close."""
+    """``bars`` (ticker, bar_date, close) after the proxy's older bars, which are scaled to meet their first close. The proxy has a
+    row a date, so it is small and goes to all tasks."""
     first = bars.groupBy("ticker").agg(F.min("bar_date").alias("d0"), F.min_by("close", "bar_date").alias("c0"))
-    both = proxy.select("bar_date", "close").withColumn("one", F.lit(1)).join(first.withColumn("one", F.lit(1)), "one")
-    at = both.groupBy("ticker").agg(F.max_by("close", F.when(F.col("bar_date") <= F.col("d0"), F.col("bar_date"))).alias("p0"))
-    older = both.filter("bar_date < d0").join(at, "ticker").filter("c0 > 0 AND p0 > 0")
+    told = proxy.select(F.col("bar_date").alias("d0"), F.col("close").cast("double").alias("p0"), F.lit(0).alias("side"))
+    asked = first.select("d0", F.lit(None).cast("double").alias("p0"), F.lit(1).alias("side")).distinct()
+    w = Window.partitionBy(F.lit(1)).orderBy("d0", "side")  # a row a date on either side
+    at = told.union(asked).withColumn("p0", F.last("p0", ignorenulls=True).over(w)).filter("side = 1").select("d0", "p0")
+    scaled = first.join(F.broadcast(at), "d0").filter("c0 > 0 AND p0 > 0")
+    older = scaled.join(F.broadcast(proxy.select("bar_date", "close")), F.col("bar_date") < F.col("d0"))
     return older.select("ticker", "bar_date", (F.col("close") * F.col("c0") / F.col("p0")).alias("close")).unionByName(bars.select("ticker", "bar_date", "close"))
 
 

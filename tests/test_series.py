@@ -81,8 +81,36 @@ def test_sizes_keep_the_cap(spark):
 
 
 def test_bootstrap_draws_repeat(spark):
-    a, b = (stats.draws(spark, [1, 2, 3, 4, 5], 3, 2).collect() for _ in range(2))
-    assert a == b and len(a) == 15 and {r.bucket for r in a} <= {1, 2, 3, 4, 5}
+    buckets = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5, 5)], "bucket int")
+    a, b = (sorted(stats.draws(spark, buckets, 30, 2).collect()) for _ in range(2))
+    assert a == b and {r.bucket for r in a} <= {1, 2, 3, 4, 5} and {r.draw for r in a} == set(range(30))
+    assert all(sum(r.times for r in a if r.draw == k) == 5 for k in range(30)) and len({tuple((r.bucket, r.times) for r in a if r.draw == k) for k in range(30)}) > 5
+
+
+def test_bands_need_buckets(spark):
+    rows = spark.createDataFrame([(k % 3, f"t{k}", k, float(k), float(k % 7)) for k in range(30)], "bucket int, ticker string, cutoff int, score double, relative double")
+    drawn = stats.draws(spark, rows.select("bucket"), 20, 2)
+    assert stats.bootstrap(rows, drawn).first().mid is None
+    assert stats.bootstrap(rows, drawn, least_keys=2, least_blocks=1).first().mid is not None
+
+
+def test_overlap_groups_against_python(spark):
+    import random
+
+    r = random.Random(2)
+    held = {f"F{k:02d}": set(r.sample(range(14), r.randint(3, 9))) for k in range(30)}
+    rows = spark.createDataFrame([(1, f, f"S{x}") for f, xs in held.items() for x in xs], "report long, fund string, symbol string")
+    groups = []
+    for f in sorted(f for f, x in held.items() if len(x) >= 5):
+        home = next((g for g in groups if all(len(held[f] & held[m]) >= 5 for m in g)), None)
+        if home is None:
+            groups.append([f])
+        else:
+            home.append(f)
+    want = sorted((" ".join(g), len(set.intersection(*[held[m] for m in g]))) for g in groups if len(g) > 1)
+    assert sorted((x.members, x.common) for x in universe.overlap_groups(rows).collect()) == want and want
+    pairs = {(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= 5}
+    assert {tuple(x) for x in universe.overlaps(rows).collect()} == pairs
 
 
 def test_same_day_runs_keep_the_first_snapshot(spark):
