@@ -67,73 +67,98 @@ def life(first: Column, last: Column, start: Column, end: Column) -> Column:
     return F.when((first > 0) & (age >= 0.5), cagr((last / first - 1) * 100, age))
 
 
-def growth(bars: DataFrame, dividends: DataFrame, cap_years: float = 5.0, cadence: int = 78) -> DataFrame:
-    """age_years, life_cagr, tr_life_cagr (with dividends), capped_cagr (last ``cap_years``), life_return (smoothed end)."""
+def prepared(bars: DataFrame, cadence: int, window: int) -> DataFrame:
+    """``positioned`` bars with what the measures need besides: the smoothed endpoint, the place among positive closes (x), the close
+    ``window`` bars ahead, and the last place at the high."""
     rows = positioned(bars)
-    days = math.trunc(cap_years * 365.25)
-    late = F.col("bar_date") >= F.date_sub("last_date", days)
-    one = rows.groupBy("ticker").agg(
-        F.min_by("close", "bar_date").alias("first"), F.max_by("close", "bar_date").alias("last"), F.min("bar_date").alias("d0"), F.max("bar_date").alias("d1"),
-        F.min_by("close", F.when(late, F.col("bar_date"))).alias("cap_first"), F.min(F.when(late, F.col("bar_date"))).alias("cap_d0"), F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).alias("endpoint"),
-    )
-    paid = dividends.groupBy("ticker").agg(F.sum("amount").cast("double").alias("paid"))
-    one = one.join(paid, "ticker", "left")
-    age = F.datediff("d1", "d0") / 365.25
-    first, last, d0, d1 = (F.col(c) for c in ("first", "last", "d0", "d1"))
-    return one.select(
-        "ticker", F.round(age, 6).alias("age_years"), F.round(life(first, last, d0, d1), 6).alias("life_cagr"), F.round(life(first, last + F.coalesce("paid", F.lit(0.0)), d0, d1), 6).alias("tr_life_cagr"),
-        F.round(F.when(age >= 5, life(F.col("cap_first"), last, F.col("cap_d0"), d1)), 6).alias("capped_cagr"), F.round(F.when((first > 0) & (age >= 0.5), (F.col("endpoint") - first) / first * 100), 6).alias("life_return"),
-    )
+    late = span_to_bars(ENDPOINT_DAYS, cadence)
+    return rows.withColumns({
+        "endpoint": F.avg(tail(F.col("close"), late)).over(whole()), "x": F.when(F.col("close") > 0, F.count(F.when(F.col("close") > 0, 1)).over(by_date()) - 1), "ahead": F.lead("close", window).over(by_date()),
+        "top_i": F.max(F.when((F.col("close") > 0) & (F.col("close") >= F.col("peak")), F.col("i"))).over(by_date()),
+    })
 
 
-def trend(bars: DataFrame, cadence: int = 78, ma: int = 60, tol: float = 0.02) -> DataFrame:
-    """Log-trend fit and yearly slope, distance of the last close from the long average, and of the smoothed endpoint its
-    place among all closes and its distance from the high."""
-    rows = positioned(bars)
-    rows = rows.withColumn("endpoint", F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).over(whole()))
-    up = rows.filter("close > 0").withColumn("x", F.row_number().over(by_date()) - 1)
-    fit = up.groupBy("ticker").agg(F.count("*").alias("m"), F.regr_r2(F.log("close"), "x").alias("r2"), F.regr_slope(F.log("close"), F.col("x")).alias("slope"))
-    one = rows.groupBy("ticker").agg(
-        F.count("*").alias("n"), F.avg(tail(F.col("close"), ma)).alias("ma"), F.max_by("close", "bar_date").alias("last"), F.max("close").alias("hi"), F.min("close").alias("lo"),
-        F.count_if(F.col("close") < F.col("endpoint")).alias("below"), F.max("endpoint").alias("endpoint"),
-    ).join(fit, "ticker", "left")
-    gap = lambda x: F.when((F.col("n") >= ma) & (F.col("ma") > 0), F.greatest(F.lit(0.0), x / F.col("ma") * 100)).otherwise(0.0)
-    return one.select(
-        "ticker", F.round(F.when(F.col("m") >= 2, F.coalesce("r2", F.lit(1.0))).otherwise(0.0), 6).alias("trend_r2"), F.round(F.when(F.col("m") >= 2, (F.exp(F.col("slope") * cadence) - 1) * 100), 4).alias("trend_cagr"),
-        F.round(gap(F.col("ma") - F.col("last")), 6).alias("below_ma"), F.round(gap(F.col("last") - F.col("ma")), 6).alias("above_ma"),
-        F.round(F.when(F.col("n") >= 2, F.col("below") / (F.col("n") - 1) * 100).otherwise(0.0), 6).alias("pct_rank"), F.round(F.greatest(F.lit(0.0), (F.col("hi") - F.col("endpoint")) / F.col("hi") * 100), 6).alias("from_high"),
-        (F.col("last") >= F.col("hi") * (1 - tol)).alias("at_high"), (F.col("last") <= F.col("lo") * (1 + tol)).alias("at_low"),
-    )
+Part = tuple[dict[str, Column], dict[str, Column]]  # aggregates over a ticker's prepared bars, and measures of these
 
 
-def drawdown(bars: DataFrame, window: int = 78, step: int = 5) -> DataFrame:
-    """Deepest fall from a running high, longest time under it (years of 252 bars), and rolling returns over ``window`` bars."""
-    rows = positioned(bars).withColumn("ahead", F.lead("close", window).over(by_date()))
-    rows = rows.withColumn("top_i", F.max(F.when((F.col("close") > 0) & (F.col("close") >= F.col("peak")), F.col("i"))).over(by_date()))
+def growth_part(cap_years: float = 5.0) -> Part:
+    """age_years, life_cagr, tr_life_cagr (with ``paid`` dividends), capped_cagr (last ``cap_years``), life_return (smoothed end)."""
+    late = F.col("bar_date") >= F.date_sub("last_date", math.trunc(cap_years * 365.25))
+    made = {
+        "g_first": F.min_by("close", "bar_date"), "g_last": F.max("last_close"), "g_d0": F.min("bar_date"), "g_d1": F.max("bar_date"),
+        "g_cap": F.min_by("close", F.when(late, F.col("bar_date"))), "g_cap_d0": F.min(F.when(late, F.col("bar_date"))), "g_end": F.max("endpoint"),
+    }
+    first, last, d0, d1 = (F.col(f"g_{c}") for c in ("first", "last", "d0", "d1"))
+    age = F.datediff(d1, d0) / 365.25
+    return made, {
+        "age_years": age, "life_cagr": life(first, last, d0, d1), "tr_life_cagr": life(first, last + F.coalesce("paid", F.lit(0.0)), d0, d1), "capped_cagr": F.when(age >= 5, life(F.col("g_cap"), last, F.col("g_cap_d0"), d1)),
+        "life_return": F.when((first > 0) & (age >= 0.5), (F.col("g_end") - first) / first * 100),
+    }
+
+
+def trend_part(cadence: int = 78, ma: int = 60, tol: float = 0.02) -> Part:
+    """Log-trend fit and yearly slope, distance of the last close from the long average, and of the smoothed endpoint its
+    place among all closes and its distance from the high."""
+    y = F.when(F.col("close") > 0, F.log("close"))
+    made = {
+        "t_n": F.count("*"), "t_m": F.count("x"), "t_r2": F.regr_r2(y, F.col("x")), "t_slope": F.regr_slope(y, F.col("x")), "t_ma": F.avg(tail(F.col("close"), ma)), "t_last": F.max("last_close"), "t_hi": F.max("close"), "t_lo": F.min("close"),
+        "t_below": F.count_if(F.col("close") < F.col("endpoint")), "t_end": F.max("endpoint"),
+    }
+    n, m, last, hi = (F.col(f"t_{c}") for c in ("n", "m", "last", "hi"))
+    gap = lambda x: F.when((n >= ma) & (F.col("t_ma") > 0), F.greatest(F.lit(0.0), x / F.col("t_ma") * 100)).otherwise(0.0)
+    return made, {
+        "trend_r2": F.when(m >= 2, F.coalesce("t_r2", F.lit(1.0))).otherwise(0.0), "trend_cagr": F.round(F.when(m >= 2, (F.exp(F.col("t_slope") * cadence) - 1) * 100), 4), "below_ma": gap(F.col("t_ma") - last), "above_ma": gap(last - F.col("t_ma")),
+        "pct_rank": F.when(n >= 2, F.col("t_below") / (n - 1) * 100).otherwise(0.0), "from_high": F.greatest(F.lit(0.0), (hi - F.col("t_end")) / hi * 100), "at_high": last >= hi * (1 - tol), "at_low": last <= F.col("t_lo") * (1 + tol),
+    }
+
+
+def drawdown_part(step: int = 5) -> Part:
+    """Deepest fall from a running high, longest time under it (years of 252 bars), and rolling returns over the bars ahead."""
     pair = (F.col("i") % step == 0) & (F.col("close") > 0) & (F.col("ahead") > 0)
-    one = rows.groupBy("ticker").agg(
-        F.max(F.when(F.col("peak") > 0, (F.col("peak") - F.col("close")) / F.col("peak") * 100)).alias("dd"), F.max(F.col("i") - F.col("top_i")).alias("under"), F.count("*").alias("n"),
-        F.count_if(pair).alias("pairs"), F.count_if(pair & (F.col("ahead") > F.col("close"))).alias("up"), F.min(F.when(pair, 100 * (F.col("ahead") / F.col("close") - 1))).alias("worst"),
-    )
-    return one.select(
-        "ticker", F.round(F.greatest(F.lit(0.0), "dd"), 6).alias("max_drawdown"), F.round(F.when(F.col("n") >= 2, F.col("under") / 252.0), 6).alias("underwater_years"),
-        F.round(F.try_divide(100.0 * F.col("up"), F.col("pairs")), 6).alias("rolling_positive"), F.round("worst", 6).alias("worst_rolling"),
-    )
+    made = {
+        "d_dd": F.max(F.when(F.col("peak") > 0, (F.col("peak") - F.col("close")) / F.col("peak") * 100)), "d_under": F.max(F.col("i") - F.col("top_i")), "d_n": F.count("*"),
+        "d_pairs": F.count_if(pair), "d_up": F.count_if(pair & (F.col("ahead") > F.col("close"))), "d_worst": F.min(F.when(pair, 100 * (F.col("ahead") / F.col("close") - 1))),
+    }
+    return made, {"max_drawdown": F.greatest(F.lit(0.0), "d_dd"), "underwater_years": F.when(F.col("d_n") >= 2, F.col("d_under") / 252.0), "rolling_positive": F.try_divide(100.0 * F.col("d_up"), F.col("d_pairs")), "worst_rolling": F.col("d_worst")}
 
 
-def risk(bars: DataFrame, n: int = 250, cadence: int = 78) -> DataFrame:
+def risk_part(n: int = 250, cadence: int = 78) -> Part:
     """Volatility (population), its daily equivalent, largest bar, downside deviation, mean turnover and volume."""
-    rows = positioned(bars)
     ret = tail(F.col("ret"), n)
     value = tail(F.when(F.col("close") * F.col("volume") > 0, F.col("close") * F.col("volume")), n)
-    one = rows.groupBy("ticker").agg(
-        F.count(ret).alias("m"), F.stddev_pop(ret).alias("vol"), F.max(ret).alias("most"), F.avg(F.when(ret.isNotNull(), F.pow(F.least(ret, F.lit(0.0)), 2))).alias("down"), F.avg(value).alias("turnover"), F.avg(tail(F.when(F.col("volume") > 0, F.col("volume")), n)).alias("volume"),
-    )
-    enough = lambda c: F.when(F.col("m") >= 2, c)
-    return one.select(
-        "ticker", F.round(enough(F.col("vol")), 6).alias("volatility"), F.round(enough(F.col("vol") * F.sqrt(F.lit(cadence / 252.0))), 6).alias("daily_volatility"), F.round("most", 6).alias("max_daily"),
-        F.round(enough(F.sqrt("down")), 6).alias("downside"), F.round("turnover", 4).alias("avg_turnover"), F.round("volume", 6).alias("avg_volume"),
-    )
+    made = {
+        "r_m": F.count(ret), "r_vol": F.stddev_pop(ret), "r_most": F.max(ret), "r_down": F.avg(F.when(ret.isNotNull(), F.pow(F.least(ret, F.lit(0.0)), 2))), "r_turnover": F.avg(value), "r_volume": F.avg(tail(F.when(F.col("volume") > 0, F.col("volume")), n)),
+    }
+    enough = lambda c: F.when(F.col("r_m") >= 2, c)
+    return made, {
+        "volatility": enough(F.col("r_vol")), "daily_volatility": enough(F.col("r_vol") * F.sqrt(F.lit(cadence / 252.0))), "max_daily": F.col("r_most"), "downside": enough(F.sqrt("r_down")), "avg_turnover": F.round("r_turnover", 4), "avg_volume": F.col("r_volume"),
+    }
+
+
+def measured(bars: DataFrame, parts: list[Part], dividends: DataFrame | None = None, cadence: int = 78, window: int = 78) -> DataFrame:
+    """(ticker, the parts' measures): one pass of windows and one grouping, however many parts; numbers rounded to six places."""
+    made = {n: c for p in parts for n, c in p[0].items()}
+    one = prepared(bars, cadence, window).groupBy("ticker").agg(*[c.alias(n) for n, c in made.items()])
+    if dividends is not None:
+        one = one.join(dividends.groupBy("ticker").agg(F.sum("amount").cast("double").alias("paid")), "ticker", "left")
+    whole_numbers = ("at_high", "at_low")
+    return one.select("ticker", *[(c if n in whole_numbers else F.round(c, 6)).alias(n) for p in parts for n, c in p[1].items()])
+
+
+def growth(bars: DataFrame, dividends: DataFrame, cap_years: float = 5.0, cadence: int = 78) -> DataFrame:
+    return measured(bars, [growth_part(cap_years)], dividends, cadence)
+
+
+def trend(bars: DataFrame, cadence: int = 78, ma: int = 60, tol: float = 0.02) -> DataFrame:
+    return measured(bars, [trend_part(cadence, ma, tol)], cadence=cadence)
+
+
+def drawdown(bars: DataFrame, window: int = 78, step: int = 5) -> DataFrame:
+    return measured(bars, [drawdown_part(step)], window=window)
+
+
+def risk(bars: DataFrame, n: int = 250, cadence: int = 78) -> DataFrame:
+    return measured(bars, [risk_part(n, cadence)], cadence=cadence)
 
 
 def calendar_returns(bars: DataFrame) -> DataFrame:

@@ -16,9 +16,9 @@ ARMS = [(k, 1 + 0.05 * ((k * 7) % 5 - 2), 1 + 0.05 * ((k * 3) % 5 - 2), 1 + 0.05
 
 
 def quotes(s, d):
-    """One row a ticker: the measures that gates and score read, from one pass each over the bars."""
-    b = T.bars(s, d)
-    return S.growth(b, T.dividends(s, d)).join(S.trend(b), "ticker").join(S.drawdown(b), "ticker").join(S.risk(b), "ticker").join(T.sectors(s, d), "ticker", "left")
+    """One row a ticker: the measures that gates and score read, from one pass over the bars."""
+    parts = [S.growth_part(), S.trend_part(), S.drawdown_part(), S.risk_part()]
+    return S.measured(T.bars(s, d), parts, T.dividends(s, d)).join(T.sectors(s, d), "ticker", "left")
 
 
 def _asked(s, d):
