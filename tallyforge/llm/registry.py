@@ -41,4 +41,31 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, b32 AS payload_digest,
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_zst": _OP4}
+_SPACE = r"[\x20\x09-\x0D]"
+_RULES = quality.Rules()
+_COMMON = " ".join(f"WHEN '{lang}' THEN {words}" for lang, words in quality.COMMON.items())
+
+
+def _count(pattern: str) -> str:
+    return f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))::DOUBLE"
+
+
+_CLASSES = ", ".join(map(_count, (_SPACE, r"\p{Nd}", r"\p{Lu}", "[.,]", r"[^\p{L}\p{Nd}.,\x20\x09-\x0D]")))
+#: Words, windows and histograms written out; the distance is the square root of the mean of both divergences from the mean.
+_OP9 = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS said FROM d),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)), r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
+m AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
+c AS (SELECT doc_id, [{_CLASSES}] AS c5, length(t) AS n, said, CASE lang {_COMMON} END AS common FROM w),
+u AS (SELECT doc_id, list_transform(common, lambda x: len(list_filter(said, lambda y: y = x))) AS u20, len(said) AS n_said FROM c),
+h AS (SELECT doc_id, n >= {_RULES.min_chars} AS long, list_append(c5, n - list_sum(c5)) AS a, {list(quality.CLASS_SHARES)}::DOUBLE[] AS b, {_RULES.max_class_distance} AS most FROM c
+  UNION ALL SELECT doc_id, n_said >= {_RULES.min_judged}, list_append(u20, n_said - list_sum(u20))::DOUBLE[], {quality.word_shares(20)}::DOUBLE[], {_RULES.max_word_distance} FROM u WHERE u20 IS NOT NULL),
+p AS (SELECT doc_id, long, most, list_transform(a, lambda x: x / list_sum(a)) AS a, b FROM h WHERE list_sum(a) > 0),
+j AS (SELECT doc_id, long, most, sqrt(greatest(0, list_sum(list_transform(range(1, len(a) + 1), lambda i: (CASE WHEN a[i] > 0 THEN a[i] * log2(2 * a[i] / (a[i] + b[i])) ELSE 0 END + CASE WHEN b[i] > 0 THEN b[i] * log2(2 * b[i] / (a[i] + b[i])) ELSE 0 END) / 2)))) AS dist FROM p),
+f AS (SELECT doc_id, bool_or(long AND dist > most) AS odd FROM j GROUP BY 1),
+x AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN m USING (doc_id))
+SELECT x.*, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.repeat_percent} * n_words AS base_failed, NOT (n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.repeat_percent} * n_words) AND NOT coalesce(odd, false) AS kept FROM x LEFT JOIN f USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc_zst": _OP4, "op9_quality_divergence": _OP9}

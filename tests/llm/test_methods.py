@@ -2,17 +2,20 @@
 
 import hashlib
 import math
+import os
 import random
 from collections import Counter
 
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyforge.llm import bpe_transducer, license_scan, quality, secret_scan
-from tests.llm.test_operators import KIND, texts, words
+from tallyforge.llm import bpe_transducer, license_scan, quality, registry, secret_scan
+from tests.llm.test_operators import KIND, texts
+from tests.test_oracle import rows
 
 
 def upper_tail(z):
@@ -186,3 +189,12 @@ def test_pipeline_is_its_stages(spark, sf_dir):
     library.no_truncation()
     assert {r.doc_id for r in got} == set(want) and len(got) == len(want) and list(kept.values()) == sorted(kept.values(), reverse=True)
     assert all(r.token_ids == library.encode(want[r.doc_id] or "", add_special_tokens=False).ids for r in got)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_query_equals_sql(spark, sf_dir, name):
+    duck = duckdb.connect()
+    for f in os.listdir(sf_dir):
+        duck.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{sf_dir}/{f}'")
+    ours, theirs = rows(registry.QUERIES[name](spark, sf_dir).toPandas()), rows(duck.execute(registry.ORACLE_SQL[name]).fetchdf())
+    assert ours == theirs and ours[1]
