@@ -2,8 +2,9 @@
 
 Postings are rows (key, id, info), all numbers. Two ids that share a key are candidates if ``fits`` holds for their infos at
 that key. A key's ids are never all paired with one another: first every id is compared to a few of the key's ids, which is
-linear and joins the members of a group of copies; then only keys whose ids still lie in different groups are
-left, and for these the pairs across groups. What the first step has joined needs no further comparison, as groups
+linear and joins the members of a group of copies; ids that are still in another group than these few are compared to
+other ones, in some rounds; then only keys whose ids still lie in different groups are left, and for these the pairs
+across groups. What the first step has joined needs no further comparison, as groups
 are all that is asked for. How many pairs are left to the second step is a matter of how rare the keys are that rows
 share without being alike, so callers make their keys of several features each.
 """
@@ -40,29 +41,32 @@ def shared_postings(postings: DataFrame, work: Workspace) -> DataFrame:
     return shared
 
 
-def star_pairs(shared: DataFrame, fits: Fits, work: Workspace, enough: Enough | None = None, anchors: int = 4) -> DataFrame:
-    """The pairs (a, b) of a key's anchors, its least id and the least by some hashes, with the key's other ids. More
-    anchors leave fewer ids of a group unlinked."""
-    by = [F.col("id"), *[F.xxhash64("id", F.lit(k)) for k in range(1, anchors)]]
-    heads = shared.groupBy("key").agg(F.array(*[F.min_by(F.struct("id", "info"), b) for b in by]).alias("heads")).select("key", F.explode(F.array_distinct("heads")).alias("head"))
-    both = shared.join(heads, "key").filter((F.col("head.id") != F.col("id")) & fits(F.col("head.info"), F.col("info")))
+def star_pairs(rows: DataFrame, shared: DataFrame, fits: Fits, work: Workspace, enough: Enough | None, anchors: int, salt: int = 0) -> DataFrame:
+    """The pairs (a, b) of a key's anchors with the ids of its other groups; ``rows`` are postings with the ids' groups.
+    Anchors are the least id, or with a ``salt`` by a hash of it, and the least by other hashes. More anchors leave
+    fewer ids of a group unlinked."""
+    by = [F.xxhash64("id", F.lit(k + anchors * salt)) if k + salt else F.col("id") for k in range(anchors)]
+    heads = rows.groupBy("key").agg(F.array(*[F.min_by(F.struct("id", "info", "group"), b) for b in by]).alias("heads")).select("key", F.explode(F.array_distinct("heads")).alias("head"))
+    both = rows.join(heads, "key").filter((F.col("head.group") != F.col("group")) & fits(F.col("head.info"), F.col("info")))
     low, high = F.least("head.id", "id"), F.greatest("head.id", "id")  # two anchors may meet both ways
     turned = F.col("head.id") > F.col("id")
     x, y = F.when(turned, F.col("info")).otherwise(F.col("head.info")), F.when(turned, F.col("head.info")).otherwise(F.col("info"))
     return work.staged(_pairs(both.select(low.alias("a"), high.alias("b"), x.alias("x"), y.alias("y")), shared, enough), "star")
 
 
-def rest_pairs(shared: DataFrame, groups: DataFrame, tried: DataFrame, fits: Fits, work: Workspace, enough: Enough | None = None) -> DataFrame:
-    """Pairs (a, b) that share a key across groups (id, group) and weren't tried; ids without a group are their own."""
+def split_keys(shared: DataFrame, groups: DataFrame, work: Workspace) -> DataFrame:
+    """The postings, with their ids' groups, of keys that span groups (id, group), staged; ids without a group are their own."""
     named = shared.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id"))
     split = named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low < high").select("key")
-    left = work.staged(named.join(split, "key"), "across")
+    return work.staged(named.join(split, "key"), "across")
+
+
+def rest_pairs(left: DataFrame, shared: DataFrame, tried: DataFrame, fits: Fits, work: Workspace, enough: Enough | None = None) -> DataFrame:
+    """Pairs (a, b) of ``left`` that share a key across groups and weren't ``tried``."""
     one, two = left.select("key", F.struct("id", "info", "group").alias("x")), left.select("key", F.struct("id", "info", "group").alias("y"))
     both = one.join(two, "key").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & fits(F.col("x.info"), F.col("y.info")))
     pairs = _pairs(both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.info").alias("x"), F.col("y.info").alias("y")), shared, enough)
-    rest = work.staged(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
-    work.drop(left)
-    return rest
+    return work.staged(pairs.join(tried, ["a", "b"], "left_anti"), "rest")
 
 
 def components(edges: DataFrame, work: Workspace) -> DataFrame:
@@ -90,13 +94,23 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     return groups
 
 
-def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], work: Workspace, enough: Enough | None = None, anchors: int = 4) -> DataFrame:
+def linked_pairs(postings: DataFrame, fits: Fits, verify: Callable[[DataFrame], DataFrame], work: Workspace, enough: Enough | None = None, anchors: int = 4, rounds: int = 1) -> DataFrame:
     """Enough verified pairs (a, b) to join all ids that any verified pair joins. ``verify`` stages the true ones;
     ``fits`` must hold at some shared key of a true pair, and ``enough`` (of the number of keys they share, and their
-    infos) of the pair; both spare ``verify`` the others."""
+    infos) of the pair; both spare ``verify`` the others. Each round compares ids to new anchors outside their groups."""
     shared = shared_postings(postings, work)
-    star = star_pairs(shared, fits, work, enough, anchors)
-    first = verify(star)
-    rest = rest_pairs(shared, components(first, work), star, fits, work, enough)
-    work.drop(shared, star)
-    return first.union(verify(rest))
+    left = shared.withColumn("group", F.col("id"))
+    links = tried = None
+    for n in range(rounds):
+        star = star_pairs(left, shared, fits, work, enough, anchors, n)
+        asked = star if tried is None else work.staged(star.join(tried, ["a", "b"], "left_anti"), "asked")
+        found = verify(asked)
+        links = found if links is None else links.union(found)
+        tried = asked if tried is None else tried.union(asked)
+        before, left = left, split_keys(shared, components(links, work), work)
+        work.drop(before)
+        if left.isEmpty():
+            return links
+    rest = rest_pairs(left, shared, tried, fits, work, enough)
+    work.drop(shared, left)
+    return links.union(verify(rest))
