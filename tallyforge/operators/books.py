@@ -11,7 +11,7 @@ from tallyforge.operators.stats import edges, pick, placed
 from tallyforge.operators.walk import samples
 
 
-def hold_sweep(bars: DataFrame, spans: DataFrame, sectors: DataFrame, holds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def hold_sweep(bars: DataFrame, spans: DataFrame, sectors: DataFrame, holds: tuple[int, ...] = (1, 2, 3, 5, 8, 10)) -> DataFrame:
     """(years, n, edge): the halves' edge for each holding time; each hold has its own samples and peers."""
     each = [samples(bars, spans, sectors, years=y).withColumn("years", F.lit(y)) for y in holds]
     rows = reduce(DataFrame.unionByName, each).withColumn("id", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")))
@@ -75,3 +75,40 @@ def base_rate(rows: DataFrame, bar: float = 20.0) -> DataFrame:
     kept = F.col("realized") >= ((1 + bar / 100) ** 2 - 1) * 100
     over = F.col("cagr_life") >= bar
     return rows.agg(F.count_if(over).alias("qualifying"), F.round(100 * F.avg(F.when(over, kept.cast("double"))), 6).alias("sustained"), F.round(100 * F.avg(kept.cast("double")), 6).alias("everyone"))
+
+
+def _carried(days: DataFrame, series: DataFrame, later: bool) -> DataFrame:
+    """(day, px): the first price on or after each day, or the last on or before it; ``series`` (day, px) has a row a date."""
+    rows = series.select("day", "px", F.lit(0).alias("side")).union(days.select("day", F.lit(None).cast("double"), F.lit(1)).distinct())
+    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("day") if later else F.asc("day"), "side")  # a row a date on either side
+    return rows.withColumn("px", F.last("px", ignorenulls=True).over(w)).filter("side = 1").select("day", "px")
+
+
+def benchmark_at(days: DataFrame, benchmark: DataFrame, years: int = 2) -> DataFrame:
+    """(cutoff, forward, trailing, drawdown), in percent: what the benchmark does from the first bar on or after each day to the first
+    ``years`` later, what it did from ``years`` before as of both ends, and how far below its high it is; null where an end is missing."""
+    day = F.unix_date("cutoff")
+    series = benchmark.filter("close > 0").select(F.unix_date("bar_date").alias("day"), F.col("close").cast("double").alias("px"))
+    w = Window.partitionBy(F.lit(1)).orderBy("day")
+    fall = series.select("day", (100 * (F.col("px") / F.max("px").over(w) - 1)).alias("px"))
+    asks = days.select("cutoff").distinct()
+
+    def at(shift: int, rows: DataFrame, later: bool, name: str) -> DataFrame:
+        return _carried(asks.select((day + shift).alias("day")), rows, later).select((F.col("day") - shift).alias("d"), F.col("px").alias(name))
+
+    told = asks.withColumn("d", day)
+    for part in (at(0, series, True, "a"), at(365 * years, series, True, "b"), at(-365 * years, series, False, "p"), at(0, series, False, "q"), at(0, fall, False, "dd")):
+        told = told.join(part, "d", "left")
+    change = lambda x, y: F.round(100 * (F.col(y) / F.col(x) - 1), 6)
+    return told.select("cutoff", change("a", "b").alias("forward"), change("p", "q").alias("trailing"), F.round("dd", 6).alias("drawdown"))
+
+
+def against_index(rows: DataFrame, benchmark: DataFrame, years: int = 2, top: int = 10) -> DataFrame:
+    """(n, p_below_index, p_loss, best_in_top): share of books that end below the benchmark, and below what they began with; and in
+    how many buckets the first in rank beat the mean of those that follow it in the book."""
+    book = book_multiples(rows, top)
+    both = book.join(benchmark_at(book.select(F.col("start").alias("cutoff")), benchmark, years).select(F.col("cutoff").alias("start"), (1 + F.col("forward") / 100).alias("index")), "start")
+    ranked = placed(rows, "bucket", [F.desc("score"), "ticker", "cutoff"]).filter(F.col("rn") <= top)
+    first = ranked.groupBy("bucket").agg(F.max(F.when(F.col("rn") == 1, F.col("realized"))).alias("first"), F.avg(F.when(F.col("rn") > 1, F.col("realized"))).alias("others"))
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return both.join(first, "bucket").agg(F.count("*").alias("n"), share(F.col("multiple") < F.col("index")).alias("p_below_index"), share(F.col("multiple") < 1).alias("p_loss"), F.count_if(F.col("first") > F.col("others")).alias("best_in_top"))

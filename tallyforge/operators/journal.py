@@ -69,13 +69,13 @@ def membership_diff(journal: DataFrame) -> DataFrame:
     return both.join(days(journal).select("k", "day"), "k").select("day", "ticker", F.when(F.col("here").isNull(), "-").otherwise("+").alias("change"))
 
 
-def paper_savings(journal: DataFrame, base: float = 100.0, fee: float = 1.0, top: int = 5) -> DataFrame:
-    """(ticker, lots, qty, cost): each period's budget, split evenly over its first snapshot's ``top`` that have a price,
-    less a fee a lot; a period without any passes its budget on. A period is a week here, as the journal spans a month."""
-    first = journal.groupBy(F.date_trunc("week", "day").cast("date").alias("period")).agg(F.min("day").alias("day"))
+def paper_savings(journal: DataFrame, base: float = 100.0, fee: float = 1.0, top: int = 5, period: str = "month") -> DataFrame:
+    """(ticker, lots, qty, cost): the budget of each ``period`` (month or week), split evenly over its first snapshot's ``top``
+    that have a price, less a fee a lot; a period without any passes its budget on."""
+    first = journal.groupBy(F.date_trunc(period, "day").cast("date").alias("period")).agg(F.min("day").alias("day"))
     picks = journal.filter((F.col("rank") <= top) & (F.col("px") > 0)).join(first, "day")
     counts = picks.groupBy("period").agg(F.count("*").alias("names"))
-    every = first.agg(F.explode(F.sequence(F.min("period"), F.max("period"), F.expr("interval 7 days"))).alias("period"))
+    every = first.agg(F.explode(F.sequence(F.min("period"), F.max("period"), F.expr(f"interval 1 {period}"))).alias("period"))
     w = Window.partitionBy(F.lit(1)).orderBy("period")
     told = every.join(counts, "period", "left").withColumn("k", F.row_number().over(w))
     told = told.withColumn("last", F.max(F.when(F.col("names") > 0, F.col("k"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))

@@ -85,7 +85,7 @@ QUERIES = {
     "journal_membership_diff": lambda s, d: J.membership_diff(T.journal(s, d)),
     "journal_append_once": lambda s, d: J.append_once(T.journal(s, d).filter("day < '2024-01-11'"), T.journal(s, d).withColumn("px", F.col("px") * 2)),
     "journal_restate": lambda s, d: J.restate(T.journal(s, d), _inline(s, "s_ticker string, eff string, ratio double", [("U1", "2024-01-10", 2.0), ("U1", "2024-01-20", 3.0), ("U7", "2024-01-15", 0.5)]).select("s_ticker", F.col("eff").cast("date").alias("eff_date"), "ratio")),
-    "journal_paper_savings": lambda s, d: J.paper_savings(T.journal(s, d)),
+    "journal_paper_savings": lambda s, d: J.paper_savings(T.journal(s, d), period="week"),  # the journal spans a month
     "journal_dip_alerts": lambda s, d: J.dip_alerts(T.journal(s, d)),
     "market_state_flips": lambda s, d: J.state_flips(_levels(s, d)),
     "savings_ladder": lambda s, d: s.range(1, 16).select(F.col("id").cast("int").alias("years"), F.round(J.savings_gain(F.col("id").cast("int"), LADDER, 2.0), 6).alias("gain")),

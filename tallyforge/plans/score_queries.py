@@ -120,7 +120,18 @@ _ROLLUP = """, y AS (SELECT ticker, year(period_end)::INT AS year, sum(CAST(roun
 w AS (SELECT ticker, year, (revenue / nullif(lag(revenue) OVER (PARTITION BY ticker ORDER BY year), 0) - 1) * 100 AS yoy FROM y WHERE quarters = 1 OR quarters >= 4),
 rollup AS (SELECT ticker, year, round(revenue, 2) AS revenue, round(gross_margin, 6) AS gross_margin, round(op_margin, 6) AS op_margin, round(net_margin, 6) AS net_margin, round(eps, 6) AS eps, round(prior_eps, 6) AS prior_eps, round(shares, 4) AS shares, round(prior_shares, 4) AS prior_shares, quarters, round(yoy, 6) AS yoy FROM y LEFT JOIN w USING (ticker, year))"""
 
+
+
+def _sizes_sql(passes: int = 5, cap: float = 0.05) -> str:
+    """The passes one after another, each written out."""
+    parts = [", z AS (SELECT ticker, CASE WHEN market IN ('ASIA', 'EUROPE') THEN 'core' ELSE 'other' END AS class, pct_rank / volatility AS raw FROM quotes WHERE pct_rank > 0 AND volatility > 0), b(class, budget) AS (VALUES ('core', 60.0::DOUBLE), ('other', 30.0)), y0 AS (SELECT ticker, class, raw, budget / (SELECT sum(budget) FROM b WHERE class IN (SELECT class FROM z)) AS room, 0.0::DOUBLE AS weight FROM z JOIN b USING (class))"]
+    for k in range(passes):
+        parts.append(f"y{k + 1} AS (SELECT ticker, class, raw, room, CASE WHEN weight < {cap} THEN least({cap}, weight + coalesce((room - sum(weight) OVER (PARTITION BY class)) * raw / nullif(sum(CASE WHEN weight < {cap} THEN raw END) OVER (PARTITION BY class), 0), 0)) ELSE weight END AS weight FROM y{k})")
+    return ", ".join(parts) + f" SELECT ticker, class, round(weight, 6) AS weight FROM y{passes}"
+
+
 SQL = {
+    "position_sizes": _QUOTES + _sizes_sql(),
     "flagship_screen": _QUOTES + _FAILED + """, sc AS (SELECT *, round((least(life_cagr, 30.0) + 2.0 * least(coalesce(life_cagr / nullif(volatility, 0), 0), 3.0) + 2.0 * least(coalesce(life_cagr / nullif(max_drawdown, 0), 0), 3.0) + 5.0 * coalesce(trend_r2, 0))
   * greatest(0, 1 + (pct_rank / 100 - 1)) * sqrt((CASE WHEN age_years >= 10 THEN 1.0 ELSE 0.5 END) * (1 - 0.5 * least(above_ma / 150.0, 1.0))) + 0.1 * ln(greatest(avg_turnover, 1.0) / 1e9), 6) AS score FROM told WHERE len(failed) = 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY score DESC, ticker) AS place FROM sc) SELECT market, CAST(place AS INT) AS place, ticker, score FROM p WHERE place <= 10""",
