@@ -133,11 +133,11 @@ def cadences(bars: DataFrame) -> DataFrame:
 
 
 def knob_draws(spark, n: int) -> DataFrame:
-    """(arm, w_range, w_dd, active): weights from a hash of the draw; a third of each is off, and ``active`` counts those on."""
+    """(arm, w_range, w_dd, active): weights between -1 and 1 from a hash of the draw; a third of each is off, and ``active`` counts those on."""
     part = lambda salt: F.pmod(F.col("id") * 2654435761 + salt, F.lit(997)) / 996.0
-    on = lambda c: F.when(c < 1 / 3, 0.0).otherwise(F.round((c - 1 / 3) * 1.5, 4))
+    on = lambda c: F.when(c < 1 / 3, 0.0).otherwise(F.round((c - 1 / 3) * 3 - 1, 4))
     rows = spark.range(n).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("arm"), on(part(0)).alias("w_range"), on(part(31337)).alias("w_dd"))
-    return rows.withColumn("active", ((F.col("w_range") > 0).cast("int") + (F.col("w_dd") > 0).cast("int")))
+    return rows.withColumn("active", ((F.col("w_range") != 0).cast("int") + (F.col("w_dd") != 0).cast("int")))
 
 
 def knob_search(rows: DataFrame, arms: DataFrame, edge_day: str, months: int = 24) -> DataFrame:
