@@ -148,7 +148,7 @@ def test_license_cosines_against_python(spark):
 
 def awkward(spark):
     """Documents with nulls, copies, odd columns and long texts."""
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "z", 7, "k", "dd") for i, t in texts()], KIND).withColumn("a`b", F.lit(1))
+    return spark.createDataFrame([(i, t, "xx", "s", len(t or ""), "z", 7, "k", "dd") for i, t in texts()], KIND).withColumn("a`b", F.lit(1))
 
 
 def test_roundtrip_of_rows(spark):
