@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import bpe_count, bpe_transducer, decontaminate, license_scan, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
+from tallyforge.llm import bpe_count, bpe_transducer, conversation_trie, decontaminate, filter_audit, fingerprints, license_scan, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_counts": _table("documents", lambda d: bpe_count.count_tokens(d, public_tokenizers.path("byte_bpe_50k.json"))),
     "op9_quality_divergence": _table("documents", quality.report),
     "op10_suffix_array": _table("documents", suffix_dedup.report),
+    "op11_conversation_trie": _table("conversations", conversation_trie.trie),
+    "op12_filter_audit": lambda spark, sf_dir: filter_audit.audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op13_lookup_sketch": _table("documents", fingerprints.report),
 }
 
 #: Base32 of a SHA-1: five hexadecimal digits make four letters.
@@ -68,4 +71,38 @@ x AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transfor
 SELECT x.*, n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.repeat_percent} * n_words AS base_failed, NOT (n_words < {_RULES.min_words} OR 100 * n_repeat_words > {_RULES.repeat_percent} * n_words) AND NOT coalesce(odd, false) AS kept FROM x LEFT JOIN f USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_zst": _OP4, "op9_quality_divergence": _OP9}
+#: The checksum bit by bit (polynomial 0xEDB88320): a list of the digits, each followed by eight shifts, folded from the left.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: list_prepend(CAST(ascii(x) AS BIGINT), [-1::BIGINT for i in range(8)])))), lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END), 4294967295)"
+#: Rebuilt conversations as lists, nodes as their prefixes; every ancestor of a node is a prefix of its smallest member.
+_OP11 = rf"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+h AS (SELECT conv_id, s, CAST({_CRC32} % 4 AS BIGINT) AS h FROM own),
+b AS (SELECT h.conv_id, list_concat(coalesce(o.s[1:h.h], []), h.s[h.h + 1:]) AS s FROM h LEFT JOIN own o ON o.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d AS depth, s[1:d] AS s, d = len(s) AS done FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM b)),
+n AS (SELECT s, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (done), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
+k AS (SELECT s[1:depth - 1] AS s, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+t AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.s[-1].t, '[^ 	-]+')) END AS spared FROM n LEFT JOIN k USING (s, depth)),
+a AS (SELECT s, depth, sum(leaf) AS n_leaves, sum(spared) AS saved_tokens FROM (SELECT s[1:d] AS s, d AS depth, leaf, spared FROM (SELECT s, unnest(range(depth + 1)) AS d, CAST(n_children = 0 AS INT) AS leaf, spared FROM t)) GROUP BY 1, 2)
+SELECT t.conv_id, t.depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, t.ends_sha256
+FROM t JOIN a USING (s, depth) LEFT JOIN n u ON u.depth = t.depth - 1 AND u.s = t.s[1:t.depth - 1]
+"""
+
+_PICKS = [f"p{k}.x" for k in range(5)]
+#: Documents by orders and steps: the step at which each document goes.
+_OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, min(doc_id) OVER (PARTITION BY t) AS least, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws FROM d),
+f AS (SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+v(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT {" || ".join(_PICKS)} AS filter_order FROM {", ".join(f"v p{k}" for k in range(5))} WHERE len(list_distinct([{", ".join(_PICKS)}])) = 5),
+r AS (SELECT part, fails, filter_order, step, substr(filter_order, CAST(step AS INT), 1) AS x, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda y: instr(filter_order, y))), 6) AS gone
+  FROM f LEFT JOIN l USING (doc_id), o, (SELECT unnest(range(1, 6)) AS step)),
+s AS (SELECT part, filter_order, CAST(step AS INT) AS step, x, count(*) FILTER (gone > step) AS kept, count(*) FILTER (gone = step) AS removed, count(*) FILTER (gone < step AND contains(fails, x)) AS redundant, count(*) FILTER (fails = x) AS unique_fails,
+  count(*) FILTER (gone = step AND good) AS good_lost, count(*) FILTER (gone = step AND toxic) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_warc_zst": _OP4, "op9_quality_divergence": _OP9, "op11_conversation_trie": _OP11, "op12_filter_audit": _OP12}
