@@ -180,7 +180,7 @@ def in_ranges(docs: DataFrame) -> DataFrame:
     ranges = max(1, min(MOST_RANGES, n // RANGE_ROWS))
     starts: list[int] = []
     if ranges > 1:
-        asked = F.array(*[F.lit(k / ranges) for k in range(1, ranges)]) if ranges < 1024 else F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda k: k / F.lit(float(ranges)))
+        asked = F.from_json(F.lit(str([k / ranges for k in range(1, ranges)])), "array<double>")
         cut = ids.sample(min(1.0, SAMPLED * ranges / n), 1).agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", asked, F.lit(max(10_000, 4 * ranges)))))).first()[0]
         starts = cut or []
     step = max(1, int(len(starts) ** 0.5))

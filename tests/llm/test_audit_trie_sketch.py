@@ -181,6 +181,12 @@ def test_sketches_of_the_small_table(spark, sf_dir):
     assert told(fingerprints.report(table)) == sketches_by_hand([(r.doc_id, r.text) for r in table.collect()])
 
 
+def test_sketches_over_thousands_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 1)
+    rows = [(k * 3, f"text {k}. and more of it {k % 7}", None) for k in range(2500)]
+    assert told(fingerprints.report(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == sketches_by_hand(rows)
+
+
 def test_equal_texts_have_equal_fingerprints(docs):
     rows = docs.join(fingerprints.report(docs).select("doc_id", "fingerprint"), "doc_id").collect()
     prints = defaultdict(set)
