@@ -1,8 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
 Templates are notices, file headers and licence texts. Comment marks at the beginnings of lines are stripped. Documents are
-compared by units: windows of ``WINDOWS`` lines from a line on that has one of the templates' marks, and of files named as
-licences also the whole text. A mark is a term that a unit needs for a cosine of ``COSINE`` with some template: the other terms
+compared by units: each line that has one of the templates' marks, windows of ``WINDOWS`` lines from where such lines or their
+paragraph begin, and of files named as licences also the whole text. A mark is a term that a unit needs for a cosine of ``COSINE`` with some template: the other terms
 of that template together weigh too little. Units and templates are sparse rows (unit, term, weight) joined by term; equal
 units are compared once. Inverse document frequencies count all documents. A file's own licence is what its
 SPDX tag says, or else that of a unit: of those with a cosine of ``SURE`` or more the one with the largest template (a text that
@@ -25,6 +25,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.llm.quality import let
 from tallyforge.llm.staging import Workspace, text_of
 
 COSINE, SURE = 0.6, 0.9
@@ -107,14 +108,16 @@ def template_weights(df: dict[str, int], n: int) -> list[dict[str, float]]:
     return [{t: c * rarity(df.get(t, 0), n) for t, c in term_counts(text).items()} for _, text in TEMPLATES]
 
 
-def marks(weights: list[dict[str, float]]) -> list[str]:
-    """Terms of which a unit has at least one if its cosine with some template is ``COSINE`` or more: by Cauchy and Schwarz,
-    the terms that it shares with the template hold that much of the template's norm."""
+def marks(weights: list[dict[str, float]], df: dict[str, int]) -> list[str]:
+    """Terms of which a unit has at least one if its cosine with some template is ``COSINE`` or more: by Cauchy and Schwarz, the
+    terms that it shares with the template hold ``COSINE`` squared of the template's squared norm, so the others can't be all it
+    shares. Any terms will do whose complement holds less; those with the fewest documents for their weight are taken first,
+    so that few lines of ordinary text have one."""
     out = set()
     for w in weights:
         left = sum(x * x for x in w.values())
         least = COSINE * COSINE * left
-        for t in sorted(w, key=lambda t: (-w[t], t)):
+        for t in sorted(w, key=lambda t: (df.get(t, 0) / (w[t] * w[t]), t)):
             if left < least:
                 break
             out.add(t)
@@ -149,15 +152,24 @@ def match_units(units: DataFrame, df: dict[str, int], n: int) -> DataFrame:
 
 
 def unit_texts(text: Column, path: Column, mark: list[str]) -> Column:
-    """The different units of a text: the lines from each marked line on, and a licence file as a whole."""
+    """The different units of a text: each marked line; the lines from the first of a run of marked lines on, and from the first after
+    the blank line above such a run; and a licence file as a whole."""
     known = F.array(*map(F.lit, mark))
 
-    def windows(lines: Column) -> Column:
-        places = F.filter(F.transform(lines, lambda x, k: F.when(F.arrays_overlap(terms(x), known), k)), lambda k: k.isNotNull())
-        each = F.flatten(F.transform(places, lambda k: F.array(*[F.array_join(F.slice(lines, k + 1, F.lit(w)), " ") for w in WINDOWS])))
-        return F.array_distinct(F.concat(each, F.when(path.rlike(LICENSE_FILE) & (F.size(places) > 0), F.array(F.array_join(lines, " "))).otherwise(F.array().cast("array<string>"))))
+    def of_places(lines: Column, places: Column) -> Column:
+        runs = F.filter(places, lambda k: ~F.array_contains(places, k - 1))
+        blank = F.filter(F.transform(lines, lambda x, k: F.when(F.trim(x) == "", k)), lambda k: k.isNotNull())
+        above = F.transform(runs, lambda k: F.coalesce(F.array_max(F.filter(blank, lambda b: b < k)) + 1, F.lit(0)))
+        starts = F.array_distinct(F.concat(runs, F.filter(above, lambda b: ~F.array_contains(places, b))))
+        window = lambda k, w: F.array_join(F.slice(lines, k + 1, F.lit(w)), " ")
+        each = F.concat(F.transform(places, lambda k: window(k, WINDOWS[0])), F.flatten(F.transform(starts, lambda k: F.array(*[window(k, w) for w in WINDOWS[1:]]))))
+        none = F.array().cast("array<string>")
+        return F.array_distinct(F.concat(each, F.when(path.rlike(LICENSE_FILE) & (F.size(places) > 0), F.array(F.array_join(lines, " "))).otherwise(none)))
 
-    return F.element_at(F.transform(F.array(F.split(F.regexp_replace(text, COMMENT, ""), "\n")), windows), 1)
+    marked = lambda lines: F.filter(F.transform(lines, lambda x, k: F.when(F.arrays_overlap(terms(x), known), k)), lambda k: k.isNotNull())
+    # a text without any mark has no units, and most have none: one look at its terms spares the lines
+    units = let(F.split(F.regexp_replace(text, COMMENT, ""), "\n"), lambda lines: let(marked(lines), lambda places: of_places(lines, places)))
+    return F.when(F.arrays_overlap(terms(text), known), units).otherwise(F.array().cast("array<string>"))
 
 
 def scan(files: DataFrame, path: Column, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -166,7 +178,7 @@ def scan(files: DataFrame, path: Column, id_column: str = "doc_id", text_column:
         texts = files.select(F.col(id_column).cast("long").alias("id"), path.alias("path"), text_of(text_column).alias("text"))
         df, n = document_counts(texts)
         tag = F.nullif(F.regexp_extract("text", SPDX, 1), F.lit(""))
-        mark = marks(template_weights(df, n))
+        mark = marks(template_weights(df, n), df)
         rows = work.staged(texts.select("id", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), tag.alias("tag"), unit_texts(F.col("text"), F.coalesce("path", F.lit("")), mark).alias("units")), "files")
         units = rows.select("id", F.posexplode("units").alias("at", "unit"))
         best = work.staged(match_units(units.select("unit").distinct(), df, n), "units")

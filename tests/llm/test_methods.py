@@ -143,7 +143,41 @@ def test_license_cosines_against_python(spark):
         else:
             assert got[u][1] == pytest.approx(best, abs=1e-8) and got[u][0] == license_scan.TEMPLATES[cosines.index(best)][0]
         if best >= license_scan.COSINE:
-            assert set(license_scan.term_counts(u)) & set(license_scan.marks(known))  # what is left out can't be near
+            assert set(license_scan.term_counts(u)) & set(license_scan.marks(known, df))  # what is left out can't be near
+
+
+def test_few_lines_of_ordinary_text_make_units(spark, sf_dir):
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text"))
+    df, n = license_scan.document_counts(texts)
+    mark = license_scan.marks(license_scan.template_weights(df, n), df)
+    units = texts.select(F.length("text").alias("chars"), license_scan.unit_texts(F.col("text"), F.lit("/a/b"), mark).alias("u"))
+    total = units.agg(F.sum("chars").alias("chars"), F.sum(F.aggregate("u", F.lit(0), lambda s, x: s + F.length(x))).alias("of_units")).first()
+    assert 0 < total.of_units < 0.5 * total.chars
+
+
+def test_units_hold_every_near_window(spark):
+    """A notice of any wrapping, with text around it, has a unit as near to its template as the notice itself."""
+    r = random.Random(5)
+    filler = lambda k: [" ".join(r.choice("lorem ipsum dolor sit amet consectetur elit".split()) for _ in range(9)) for _ in range(k)]
+    df, n = {"the": 90, "of": 80, "and": 85, "to": 80, "use": 60, "work": 50}, 100
+    mark = license_scan.marks(license_scan.template_weights(df, n), df)
+    rows = []
+    for k, (name, text) in enumerate(license_scan.TEMPLATES):
+        ws, width = text.split(), r.randint(7, 12)
+        lines = [" ".join(ws[i : i + width]) for i in range(0, len(ws), width)]
+        rows.append((k, name, "\r\n".join([*filler(3), "", *["// " + x for x in lines], "", *filler(4)])))
+    table = spark.createDataFrame(rows, "k int, name string, text string")
+    units = table.select("k", "name", F.explode(license_scan.unit_texts(F.col("text"), F.lit("/x/a.c"), mark)).alias("unit"))
+    best = license_scan.match_units(units.select("unit").distinct(), df, n)
+    found = {(x.k, x.license) for x in units.join(best, "unit").select("k", "license").collect()}
+    assert [k for k, name, _ in rows if (k, name) not in found] == []
+
+
+def test_unmarked_and_very_long_files(spark):
+    long = "\n".join(["int x = 1; // nothing here"] * 40000) + "\nLicensed under the Apache License, Version 2.0.\n" + "y = 2\n" * 40000
+    files = spark.createDataFrame([(1, "/a/f.c", long), (2, "/a/g.c", "words of no kind"), (3, "/a/h.c", "\n\n"), (4, None, "Released under the MIT License.")], "doc_id long, path string, text string")
+    got = {x.doc_id: (x.own_license, x.license) for x in license_scan.scan(files, F.col("path")).collect()}
+    assert got == {1: ("Apache-2.0", "Apache-2.0"), 2: (None, "Apache-2.0"), 3: (None, "Apache-2.0"), 4: ("MIT", "MIT")}
 
 
 def awkward(spark):
