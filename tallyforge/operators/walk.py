@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.series import by_date, cagr
+from tallyforge.operators.asof import count_below
+from tallyforge.operators.ranks import lanes
+from tallyforge.operators.series import ENDPOINT_DAYS, by_date, cagr, span_to_bars
 
 
 def half_year(day: Column) -> Column:
@@ -19,7 +21,7 @@ def half_year(day: Column) -> Column:
 
 def samples(bars: DataFrame, spans: DataFrame, sectors: DataFrame, years: int = 2, history: int = 156, step: int = 20, peers: int = 8) -> DataFrame:
     """One row a ticker and cutoff: cutoff, bucket, market, class, realized and relative forward return, and the quote as of then:
-    cagr_life, max_dd, vol, pct_rank, r2, score.
+    cagr_life, max_dd, vol, range_pct (share of the closes so far that lie below the smoothed end), r2, score.
 
     Cutoffs are every ``step`` bars from ``history`` on, where a bar ``years`` ahead exists and the ticker is a member then
     (tickers without spans always are). Relative is realized less the mean of the half-year and asset class, within the
@@ -28,21 +30,25 @@ def samples(bars: DataFrame, spans: DataFrame, sectors: DataFrame, years: int =
     ahead = Window.partitionBy("ticker").orderBy(F.desc("day"), "side").rowsBetween(Window.unboundedPreceding, 0)
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     year = w.rowsBetween(-77, 0)
-    # a bar asks for the first close on or after its date plus the hold: questions and answers in one order, latest first
-    asks = bars.select("ticker", (F.unix_date("bar_date") + 365 * years).alias("day"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("price"), "bar_date")
-    tells = bars.select("ticker", F.unix_date("bar_date").alias("day"), F.lit(0).alias("side"), F.col("close").cast("double").alias("price"), F.lit(None).cast("date").alias("bar_date"))
-    later = tells.unionByName(asks).withColumn("fwd", F.last("price", ignorenulls=True).over(ahead)).filter("side = 1").select("ticker", "bar_date", "fwd")
-    rows = bars.join(later, ["ticker", "bar_date"]).withColumns({"i": F.row_number().over(w) - 1, "prev": F.lag("close").over(w), "peak": F.max("close").over(past), "d0": F.min("bar_date").over(past), "c0": F.first("close").over(past)})
-    rows = rows.withColumns({"ret": F.try_divide(F.col("close") - F.col("prev"), F.col("prev")) * 100, "dd": (F.col("peak") - F.col("close")) / F.col("peak") * 100, "low": F.min("close").over(past)})
+    late = span_to_bars(ENDPOINT_DAYS, 78)
+    # a bar asks for the first close on or after its date plus the hold, and tells its own: both in one order, latest first
+    day, close = F.unix_date("bar_date"), F.col("close").cast("double")
+    places = F.array(F.struct(day.alias("day"), F.lit(0).alias("side"), close.alias("price")), F.struct((day + 365 * years).alias("day"), F.lit(1).alias("side"), F.lit(None).cast("double").alias("price")))
+    rows = bars.select("ticker", "bar_date", "close", F.inline(places)).withColumn("fwd", F.last("price", ignorenulls=True).over(ahead)).filter("side = 1").select("ticker", "bar_date", "close", "fwd")
+    rows = rows.withColumns({"i": F.row_number().over(w) - 1, "prev": F.lag("close").over(w), "peak": F.max("close").over(past), "d0": F.min("bar_date").over(past), "c0": F.first("close").over(past), "endpoint": F.avg("close").over(w.rowsBetween(1 - late, 0))})
+    rows = rows.withColumns({"ret": F.try_divide(F.col("close") - F.col("prev"), F.col("prev")) * 100, "dd": (F.col("peak") - F.col("close")) / F.col("peak") * 100})
     rows = rows.withColumns({"max_dd": F.max("dd").over(past), "vol": F.stddev_pop("ret").over(year), "r2": F.regr_r2(F.log("close"), F.col("i")).over(past)})
-    cut = rows.filter((F.col("i") >= history) & ((F.col("i") - history) % step == 0) & F.col("fwd").isNotNull())
+    at_cutoff = (F.col("i") >= history) & ((F.col("i") - history) % step == 0) & F.col("fwd").isNotNull()
+    asked = rows.filter(at_cutoff).select("ticker", F.col("i").alias("q"), F.col("i").alias("upto"), F.col("endpoint").alias("value"))
+    below = count_below(rows.select("ticker", F.col("i").alias("j"), F.col("close").alias("value")), asked, ["ticker"])
+    cut = rows.filter(at_cutoff).join(below.withColumnRenamed("q", "i"), ["ticker", "i"])
     held = spans.groupBy("ticker").agg(F.collect_list(F.struct("start_date", "end_date")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["start_date"] <= F.col("bar_date")) & (s["end_date"].isNull() | (F.col("bar_date") < s["end_date"])))
     cut = cut.join(held, "ticker", "left").filter(F.col("spans").isNull() | inside).join(sectors.select("ticker", "market", "class"), "ticker", "left")
     life = cagr((F.col("close") / F.col("c0") - 1) * 100, F.datediff("bar_date", "d0") / 365.25)
     out = cut.select(
         "ticker", F.col("bar_date").alias("cutoff"), half_year(F.col("bar_date")).alias("bucket"), "market", "class", F.round((F.col("fwd") / F.col("close") - 1) * 100, 6).alias("realized"),
-        F.round(life, 6).alias("cagr_life"), F.round("max_dd", 6).alias("max_dd"), F.round("vol", 6).alias("vol"), F.round((F.col("close") - F.col("low")) / F.nullif(F.col("peak") - F.col("low"), F.lit(0.0)) * 100, 6).alias("range_pct"), F.round("r2", 6).alias("r2"),
+        F.round(life, 6).alias("cagr_life"), F.round("max_dd", 6).alias("max_dd"), F.round("vol", 6).alias("vol"), F.round(F.when(F.col("i") >= 1, F.col("below") / F.col("i") * 100).otherwise(0.0), 6).alias("range_pct"), F.round("r2", 6).alias("r2"),
     )
     all_in, local = Window.partitionBy("bucket", "class"), Window.partitionBy("bucket", "class", "market")
     mean = F.when(F.count("*").over(local) >= peers, F.avg("realized").over(local)).otherwise(F.avg("realized").over(all_in))

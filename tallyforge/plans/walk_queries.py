@@ -56,16 +56,16 @@ QUERIES = {
 _SAMPLES = (
     "WITH "
     + ", ".join(VIEWS[n] for n in ("bars", "spans", "sectors", "bench"))
-    + """, r1 AS (SELECT *, row_number() OVER w - 1 AS i, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret, max(close) OVER p AS peak, min(close) OVER p AS low, first_value(close) OVER p AS c0, min(bar_date) OVER p AS d0
+    + """, r1 AS (SELECT *, row_number() OVER w - 1 AS i, (close - lag(close) OVER w) / lag(close) OVER w * 100 AS ret, max(close) OVER p AS peak, avg(close) OVER (PARTITION BY ticker ORDER BY bar_date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS endpoint, first_value(close) OVER p AS c0, min(bar_date) OVER p AS d0
   FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY bar_date), p AS (PARTITION BY ticker ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 r2 AS (SELECT *, (peak - close) / peak * 100 AS dd FROM r1),
 r3 AS (SELECT *, max(dd) OVER p AS mdd, stddev_pop(ret) OVER (PARTITION BY ticker ORDER BY bar_date ROWS BETWEEN 77 PRECEDING AND CURRENT ROW) AS v, regr_r2(ln(close), i) OVER p AS rr
   FROM r2 WINDOW p AS (PARTITION BY ticker ORDER BY bar_date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-r4 AS (SELECT a.*, (SELECT arg_min(b.close, b.bar_date) FROM bars b WHERE b.ticker = a.ticker AND b.bar_date >= a.bar_date + 730) AS fwd FROM r3 a WHERE i >= 156 AND (i - 156) % 20 = 0),
+r4 AS (SELECT a.*, (SELECT arg_min(b.close, b.bar_date) FROM bars b WHERE b.ticker = a.ticker AND b.bar_date >= a.bar_date + 730) AS fwd, (SELECT count(*) FROM bars b WHERE b.ticker = a.ticker AND b.bar_date <= a.bar_date AND b.close < a.endpoint) AS below FROM r3 a WHERE i >= 156 AND (i - 156) % 20 = 0),
 r5 AS (SELECT r4.*, market, class FROM r4 LEFT JOIN sectors USING (ticker) WHERE fwd IS NOT NULL AND (NOT EXISTS (SELECT 1 FROM spans s WHERE s.ticker = r4.ticker) OR EXISTS (SELECT 1 FROM spans s WHERE s.ticker = r4.ticker AND s.start_date <= bar_date AND (s.end_date IS NULL OR bar_date < s.end_date)))),
 r6 AS (SELECT ticker, bar_date AS cutoff, CAST(year(bar_date) * 2 + (month(bar_date) - 1) // 6 AS INT) AS bucket, market, class, round((fwd / close - 1) * 100, 6) AS realized,
   round(CASE WHEN bar_date = d0 THEN (close / c0 - 1) * 100 ELSE (power(greatest(close / c0, 1e-9), 1 / ((bar_date - d0) / 365.25)) - 1) * 100 END, 6) AS cagr_life, round(mdd, 6) AS max_dd, round(v, 6) AS vol,
-  round((close - low) / nullif(peak - low, 0) * 100, 6) AS range_pct, round(rr, 6) AS r2 FROM r5),
+  round(below / i * 100, 6) AS range_pct, round(rr, 6) AS r2 FROM r5),
 samples AS (SELECT *, round(realized - CASE WHEN count(*) OVER (PARTITION BY bucket, class, market) >= 8 THEN avg(realized) OVER (PARTITION BY bucket, class, market) ELSE avg(realized) OVER (PARTITION BY bucket, class) END, 6) AS relative,
   round(least(cagr_life, 30.0) + range_pct / 10 - max_dd / 20, 4) AS score FROM r6)"""
 )
