@@ -134,8 +134,13 @@ def document_counts(texts: DataFrame) -> tuple[dict[str, int], int]:
     return found, found.pop("", 0)
 
 
+def unit_key(unit: str = "unit") -> Column:
+    """128 bits that stand for a unit's text where its terms are rows."""
+    return F.unhex(F.md5(F.encode(unit, "UTF-8")))
+
+
 def match_units(units: DataFrame, df: dict[str, int], n: int) -> DataFrame:
-    """(unit, license, cosine, size): the best template of each of the different ``units`` (unit), where it is near enough, and its norm."""
+    """(key, license, cosine, size): the best template of each of the ``units`` (key, unit; different ones), where it is near enough, and its norm."""
     spark = units.sparkSession
     rows = []
     for k, w in enumerate(template_weights(df, n)):
@@ -143,12 +148,12 @@ def match_units(units: DataFrame, df: dict[str, int], n: int) -> DataFrame:
         rows += [(t, k, TEMPLATES[k][0], x / norm, norm) for t, x in w.items()]
     wanted = F.broadcast(spark.createDataFrame(rows, "term string, t int, license string, w double, size double"))
     idf = F.broadcast(spark.createDataFrame([(t, rarity(df.get(t, 0), n)) for t in {r[0] for r in rows}], "term string, idf double"))
-    tf = units.select("unit", F.explode(terms(F.col("unit"))).alias("term")).groupBy("unit", "term").agg(F.count("*").alias("tf"))
-    weighed = tf.join(idf, "term", "left").select("unit", "term", (F.col("tf") * F.coalesce("idf", F.lit(rarity(0, n)))).alias("x"))
-    sizes = weighed.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.join(wanted, "term").groupBy("unit", "t", "license", "size").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    near = dots.join(sizes, "unit").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= COSINE)
-    return near.groupBy("unit").agg(F.max(F.struct("cosine", (-F.col("t")).alias("t"), "license", "size")).alias("m")).select("unit", "m.license", "m.cosine", "m.size")
+    tf = units.select("key", F.explode(terms(F.col("unit"))).alias("term")).groupBy("key", "term").agg(F.count("*").alias("tf"))
+    weighed = tf.join(idf, "term", "left").select("key", "term", (F.col("tf") * F.coalesce("idf", F.lit(rarity(0, n)))).alias("x"))
+    sizes = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.join(wanted, "term").groupBy("key", "t", "license", "size").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    near = dots.join(sizes, "key").withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= COSINE)
+    return near.groupBy("key").agg(F.max(F.struct("cosine", (-F.col("t")).alias("t"), "license", "size")).alias("m")).select("key", "m.license", "m.cosine", "m.size")
 
 
 def unit_texts(text: Column, path: Column, mark: list[str]) -> Column:
@@ -180,9 +185,9 @@ def scan(files: DataFrame, path: Column, id_column: str = "doc_id", text_column:
         tag = F.nullif(F.regexp_extract("text", SPDX, 1), F.lit(""))
         mark = marks(template_weights(df, n), df)
         rows = work.staged(texts.select("id", F.regexp_replace("path", "/[^/]*$", "").alias("dir"), tag.alias("tag"), unit_texts(F.col("text"), F.coalesce("path", F.lit("")), mark).alias("units")), "files")
-        units = rows.select("id", F.posexplode("units").alias("at", "unit"))
-        best = work.staged(match_units(units.select("unit").distinct(), df, n), "units")
-        told = units.join(best, "unit").select("id", F.when(F.col("cosine") >= SURE, F.col("size")).otherwise(0.0).alias("sure"), "cosine", "at", "license")
+        units = rows.select("id", F.posexplode("units").alias("at", "unit")).withColumn("key", unit_key())
+        best = work.staged(match_units(units.select("key", "unit").dropDuplicates(["key"]), df, n), "units")
+        told = units.drop("unit").join(best, "key").select("id", F.when(F.col("cosine") >= SURE, F.col("size")).otherwise(0.0).alias("sure"), "cosine", "at", "license")
         told = told.union(rows.filter("tag IS NOT NULL").select("id", F.lit(float("inf")), F.lit(1.0), F.lit(-1), "tag"))
         own = told.groupBy("id").agg(F.max(F.struct("sure", "cosine", (-F.col("at")).alias("at"), "license")).alias("m")).select(F.col("id").alias("own_id"), F.col("m.license").alias("own_license"))
         known = work.keep(work.staged(rows.select("id", "dir", F.size("units").cast("long").alias("n_notice_units")).join(own, F.col("id").eqNullSafe(F.col("own_id")), "left").drop("own_id"), "own"))

@@ -131,7 +131,8 @@ def test_license_cosines_against_python(spark):
     r = random.Random(8)
     units = [" ".join(w for w in text.split() if r.random() > 0.2) for _, text in license_scan.TEMPLATES] + ["nothing of the kind", ""]
     df, n = {"license": 40, "the": 90, "of": 80, "under": 30, "version": 10}, 100
-    got = {x.unit: (x.license, x.cosine) for x in license_scan.match_units(spark.createDataFrame([(u,) for u in set(units)], "unit string"), df, n).collect()}
+    table = spark.createDataFrame([(u,) for u in set(units)], "unit string").withColumn("key", license_scan.unit_key())
+    got = {x.unit: (x.license, x.cosine) for x in license_scan.match_units(table, df, n).join(table, "key").collect()}
     known = license_scan.template_weights(df, n)
     for u in units:
         x = {t: c * license_scan.rarity(df.get(t, 0), n) for t, c in license_scan.term_counts(u).items()}
@@ -167,9 +168,9 @@ def test_units_hold_every_near_window(spark):
         lines = [" ".join(ws[i : i + width]) for i in range(0, len(ws), width)]
         rows.append((k, name, "\r\n".join([*filler(3), "", *["// " + x for x in lines], "", *filler(4)])))
     table = spark.createDataFrame(rows, "k int, name string, text string")
-    units = table.select("k", "name", F.explode(license_scan.unit_texts(F.col("text"), F.lit("/x/a.c"), mark)).alias("unit"))
-    best = license_scan.match_units(units.select("unit").distinct(), df, n)
-    found = {(x.k, x.license) for x in units.join(best, "unit").select("k", "license").collect()}
+    units = table.select("k", "name", F.explode(license_scan.unit_texts(F.col("text"), F.lit("/x/a.c"), mark)).alias("unit")).withColumn("key", license_scan.unit_key())
+    best = license_scan.match_units(units.select("key", "unit").distinct(), df, n)
+    found = {(x.k, x.license) for x in units.join(best, "key").select("k", "license").collect()}
     assert [k for k, name, _ in rows if (k, name) not in found] == []
 
 
