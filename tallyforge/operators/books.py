@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.decorrelate import greedy
+from tallyforge.operators.series import by_date
 from tallyforge.operators.stats import edges, pick, placed
 from tallyforge.operators.walk import samples
 
@@ -112,3 +114,35 @@ def against_index(rows: DataFrame, benchmark: DataFrame, years: int = 2, top: in
     first = ranked.groupBy("bucket").agg(F.max(F.when(F.col("rn") == 1, F.col("realized"))).alias("first"), F.avg(F.when(F.col("rn") > 1, F.col("realized"))).alias("others"))
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
     return both.join(first, "bucket").agg(F.count("*").alias("n"), share(F.col("multiple") < F.col("index")).alias("p_below_index"), share(F.col("multiple") < 1).alias("p_loss"), F.count_if(F.col("first") > F.col("others")).alias("best_in_top"))
+
+
+def trails(bars: DataFrame, n: int = 36) -> DataFrame:
+    """(ticker, cutoff, trail): the returns of the last ``n`` bars up to each one, newest first; those from or to a price that isn't positive are left out."""
+    prev, close = F.lag("close").over(by_date()), F.col("close")
+    rows = bars.withColumn("good", F.when((prev > 0) & (close > 0), (close / prev - 1) * 100))
+    return rows.select("ticker", F.col("bar_date").alias("cutoff"), F.reverse(F.collect_list("good").over(by_date().rowsBetween(1 - n, 0))).alias("trail"))
+
+
+def decorrelated(rows: DataFrame, trail: DataFrame, caps: list[float], top: int = 10) -> DataFrame:
+    """(bucket, cap, rn, id): each half-year's book under each cap on the correlation of its names; see ``greedy``."""
+    ranked = rows.join(trail, ["ticker", "cutoff"]).select("bucket", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")).alias("id"), "score", "trail")
+    return greedy(ranked, caps, top)
+
+
+def capped_books(rows: DataFrame, trail: DataFrame, benchmark: DataFrame, caps: list[float], years: int = 2, top: int = 10) -> DataFrame:
+    """(cap, buckets, book, index, excess, win_pct, worst, early, late): the books that each cap leaves, refilled from below, against the
+    benchmark, in percent a year; early and late are the excess of both halves of the buckets."""
+    kept = decorrelated(rows, trail, caps, top)
+    named = rows.select("bucket", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")).alias("id"), "realized", "cutoff")
+    book = kept.join(named, ["bucket", "id"]).groupBy("cap", "bucket").agg(F.avg(1 + F.col("realized") / 100).alias("multiple"), F.min("cutoff").alias("start"))
+    index = benchmark_at(book.select(F.col("start").alias("cutoff")), benchmark, years).select(F.col("cutoff").alias("start"), (1 + F.col("forward") / 100).alias("to"))
+    yearly = lambda m: (F.pow(F.greatest(m, F.lit(0.0)), 1.0 / years) - 1) * 100
+    both = book.join(index, "start").select("cap", "bucket", yearly(F.col("multiple")).alias("book"), yearly(F.col("to")).alias("index")).filter("index IS NOT NULL")
+    w = Window.partitionBy("cap")  # a row a half-year
+    both = both.withColumns({"rn": F.row_number().over(w.orderBy("bucket")), "m": F.count("*").over(w), "excess": F.col("book") - F.col("index")})
+    early = F.col("rn") <= F.floor(F.col("m") / 2)
+    mean = lambda c: F.round(F.avg(c), 4)
+    return both.groupBy("cap").agg(
+        F.count("*").alias("buckets"), mean("book").alias("book"), mean("index").alias("index"), mean("excess").alias("excess"), mean((F.col("excess") > 0).cast("double") * 100).alias("win_pct"), F.round(F.min("book"), 4).alias("worst"),
+        mean(F.when(early, F.col("excess"))).alias("early"), mean(F.when(~early, F.col("excess"))).alias("late"),
+    )

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ranks import weighted_prefixes
+from tallyforge.sources.folders import checkpointed
+
 
 def pearson(x: str, y: str) -> Column:
     """Correlation of two columns; null under two rows or without variance."""
@@ -85,16 +88,17 @@ def draws(spark, buckets: DataFrame, n_draws: int, block: int) -> DataFrame:
 def bootstrap(samples: DataFrame, drawn: DataFrame, block: int = 2, least_keys: int = 4, least_blocks: int = 10) -> DataFrame:
     """(lo, mid, hi): 5th, 50th and 95th percentile of the halves' edge over resamples (draw, bucket, times) of the buckets; null
     under ``least_keys`` buckets, or for blocks of several under ``least_blocks`` of them. A row drawn several times counts so
-    often: places in a draw come from running sums of ``times`` over the rows in order of score, which are sorted once a draw."""
-    keys = samples.agg(F.countDistinct("bucket").alias("keys")).withColumn("one", F.lit(1))
-    rows = samples.join(F.broadcast(drawn), "bucket")
-    w = Window.partitionBy("draw")
-    ranked = rows.withColumns({"upto": F.sum("times").over(w.orderBy(F.desc("score"), "ticker", "cutoff").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("times").over(w)})
-    half = F.floor(F.col("n") / 2)
-    upper = F.greatest(F.lit(0), F.least("times", half - (F.col("upto") - F.col("times"))))
-    lower = F.greatest(F.lit(0), F.least("times", F.col("upto") - (F.col("n") - half)))
-    each = ranked.groupBy("draw").agg(F.try_divide(F.sum(upper * F.col("relative")), F.sum(upper)).alias("t"), F.try_divide(F.sum(lower * F.col("relative")), F.sum(lower)).alias("b")).select((F.col("t") - F.col("b")).alias("edge"), F.lit(1).alias("one"))
-    ranked = placed(each.filter("edge IS NOT NULL"), "one", ["edge"])
+    often. The halves of a draw are sums over its first units in order of score, which are found in counts by ranges of
+    rank (``weighted_prefixes``), so samples are ranked once and never multiplied by the draws."""
+    sizes = samples.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("relative").alias("all"))
+    keys = sizes.agg(F.count("*").alias("keys")).withColumn("one", F.lit(1))
+    units = drawn.join(sizes, "bucket").groupBy("draw").agg(F.sum(F.col("times") * F.col("rows")).alias("n"), F.sum(F.col("times") * F.col("all")).alias("all"))
+    units = checkpointed(units.withColumn("half", F.floor(F.col("n") / 2)))
+    ends = units.filter("half > 0").select("draw", F.explode(F.array(F.struct(F.lit(0).alias("q"), F.col("half").alias("upto")), F.struct(F.lit(1).alias("q"), (F.col("n") - F.col("half")).alias("upto")))).alias("e"))
+    sums = weighted_prefixes(samples, checkpointed(drawn), ends.select("draw", "e.q", "e.upto"), [F.desc("score"), F.col("ticker"), F.col("cutoff")], "relative")
+    halves = sums.groupBy("draw").agg(F.max(F.when(F.col("q") == 0, F.col("sum"))).alias("upper"), F.max(F.when(F.col("q") == 1, F.col("sum"))).alias("but_lower"))
+    edge = (F.col("upper") - (F.col("all") - F.col("but_lower"))) / F.col("half")
+    ranked = placed(halves.join(units, "draw").select(edge.alias("edge"), F.lit(1).alias("one")), "one", ["edge"])  # a row a draw
     at = lambda p: pick("edge", F.floor(p / 100.0 * (F.col("n") - 1) + 0.5))
     band = ranked.groupBy("one").agg(at(5.0).alias("lo"), at(50.0).alias("mid"), at(95.0).alias("hi")).join(F.broadcast(keys), "one")
     enough = (F.col("keys") >= least_keys) & ((F.lit(block) <= 1) | (F.floor(F.col("keys") / block) >= least_blocks))
@@ -132,29 +136,3 @@ def recall(samples: DataFrame, top: int = 10, share: float = 0.1, least: float =
     both = won.join(picks, ["bucket", "ticker"], "left").withColumn("held", F.coalesce("held", F.lit(False)))
     all_in = both.agg(F.count("*").alias("winners"), F.avg(F.col("held").cast("double")).alias("r"), F.try_divide(F.sum(F.when(F.col("held"), F.col("multiple")).otherwise(0.0)), F.sum("multiple")).alias("c"))
     return all_in.select(F.round(F.when(F.col("c").isNotNull(), F.col("r")), 6).alias("recall"), F.round("c", 6).alias("captured"), "winners")
-
-
-def decorrelate(trails: DataFrame, keep: int = 10, cap: float = 0.6) -> DataFrame:
-    """(bucket, ticker, rank, kept): in order of rank, an entry is kept while fewer than ``keep`` are and none of these
-    moves with it at ``cap`` or more over their common last points, of which there must be 12. The walk depends on what it
-    has kept so far, so each bucket's ranked shortlist is folded in one task; buckets run in parallel."""
-    import numpy as np
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, kept, flags = pdf.sort_values(["rank", "ticker"]), [], []
-        for trail in pdf["trail"]:
-            t = np.asarray(trail, float)
-            near = False
-            for other in kept:
-                k = min(len(t), len(other))
-                a, b = t[len(t) - k :], other[len(other) - k :]
-                if k >= 12 and a.std() > 0 and b.std() > 0 and np.corrcoef(a, b)[0, 1] >= cap:
-                    near = True
-                    break
-            flags.append(len(kept) < keep and not near)
-            if flags[-1]:
-                kept.append(t)
-        return pdf.assign(kept=flags)[["bucket", "ticker", "rank", "kept"]]
-
-    return trails.groupBy("bucket").applyInPandas(fold, "bucket int, ticker string, rank int, kept boolean")

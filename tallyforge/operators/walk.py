@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators.asof import count_below
 from tallyforge.operators.ranks import lanes
 from tallyforge.operators.series import ENDPOINT_DAYS, by_date, cagr, span_to_bars
+from tallyforge.sources.folders import checkpointed
 
 
 def half_year(day: Column) -> Column:
@@ -83,12 +84,8 @@ def books(rows: DataFrame, benchmark: DataFrame, years: int = 2, ladder: tuple[i
 
 
 def purged_cut(rows: DataFrame, months: int = 24, share: float = 0.7) -> DataFrame:
-    """(part, n, first, last): training and test rows by date, without training rows within ``months`` of the test. The
-    edge is the date of the row at ``share`` of all, from counts by date and their running sums."""
-    w = Window.partitionBy(F.lit(1))
-    days = rows.groupBy("cutoff").agg(F.count("*").alias("k")).withColumns({"upto": F.sum("k").over(w.orderBy("cutoff")), "n": F.sum("k").over(w)})  # a row a date
-    edge = days.filter(F.col("upto") >= F.floor(share * F.col("n")) + 1).agg(F.min("cutoff").alias("edge")).withColumn("one", F.lit(1))
-    parts = rows.withColumn("one", F.lit(1)).join(F.broadcast(edge), "one")
+    """(part, n, first, last): training and test rows by date, without training rows within ``months`` of the test."""
+    parts = rows.withColumn("one", F.lit(1)).join(F.broadcast(edge_day(rows, share)), "one")
     part = F.when(F.col("cutoff") >= F.col("edge"), "test").when(F.col("cutoff") < F.date_sub("edge", months * 30), "train")
     return parts.withColumn("part", part).filter("part IS NOT NULL").groupBy("part").agg(F.count("*").alias("n"), F.min("cutoff").alias("first"), F.max("cutoff").alias("last"))
 
@@ -111,22 +108,70 @@ def exits(rows: DataFrame, gate: Column) -> DataFrame:
     return told.filter("ok AND next IS NOT NULL").groupBy(F.col("next").alias("stayed")).agg(F.count("*").alias("n"), F.round(F.avg("relative"), 6).alias("mean"))
 
 
+def unpivoted(rows: DataFrame, factors: list[str]) -> DataFrame:
+    """(factor, score, relative, ticker, cutoff): each factor of each row as a score, where it is known."""
+    keys = ["relative", "ticker", "cutoff"]
+    return rows.select(*keys, *[F.col(f).cast("double") for f in factors]).unpivot(keys, factors, "factor", "score").filter("score IS NOT NULL")
+
+
 def factor_probe(rows: DataFrame, factors: list[str]) -> DataFrame:
     """(factor, n, rho): rank correlation of each factor with relative returns, after unpivoting the factors."""
-    from tallyforge.operators.stats import average_rank, pearson
+    return lanes(unpivoted(rows, factors), ["factor"]).select("factor", "n", "rho")
 
-    long = rows.select("relative", "ticker", "cutoff", *[F.col(f).cast("double") for f in factors]).unpivot(["relative", "ticker", "cutoff"], factors, "factor", "value").filter("value IS NOT NULL")
-    ranked = long.withColumns({"rx": average_rank("value", "factor"), "ry": average_rank("relative", "factor")})
-    return ranked.groupBy("factor").agg(F.count("*").alias("n"), F.round(pearson("rx", "ry"), 6).alias("rho"))
 
+def scored_by(rows: DataFrame, arms: DataFrame) -> DataFrame:
+    """Each row under each arm (arm, w_range, w_dd; a table of settings, so it is small), with the score that the arm gives it."""
+    each = rows.withColumn("one", F.lit(1)).join(F.broadcast(arms.withColumn("one", F.lit(1))), "one").drop("one")
+    return each.withColumn("score", F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4))
 
-def knob_sweep(rows: DataFrame, arms: DataFrame) -> DataFrame:
-    """(arm, n, edge): each arm (arm, w_range, w_dd) re-scores the same samples; the halves' edge of its ranking."""
-    from tallyforge.operators.stats import edges
 
-    each = rows.withColumn("one", F.lit(1)).join(F.broadcast(arms.withColumn("one", F.lit(1))), "one")
-    scored = each.withColumn("score", F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4)).withColumn("id", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")))
-    return edges(scored, "arm", key="id").select("arm", "n", "edge")
+def knob_sweep(rows: DataFrame, arms: DataFrame) -> DataFrame:
+    """(arm, n, edge): each arm re-scores the same samples; the halves' edge of its ranking."""
+    return lanes(scored_by(rows, arms), ["arm"]).select("arm", "n", "edge")
+
+
+def purged_halves(rows: DataFrame, months: int = 24) -> DataFrame:
+    """``rows`` with half: 'late' for those from the date on at which the second half of them begins, 'early' for those that lie ``months`` or
+    more before it, and null for the rest, whose returns reach into the late half. The date comes from counts by date."""
+    told = rows.withColumn("one", F.lit(1)).join(F.broadcast(edge_day(rows, 0.5)), "one").drop("one")
+    return told.withColumn("half", F.when(F.col("cutoff") >= F.col("edge"), "late").when(F.col("cutoff") < F.date_sub("edge", months * 30), "early")).drop("edge")
+
+
+def _by_halves(rows: DataFrame, by: str, months: int) -> DataFrame:
+    """(by, n, rho, edge, early_rho, late_rho) of rows with a score."""
+    halves = lanes(purged_halves(rows, months).filter("half IS NOT NULL"), [by, "half"])
+    side = lambda name: F.max(F.when(F.col("half") == name, F.col("rho"))).alias(f"{name}_rho")
+    return lanes(rows, [by]).join(halves.groupBy(by).agg(side("early"), side("late")), by, "left")
+
+
+def ablation(rows: DataFrame, base: Column, arms: dict[str, Column], months: int = 24) -> DataFrame:
+    """(arm, n, rho, edge, d_rho, d_edge, early_rho, late_rho): what a score is worth without one of its terms, over the rows that the
+    score admits. ``base`` and ``arms`` are scores, null where a row isn't admitted; a row that an arm doesn't admit keeps its old
+    score, so all arms rank the same rows. Differences are to the arm 'full'."""
+    admitted = rows.withColumn("_base", base).filter("_base IS NOT NULL")
+    each = F.array(F.struct(F.lit("full").alias("arm"), F.col("_base").alias("score")), *[F.struct(F.lit(k).alias("arm"), F.coalesce(c, F.col("_base")).alias("score")) for k, c in arms.items()])
+    told = _by_halves(admitted.select("relative", "ticker", "cutoff", F.inline(each)), "arm", months)
+    full = told.filter("arm = 'full'").select(F.col("rho").alias("_rho"), F.col("edge").alias("_edge"), F.lit(1).alias("one"))
+    both = told.withColumn("one", F.lit(1)).join(F.broadcast(full), "one")
+    return both.select("arm", "n", "rho", "edge", F.round(F.col("rho") - F.col("_rho"), 6).alias("d_rho"), F.round(F.col("edge") - F.col("_edge"), 6).alias("d_edge"), "early_rho", "late_rho")
+
+
+def factor_draws(rows: DataFrame, factors: list[str], draws: int, months: int = 24) -> DataFrame:
+    """(factor, draw, weight, n, rho, edge, early_rho, late_rho, beats): each factor added to the score with each of ``draws`` weights between -1 and
+    1 (from a hash of the draw), where it is known; an arm beats the score as it is if its edge is higher and both purged
+    halves' correlations are above 0."""
+    weight = F.round(F.pmod(F.col("draw") * 2654435761 + 7, F.lit(1999)) / 999.0 - 1, 6)
+    keys = ["relative", "ticker", "cutoff", "score"]
+    long = rows.select(*keys, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(keys, factors, "factor", "value")
+    each = long.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("weight", weight)
+    arm = F.concat_ws(":", "factor", F.lpad(F.col("draw").cast("string"), 4, "0"))
+    scored = each.select("relative", "ticker", "cutoff", arm.alias("arm"), F.round(F.col("score") + F.coalesce(F.col("weight") * F.col("value"), F.lit(0.0)), 6).alias("score"))
+    base = lanes(rows.select("relative", "ticker", "cutoff", "score").withColumn("arm", F.lit("base")), ["arm"]).select(F.col("edge").alias("_edge"), F.lit(1).alias("one"))
+    told = _by_halves(scored, "arm", months).withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
+    part = F.split("arm", ":")
+    draw = part[1].cast("int")
+    beats = F.coalesce((F.col("edge") > F.col("_edge")) & (F.col("early_rho") > 0) & (F.col("late_rho") > 0), F.lit(False))
+    return told.withColumns({"factor": part[0], "draw": draw}).withColumn("weight", weight).select("factor", "draw", "weight", "n", "rho", "edge", "early_rho", "late_rho", beats.alias("beats"))
 
 
 def cadences(bars: DataFrame) -> DataFrame:
@@ -146,34 +191,29 @@ def knob_draws(spark, n: int) -> DataFrame:
     return rows.withColumn("active", ((F.col("w_range") != 0).cast("int") + (F.col("w_dd") != 0).cast("int")))
 
 
-def knob_search(rows: DataFrame, arms: DataFrame, edge_day: str, months: int = 24) -> DataFrame:
-    """(arm, active, train_rho, train_edge, test_rho, test_edge): each arm scores the samples before ``edge_day``, less those
-    within ``months`` of it; of the arms with a rank correlation above 0 there, the one with the best halves' edge, and
-    of equal ones the one with fewest active weights, is tested once on the samples from ``edge_day`` on."""
-    from tallyforge.operators.stats import lane_metrics
-
-    def scored(part: DataFrame, some: DataFrame) -> DataFrame:
-        each = part.withColumn("one", F.lit(1)).join(F.broadcast(some.withColumn("one", F.lit(1))), "one")
-        return lane_metrics(each.withColumn("score", F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4)), "arm")
-
-    day = F.lit(edge_day).cast("date")
-    train = scored(rows.filter(F.col("cutoff") < F.date_sub(day, months * 30)), arms).join(arms, "arm").filter("rho > 0")
-    won = train.orderBy(F.desc("edge"), "active", "arm").limit(1).select("arm", "w_range", "w_dd", "active", F.col("rho").alias("train_rho"), F.col("edge").alias("train_edge"))
-    test = scored(rows.filter(F.col("cutoff") >= day), won.select("arm", "w_range", "w_dd"))
+def edge_day(rows: DataFrame, share: float) -> DataFrame:
+    """(edge, one): the date of the row at ``share`` of all rows by date, from counts by date."""
+    w = Window.partitionBy(F.lit(1))
+    days = rows.groupBy("cutoff").agg(F.count("*").alias("k")).withColumns({"upto": F.sum("k").over(w.orderBy("cutoff")), "n": F.sum("k").over(w)})  # a row a date
+    return days.filter(F.col("upto") >= F.floor(share * F.col("n")) + 1).agg(F.min("cutoff").alias("edge")).withColumn("one", F.lit(1))
+
+
+def knob_search(rows: DataFrame, arms: DataFrame, share: float = 0.7, months: int = 24) -> DataFrame:
+    """(arm, active, train_rho, train_edge, test_rho, test_edge): each arm scores the first ``share`` of the samples by date, less those
+    within ``months`` of the rest; of the arms with a rank correlation above 0 there, the one with the best halves' edge, and
+    of equal ones the one with fewest active weights, is tested once on the rest."""
+    day = edge_day(rows, share)
+    told = checkpointed(rows.withColumn("one", F.lit(1)).join(F.broadcast(day), "one").drop("one"))
+    train = lanes(scored_by(told.filter(F.col("cutoff") < F.date_sub("edge", months * 30)), arms), ["arm"]).join(arms, "arm").filter("rho > 0")
+    won = checkpointed(train.orderBy(F.desc("edge"), "active", "arm").limit(1).select("arm", "w_range", "w_dd", "active", F.col("rho").alias("train_rho"), F.col("edge").alias("train_edge")))
+    test = lanes(scored_by(told.filter("cutoff >= edge"), won.select("arm", "w_range", "w_dd")), ["arm"])
     return won.join(test, "arm", "left").select("arm", "active", "train_rho", "train_edge", F.col("rho").alias("test_rho"), F.col("edge").alias("test_edge"))
 
 
-def factor_sweep(rows: DataFrame, factors: list[str], edge_day: str) -> DataFrame:
-    """(factor, n, rho, edge, early_rho, late_rho, beats): each factor as the score, over all samples and on either side of
-    ``edge_day``; it beats the present score if its edge is higher and both halves' correlations are above 0."""
-    from tallyforge.operators.stats import lane_metrics
-
-    base = lane_metrics(rows.withColumn("all", F.lit("all")), "all").select(F.col("edge").alias("base"), F.lit(1).alias("one"))
-    long = rows.select("relative", "ticker", "cutoff", *[F.col(f).cast("double") for f in factors]).unpivot(["relative", "ticker", "cutoff"], factors, "factor", "score").filter("score IS NOT NULL")
-    half = F.when(F.col("cutoff") < F.lit(edge_day).cast("date"), "early").otherwise("late")
-    whole = lane_metrics(long, "factor")
-    parts = lane_metrics(long.withColumn("part", F.concat_ws(":", "factor", half)), "part").select(F.split("part", ":")[0].alias("factor"), F.split("part", ":")[1].alias("half"), "rho")
-    sides = parts.groupBy("factor").agg(F.max(F.when(F.col("half") == "early", F.col("rho"))).alias("early_rho"), F.max(F.when(F.col("half") == "late", F.col("rho"))).alias("late_rho"))
-    told = whole.join(sides, "factor").withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
-    beats = F.coalesce((F.col("edge") > F.col("base")) & (F.col("early_rho") > 0) & (F.col("late_rho") > 0), F.lit(False))
+def factor_sweep(rows: DataFrame, factors: list[str], months: int = 24) -> DataFrame:
+    """(factor, n, rho, edge, early_rho, late_rho, beats): each factor as the score, over all samples and over either purged half; it
+    beats the present score if its edge is higher and both halves' correlations are above 0."""
+    base = lanes(rows.select("relative", "ticker", "cutoff", "score").withColumn("arm", F.lit("base")), ["arm"]).select(F.col("edge").alias("_edge"), F.lit(1).alias("one"))
+    told = _by_halves(unpivoted(rows, factors), "factor", months).withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
+    beats = F.coalesce((F.col("edge") > F.col("_edge")) & (F.col("early_rho") > 0) & (F.col("late_rho") > 0), F.lit(False))
     return told.select("factor", "n", "rho", "edge", "early_rho", "late_rho", beats.alias("beats"))

@@ -128,26 +128,14 @@ QUERIES = {
     "journal_deploy": lambda s, d: _levels(s, d).select("day", J.market_state(F.col("level") / 50 - 60).alias("state"), J.deploy_multiplier(J.market_state(F.col("level") / 50 - 60)).alias("times")),
     "universe_tiered": lambda s, d: U.tiered(_part(s, d, "'P' || p_partkey || '.DE' AS symbol", "p_name AS name").distinct(), _part(s, d, "'P' || p_partkey || '.DE' AS symbol", "p_size AS value").filter("value < 10"), _part(s, d, "'P' || p_partkey AS stem", "p_size AS value").filter("value > 40"), _part(s, d, "p_name AS known", "0 AS value").distinct()).groupBy("tier").agg(F.count("*").alias("n"), F.sum("value").alias("total")),
     "walk_cadences": lambda s, d: K.cadences(T.bars(s, d)),
-    "walk_knob_search": lambda s, d: K.knob_search(_samples(s, d), K.knob_draws(s, 60), EDGE, 12),
-    "walk_factor_sweep": lambda s, d: K.factor_sweep(_samples(s, d), FACTORS, EDGE),
 }
 
 _X = "'X' || p_partkey"
 _SW = "WITH " + VIEWS["bars"] + ", " + VIEWS["sectors"] + """, c AS (SELECT ticker || '.DE' AS listing, substr(ticker, 2)::INT AS k, min(bar_date) AS a, max(bar_date) AS b, count(*) AS n FROM bars WHERE month(bar_date) > 2 GROUP BY 1, 2), m AS (SELECT 'S' || s_suppkey AS symbol, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'S' || s_suppkey || '.DE' END AS listing FROM supplier WHERE s_suppkey % 5 <> 0),
 g AS (SELECT m.* FROM m JOIN c USING (listing) WHERE k % 4 <> 0 AND a <= b - INTERVAL 60 MONTH AND n >= 60), w AS (SELECT s.ticker AS symbol, coalesce(g.listing, s.ticker) AS listing FROM sectors s LEFT JOIN g ON g.symbol = s.ticker)"""
 _LOT = "WITH " + VIEWS["journal"] + ", lots AS (SELECT day, ticker, round(100 / px, 6) AS qty, 100.0::DOUBLE AS cost FROM journal WHERE rank <= 3)"
-_DRAWS = "d AS (SELECT range AS id FROM range(60)), a0 AS (SELECT 'd' || lpad(id::VARCHAR, 4, '0') AS arm, ((id * 2654435761) % 997) / 996.0::DOUBLE AS x, ((id * 2654435761 + 31337) % 997) / 996.0::DOUBLE AS y FROM d), arms AS (SELECT arm, CASE WHEN x < 1 / 3.0::DOUBLE THEN 0 ELSE round((x - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_range, CASE WHEN y < 1 / 3.0::DOUBLE THEN 0 ELSE round((y - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_dd FROM a0)"
 
 
-def _lane(tag: str, src: str, by: str) -> str:
-    """Halves' edge and rank correlation of ``src`` (by, score, relative, id) as ``{tag}`` (by, n, rho, edge)."""
-    return f""", {tag}b AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, id) AS rn, count(*) OVER (PARTITION BY {by}) AS n, rank() OVER (PARTITION BY {by} ORDER BY score) + (count(*) OVER (PARTITION BY {by}, score) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY {by} ORDER BY relative) + (count(*) OVER (PARTITION BY {by}, relative) - 1) / 2.0::DOUBLE AS ry FROM {src}),
-{tag} AS (SELECT {by}, n, CASE WHEN n >= 4 THEN {_RHO} END AS rho, CASE WHEN n >= 4 THEN round(avg(relative) FILTER (WHERE rn <= n // 2) - avg(relative) FILTER (WHERE rn > n - n // 2), 6) ELSE 0 END AS edge FROM {tag}b GROUP BY {by}, n)"""
-
-
-_UNPIVOT = "(UNPIVOT (SELECT relative, ticker, cutoff, cagr_life, max_dd, vol, range_pct, r2 FROM samples) ON cagr_life, max_dd, vol, range_pct, r2 INTO NAME factor VALUE score)"
-_SCORE = "round(least(cagr_life, 30.0) + w_range * range_pct - w_dd * max_dd, 4) AS score, ticker || ':' || cutoff AS id"
-
 SQL = {
     "refdata_misses": f"SELECT isin, max(missed_on) AS missed_on FROM (SELECT {_X} AS isin, DATE '2001-11-01' - p_size AS missed_on FROM part WHERE p_partkey % 4 = 1 AND NOT (p_partkey % 3 = 1 AND p_partkey % 5 < 3) UNION ALL SELECT {_X}, DATE '2001-11-01' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 5 < 3) GROUP BY 1",
     "refdata_resolve": f"SELECT {_X} AS isin, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 6 <> 0 THEN 'P' || p_partkey END AS symbol, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 6 <> 0 THEN 'known' WHEN p_partkey % 4 = 1 AND p_size < 30 THEN 'blocked' ELSE 'ask' END AS state FROM part",
@@ -181,7 +169,4 @@ o AS (SELECT 'O' || p_partkey AS owned, CASE WHEN p_partkey % 3 <> 0 THEN 'I' ||
     "universe_tiered": """WITH q AS (SELECT DISTINCT 'P' || p_partkey AS stem, p_partkey, p_name AS name FROM part), v AS (SELECT q.*, CASE WHEN p_size < 10 THEN p_size END AS v1, CASE WHEN p_size > 40 THEN p_size END AS v2, CASE WHEN length(name) >= 10 THEN 0 END AS v3 FROM q JOIN part USING (p_partkey))
 SELECT CASE WHEN v1 IS NOT NULL THEN 1 WHEN v2 IS NOT NULL THEN 2 WHEN v3 IS NOT NULL THEN 3 END AS tier, count(*) AS n, sum(coalesce(v1, v2, v3))::BIGINT AS total FROM v GROUP BY 1""",
     "walk_cadences": "WITH " + VIEWS["bars"] + ", r AS (SELECT ticker, (count(*) - 1) * 365.25::DOUBLE / nullif(max(bar_date) - min(bar_date), 0) AS r FROM bars GROUP BY 1) SELECT ticker, round(r, 6) AS per_year, greatest(floor(r + 0.5), 1)::BIGINT AS history, greatest(floor(r * 3 + 0.5), 1)::BIGINT AS hold, greatest(floor(r * 0.5 + 0.5), 1)::BIGINT AS step FROM r",
-    "walk_knob_search": _SAMPLES + f", {_DRAWS}, tr AS (SELECT arm, relative, {_SCORE} FROM samples, arms WHERE cutoff < DATE '{EDGE}' - 360), te AS (SELECT arm, relative, {_SCORE} FROM samples, arms WHERE cutoff >= DATE '{EDGE}')" + _lane("t", "tr", "arm") + _lane("u", "te", "arm") + ", won AS (SELECT arm, (w_range <> 0)::INT + (w_dd <> 0)::INT AS active, t.rho AS train_rho, t.edge AS train_edge FROM t JOIN arms USING (arm) WHERE t.rho > 0 ORDER BY t.edge DESC, active, arm LIMIT 1) SELECT won.*, u.rho AS test_rho, u.edge AS test_edge FROM won LEFT JOIN u USING (arm)",
-    "walk_factor_sweep": _SAMPLES + f", f AS (SELECT factor, score, relative, ticker || ':' || cutoff AS id, factor || CASE WHEN cutoff < DATE '{EDGE}' THEN ':early' ELSE ':late' END AS part FROM {_UNPIVOT} WHERE score IS NOT NULL), al AS (SELECT 'all' AS g, score, relative, ticker || ':' || cutoff AS id FROM samples)" + _lane("t", "f", "factor") + _lane("u", "f", "part") + _lane("v", "al", "g") + """
-SELECT t.*, e.rho AS early_rho, l.rho AS late_rho, coalesce(t.edge > (SELECT edge FROM v) AND e.rho > 0 AND l.rho > 0, false) AS beats FROM t LEFT JOIN u e ON e.part = factor || ':early' LEFT JOIN u l ON l.part = factor || ':late'""",
 }

@@ -21,14 +21,6 @@ def _gate():
     return (F.col("max_dd") <= 98) & (F.col("range_pct") >= 40)
 
 
-def _trails(s, d):
-    from pyspark.sql import Window
-
-    rows = T.bars(s, d).withColumn("ret", F.try_divide(F.col("close"), F.lag("close").over(Window.partitionBy("ticker").orderBy("bar_date"))) - 1)
-    last = rows.groupBy("ticker").agg(F.slice(F.array_sort(F.collect_list(F.struct("bar_date", "ret"))), -36, 36).alias("t"))
-    return last.select((F.abs(F.hash("ticker")) % 4).alias("bucket"), "ticker", F.row_number().over(Window.partitionBy((F.abs(F.hash("ticker")) % 4)).orderBy("ticker")).alias("rank"), F.transform("t", lambda x: F.round(x["ret"], 6)).alias("trail"))
-
-
 def _bootstrap(s, d):
     rows = _samples(s, d)
     return X.bootstrap(rows, X.draws(s, rows.select("bucket"), DRAWS, BLOCK), BLOCK, least_blocks=2).select(*[F.round(c, 4).alias(c) for c in ("lo", "mid", "hi")])
@@ -50,7 +42,6 @@ QUERIES = {
     "stat_turnover": lambda s, d: X.turnover(_samples(s, d)),
     "stat_recall": lambda s, d: X.recall(_samples(s, d).withColumn("score", F.when(_gate(), F.col("score"))), least=0.5),
     "stat_lane_metrics": lambda s, d: X.lane_metrics(_samples(s, d), "bucket"),
-    "stat_decorrelate": lambda s, d: X.decorrelate(_trails(s, d)),
 }
 
 _SAMPLES = (
