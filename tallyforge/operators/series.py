@@ -181,18 +181,22 @@ def monthly_tail(bars: DataFrame, k: int = 36) -> DataFrame:
 def horizon_changes(bars: DataFrame, cadence: int = 78) -> DataFrame:
     """(ticker, horizon, change): from each anchor, averaged over its half-width or else as of it, to the end; long ones
     end at the smoothed close. Null where the series starts over 31 days after the anchor."""
-    spark = bars.sparkSession
-    dim = F.broadcast(spark.createDataFrame([(k, d, anchor_half(d)) for k, d in HORIZONS.items()], "horizon string, days int, half int"))
-    rows = positioned(bars).withColumn("one", F.lit(1)).join(dim.withColumn("one", F.lit(1)), "one")
-    rows = rows.withColumn("target", F.expr("date_sub(last_date, days)"))
-    near = F.expr("bar_date between date_sub(target, half) and date_add(target, half)") & (F.col("half") > 0)
-    one = rows.groupBy("ticker", "horizon", "days").agg(
-        F.avg(F.when(near, F.col("close"))).alias("mean"), F.max_by("close", F.when(F.col("bar_date") <= F.col("target"), F.col("bar_date"))).alias("asof"), F.max_by("close", "bar_date").alias("raw"),
-        F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).alias("smooth"), F.min("first_date").alias("d0"), F.min("target").alias("target"),
-    )
-    past = F.coalesce("mean", "asof")
-    now = F.when(F.col("days") >= 365, F.col("smooth")).otherwise(F.col("raw"))
-    return one.select("ticker", "horizon", F.round(F.when(F.col("d0") <= F.date_add("target", 31), F.try_divide(now - past, past) * 100), 6).alias("change"))
+    rows = positioned(bars)
+    made = {}
+    for h, d in HORIZONS.items():
+        half, target = anchor_half(d), F.date_sub("last_date", d)
+        near = F.col("bar_date").between(F.date_sub(target, half), F.date_add(target, half))
+        made[f"mean_{h}"] = F.avg(F.when(near, F.col("close"))) if half else F.lit(None).cast("double")
+        made[f"asof_{h}"] = F.max_by("close", F.when(F.col("bar_date") <= target, F.col("bar_date")))
+    ends = [F.max("last_date").alias("d1"), F.min("first_date").alias("d0"), F.max("last_close").alias("raw"), F.avg(tail(F.col("close"), span_to_bars(ENDPOINT_DAYS, cadence))).alias("smooth")]
+    one = rows.groupBy("ticker").agg(*ends, *[c.alias(k) for k, c in made.items()])
+
+    def change(h: str, d: int) -> Column:
+        past = F.coalesce(F.col(f"mean_{h}"), F.col(f"asof_{h}"))
+        now = F.col("smooth" if d >= 365 else "raw")
+        return F.struct(F.lit(h).alias("horizon"), F.round(F.when(F.datediff("d1", "d0") >= d - 31, F.try_divide(now - past, past) * 100), 6).alias("change"))
+
+    return one.select("ticker", F.inline(F.array(*[change(h, d) for h, d in HORIZONS.items()])))
 
 
 def income(bars: DataFrame, dividends: DataFrame, splits: DataFrame, since: str = "1999-01-01") -> DataFrame:

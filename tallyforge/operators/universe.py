@@ -196,18 +196,3 @@ def fx_rates(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     direct, inverse = pairs.filter("quote = 'EUR'").select(F.col("base").alias("unit"), F.col("px").alias("d")), pairs.filter("base = 'EUR'").select(F.col("quote").alias("unit"), F.col("px").alias("i"))
     rows = rows.join(direct, "unit", "left").join(inverse, "unit", "left")
     return rows.select("ccy", F.round(F.when(F.col("unit") == "EUR", 1.0).otherwise(F.coalesce("d", F.try_divide(F.lit(1.0), F.col("i")))) * scale, 8).alias("rate"))
-
-
-def merge_series(new: DataFrame, old: DataFrame) -> DataFrame:
-    """(year, rate): the new value where there is one, else the archived one."""
-    both = new.withColumnRenamed("rate", "n").join(old.withColumnRenamed("rate", "o"), "year", "full")
-    return both.select("year", F.coalesce("n", "o").alias("rate"))
-
-
-def inflation_stats(series: DataFrame) -> DataFrame:
-    """(latest, rate, mean10, mean30, compounded10): of a series of years (year, rate)."""
-    w = Window.partitionBy(F.lit(1))
-    rows = series.withColumns({"back": F.row_number().over(w.orderBy(F.desc("year"))), "n": F.count("*").over(w)})
-    part = lambda k: F.avg(F.when(F.col("back") <= k, F.col("rate")))
-    grown = F.when(F.max("n") + 1 >= 10, (F.exp(F.sum(F.when(F.col("back") <= 10, F.log(1 + F.col("rate") / 100)))) - 1) * 100)
-    return rows.agg(F.max("year").alias("latest"), F.round(F.max_by("rate", "year"), 6).alias("rate"), F.round(part(10), 6).alias("mean10"), F.round(part(30), 6).alias("mean30"), F.round(grown, 6).alias("compounded10"))

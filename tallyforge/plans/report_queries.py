@@ -11,7 +11,9 @@ from tallyforge.sources import tables as T
 from tallyforge.sources.tables import SQL as VIEWS
 
 LADDER = [(1, 0.0), (2, 0.25), (6, 0.5), (10, 1.0)]
-CODES = ["IE00B4L5Y983", "US0378331005", "ie00B4L5Y983", "IE00B4L5Y98X", "", "LU0123a56789"]
+#: Codes of parts: good ones, and others with small letters, a letter at the end, a digit too many, or none at all.
+CODE = "CASE p_partkey % 6 WHEN 0 THEN 'ie' WHEN 1 THEN '' ELSE 'US' END || right('00000000' || p_partkey, 8) || CASE p_partkey % 4 WHEN 0 THEN 'a' ELSE '7' END || CASE p_partkey % 5 WHEN 0 THEN 'X' WHEN 1 THEN '12' ELSE '3' END"
+CCY = "CASE n_nationkey WHEN 0 THEN 'EUR' WHEN 1 THEN 'GBP' WHEN 2 THEN 'GBp' ELSE 'C' || n_nationkey END"
 
 
 def _inline(s, kind, rows):
@@ -76,6 +78,22 @@ def _pool(s, d):
     return U.pit_pool(T.sectors(s, d), sp.filter("end_date IS NULL"), sp.filter("start_date < '1997-01-01'"))
 
 
+def _pairs(s, d):
+    """A currency pair of most nations, its price the suppliers' mean balance: even ones against the euro, odd ones the other way."""
+    mean = F.round(F.avg(F.abs("s_acctbal").cast("decimal(18,4)")).cast("double") / 1000, 6)
+    both = T.table(s, d, "nation").join(T.table(s, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey")).filter("n_nationkey % 7 <> 5 AND n_nationkey NOT IN (0, 2)")
+    priced = both.groupBy("n_nationkey", F.expr(CCY).alias("ccy")).agg(mean.alias("px"))
+    even = F.col("n_nationkey") % 2 == 0
+    return priced.select(F.when(even, F.col("ccy")).otherwise("EUR").alias("base"), F.when(even, "EUR").otherwise(F.col("ccy")).alias("quote"), "px")
+
+
+def _savings(s, d):
+    """Orders as deposits, until 2002, by priority."""
+    paid = T.table(s, d, "orders").select("o_orderpriority", (F.lit(2002) - F.year("o_orderdate")).alias("years"), F.col("o_totalprice").cast("decimal(18,4)").alias("x")).groupBy("o_orderpriority", "years").agg(F.sum("x").cast("double").alias("paid"))
+    grown = paid.withColumn("gain", J.savings_gain(F.col("years"), LADDER, 2.0))
+    return grown.groupBy("o_orderpriority").agg(F.round(F.sum("paid"), 2).alias("paid"), F.round(F.sum(F.col("paid") * (1 + F.col("gain") / 100)), 2).alias("value"))
+
+
 QUERIES = {
     "journal_grade": _grades,
     "journal_summary": lambda s, d: J.summary(_grades(s, d)),
@@ -88,12 +106,12 @@ QUERIES = {
     "journal_paper_savings": lambda s, d: J.paper_savings(T.journal(s, d), period="week"),  # the journal spans a month
     "journal_dip_alerts": lambda s, d: J.dip_alerts(T.journal(s, d)),
     "market_state_flips": lambda s, d: J.state_flips(_levels(s, d)),
-    "savings_ladder": lambda s, d: s.range(1, 16).select(F.col("id").cast("int").alias("years"), F.round(J.savings_gain(F.col("id").cast("int"), LADDER, 2.0), 6).alias("gain")),
+    "savings_ladder": _savings,
     "universe_first_wins": _ponds,
     "universe_merge_lists": _lists,
     "universe_pit_pool": _pool,
     "universe_symbols": lambda s, d: _symbols(s, d).select("symbol", U.normal_symbol(F.col("symbol")).alias("normal"), U.market_of(F.col("symbol")).alias("country"), U.listing_currency(F.col("symbol")).alias("currency"), U.asset_class(F.col("symbol"), F.endswith("symbol", F.lit("0"))).alias("class")),
-    "universe_isins": lambda s, d: _inline(s, "code string", [(x,) for x in CODES]).select("code", U.is_isin(F.col("code")).alias("ok")),
+    "universe_isins": lambda s, d: T.table(s, d, "part").select(F.expr(CODE).alias("code")).distinct().select("code", U.is_isin(F.col("code")).alias("ok")),
     "universe_sector_filter": lambda s, d: T.sectors(s, d).filter(U.sector_matches(F.col("sector"), ["nation_1", " _2"])).groupBy("sector").agg(F.count("*").alias("n")),
     "universe_prefix_lookup": lambda s, d: U.prefix_lookup(T.table(s, d, "part").select(F.left("p_name", F.lit(12)).alias("name")).distinct(), T.table(s, d, "part").groupBy(F.col("p_name").alias("known")).agg(F.min("p_size").alias("value")), 6),
     "universe_quality_counters": lambda s, d: U.quality_counters(T.table(s, d, "events").select(F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.zz").alias("zz"), "event_type"), ["k", "zz", "event_type"]),
@@ -103,9 +121,7 @@ QUERIES = {
     "report_look_through": lambda s, d: U.look_through(_positions(s, d), _holdings(s, d), T.table(s, d, "part").filter("p_size > 2").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("symbol"), F.col("p_brand").alias("field"))),
     "report_allocation_gaps": lambda s, d: U.allocation_gaps(_shares(s, d, "supplier", "s_nationkey"), _shares(s, d, "customer", "c_nationkey"), 1.0),
     "report_index_keys": lambda s, d: _fund_names(s, d).select("name", U.index_key(F.col("name")).alias("key")),
-    "fx_rates": lambda s, d: U.fx_rates(_inline(s, "ccy string", [("EUR",), ("USD",), ("GBp",), ("JPY",), ("XXX",)]), _inline(s, "base string, quote string, px double", [("USD", "EUR", 0.9), ("EUR", "JPY", 160.0), ("GBP", "EUR", 1.2)])),
-    "inflation_merge": lambda s, d: U.merge_series(_inline(s, "year int, rate double", [(2021, 3.0), (2022, 8.0)]), _inline(s, "year int, rate double", [(2020, 1.0), (2021, 2.0)])),
-    "inflation_stats": lambda s, d: U.inflation_stats(s.range(2001, 2024).select(F.col("id").cast("int").alias("year"), ((F.col("id") % 7) + 0.5).cast("double").alias("rate"))),
+    "fx_rates": lambda s, d: U.fx_rates(T.table(s, d, "nation").selectExpr(f"{CCY} AS ccy"), _pairs(s, d)),
     "relational_rollup": lambda s, d: T.table(s, d, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")),
     "relational_pivot": lambda s, d: T.table(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))),
     "relational_set_ops": lambda s, d: T.table(s, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(T.table(s, d, "supplier").select(F.col("s_nationkey").alias("k"))).exceptAll(s.range(0, 3).select(F.col("id").cast("int").alias("k"))),
@@ -143,7 +159,8 @@ SELECT ticker, count(*) AS lots, round(sum((alloc - 1) / px), 6) AS qty, round(s
     "journal_dip_alerts": _J + ", r AS (SELECT *, px <= 0.7::DOUBLE * max(px) OVER (PARTITION BY ticker ORDER BY day) AS dip FROM journal), l AS (SELECT *, lag(dip) OVER (PARTITION BY ticker ORDER BY day) AS was FROM r) SELECT ticker, day FROM l WHERE dip AND NOT coalesce(was, false)",
     "market_state_flips": "WITH " + VIEWS["bench"] + """, m AS (SELECT CAST(date_trunc('month', bar_date) AS DATE) AS day, round(sum(close), 4) AS level FROM bench GROUP BY 1), d AS (SELECT *, 100 * (level / max(level) OVER (ORDER BY day) - 1) AS dd FROM m),
 s AS (SELECT day, CASE WHEN dd <= -15 THEN 'BEAR' WHEN dd <= -5 THEN 'PULLBACK' ELSE 'NEAR-HIGH' END AS state FROM d), l AS (SELECT *, lag(state) OVER (ORDER BY day) AS was FROM s) SELECT day, was, state FROM l WHERE was IS NOT NULL AND was <> state""",
-    "savings_ladder": "WITH RECURSIVE g(years, f) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT years + 1, f * (1 + (2.0 + CASE WHEN years + 1 >= 10 THEN 1.0 WHEN years + 1 >= 6 THEN 0.5 WHEN years + 1 >= 2 THEN 0.25 ELSE 0 END) / 100) FROM g WHERE years < 15) SELECT years, round((f - 1) * 100, 6) AS gain FROM g WHERE years > 0",
+    "savings_ladder": """WITH RECURSIVE g(years, f) AS (SELECT 0, 1.0::DOUBLE UNION ALL SELECT years + 1, f * (1 + (2.0 + CASE WHEN years + 1 >= 10 THEN 1.0 WHEN years + 1 >= 6 THEN 0.5 WHEN years + 1 >= 2 THEN 0.25 ELSE 0 END) / 100) FROM g WHERE years < 15),
+p AS (SELECT o_orderpriority, 2002 - year(o_orderdate) AS years, sum(CAST(o_totalprice AS DECIMAL(18,4)))::DOUBLE AS paid FROM orders GROUP BY 1, 2) SELECT o_orderpriority, round(sum(paid), 2) AS paid, round(sum(paid * f), 2) AS value FROM p JOIN g USING (years) GROUP BY 1""",
     "universe_first_wins": _SEC + """, a AS (SELECT ticker AS symbol, sector, 0 AS pond FROM sectors WHERE market = 'ASIA' ORDER BY symbol LIMIT 10), b AS (SELECT ticker AS symbol, lower(sector) AS sector, 1 AS pond FROM sectors WHERE market IN ('ASIA', 'EUROPE') ORDER BY symbol LIMIT 20), c AS (SELECT ticker AS symbol, 'rest' AS sector, 2 AS pond FROM sectors),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) SELECT symbol, arg_min(sector, pond) AS sector, min(pond)::INT AS pond FROM u GROUP BY 1""",
     "universe_merge_lists": "WITH m AS (SELECT 'P' || p_partkey AS isin, p_retailprice AS size FROM part WHERE p_retailprice > 1500), h AS (SELECT isin, false AS speculative FROM m ORDER BY size DESC, isin LIMIT 50) SELECT * FROM h UNION ALL SELECT DISTINCT 'P' || p_partkey, true FROM part WHERE p_size < 10 AND 'P' || p_partkey NOT IN (SELECT isin FROM m)",
@@ -152,7 +169,7 @@ u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) SELEC
 y AS (SELECT symbol, CASE WHEN contains(symbol, '.') THEN regexp_extract(symbol, '[^.]*$') END AS sx FROM x)
 SELECT symbol, CASE WHEN list_contains({U.SYMBOL_VENUES}, sx) THEN symbol ELSE replace(symbol, '.', '-') END AS normal, CASE WHEN sx IS NOT NULL THEN coalesce(u.country, upper(sx)) WHEN regexp_matches(symbol, '-(USD|EUR)$') THEN 'Crypto' ELSE 'USA' END AS country,
   CASE WHEN sx IS NULL THEN 'USD' ELSE w.currency END AS currency, CASE WHEN regexp_matches(symbol, '-(USD|EUR)$') THEN 0 WHEN ends_with(symbol, '0') THEN 1 ELSE 2 END::INT AS class FROM y LEFT JOIN v u ON u.suffix = upper(sx) LEFT JOIN v w ON w.suffix = sx""",
-    "universe_isins": "SELECT code, regexp_full_match(code, '[A-Z]{2}[0-9A-Za-z]{9}[0-9]') AS ok FROM (VALUES " + ", ".join(f"('{c}')" for c in CODES) + ") v(code)",
+    "universe_isins": f"SELECT code, regexp_full_match(code, '[A-Z]{{2}}[0-9A-Za-z]{{9}}[0-9]') AS ok FROM (SELECT DISTINCT {CODE} AS code FROM part)",
     "universe_sector_filter": _SEC + " SELECT sector, count(*) AS n FROM sectors WHERE contains(lower(sector), 'nation_1') OR contains(lower(sector), '_2') GROUP BY 1",
     "universe_prefix_lookup": "WITH n AS (SELECT DISTINCT left(p_name, 12) AS name FROM part), k AS (SELECT p_name AS known, min(p_size) AS value FROM part GROUP BY 1) SELECT name, min(value) AS value FROM n JOIN k ON starts_with(known, name) WHERE length(name) >= 6 GROUP BY 1 HAVING min(value) = max(value)",
     "universe_quality_counters": "WITH e AS (SELECT json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.zz') AS zz, event_type FROM events) SELECT 'k' AS measure, count(*) - count(k) AS missing, count(k) AS present FROM e UNION ALL SELECT 'zz', count(*) - count(zz), count(zz) FROM e UNION ALL SELECT 'event_type', count(*) - count(event_type), count(event_type) FROM e",
@@ -166,9 +183,8 @@ g AS (SELECT ticker, coalesce(a.w, 0) - coalesce(b.w, 0) AS gap FROM a FULL JOIN
 f AS (SELECT name, trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[.,()'']', '', 'g'), '[-/+:]', ' ', 'g'), '\\s+', ' ', 'g')) AS flat FROM n),
 g AS (SELECT name, {"regexp_replace(" * 3}flat{(", '^(" + "|".join(sorted(U.ISSUERS, key=len, reverse=True)) + ")( |$)', '')") * 3} AS rest FROM f),
 k AS (SELECT name, list_sort(list_distinct(list_filter(string_split(rest, ' '), lambda w: w <> '' AND NOT list_contains({U.NOISE}, w)))) AS t FROM g) SELECT name, CASE WHEN len(t) >= 2 THEN array_to_string(t, ' ') END AS key FROM k""",
-    "fx_rates": _v("ccy, rate", [("EUR", 1.0), ("USD", 0.9), ("GBp", 0.012), ("JPY", 0.00625), ("XXX", None)]),
-    "inflation_merge": "SELECT year::INT AS year, rate FROM (VALUES (2020, 1.0::DOUBLE), (2021, 3.0), (2022, 8.0)) v(year, rate)",
-    "inflation_stats": "WITH s AS (SELECT range::INT AS year, (range % 7 + 0.5)::DOUBLE AS rate FROM range(2001, 2024)), r AS (SELECT *, row_number() OVER (ORDER BY year DESC) AS b FROM s) SELECT max(year) AS latest, round(arg_max(rate, year), 6) AS rate, round(avg(rate) FILTER (WHERE b <= 10), 6) AS mean10, round(avg(rate) FILTER (WHERE b <= 30), 6) AS mean30, round((product(1 + rate / 100) FILTER (WHERE b <= 10) - 1) * 100, 6) AS compounded10 FROM r",
+    "fx_rates": f"""WITH pr AS (SELECT n_nationkey AS k, round(avg(CAST(abs(s_acctbal) AS DECIMAL(18,4)))::DOUBLE / 1000, 6) AS px FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey % 7 <> 5 AND n_nationkey NOT IN (0, 2) GROUP BY 1)
+SELECT {CCY} AS ccy, round(CASE WHEN n_nationkey = 0 THEN 1.0::DOUBLE WHEN k % 2 = 0 THEN px ELSE 1 / px END * CASE WHEN n_nationkey = 2 THEN 0.01 ELSE 1 END, 8) AS rate FROM nation LEFT JOIN pr ON k = CASE WHEN n_nationkey = 2 THEN 1 ELSE n_nationkey END""",
     "relational_rollup": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
     "relational_pivot": "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS \"F\", nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS \"O\", nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS \"P\" FROM orders GROUP BY 1",
     "relational_set_ops": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT range FROM range(0, 3)",
