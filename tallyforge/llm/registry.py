@@ -46,25 +46,35 @@ FROM d
 
 _SPACE = r"[\x20\x09-\x0D]"
 _RULES = quality.Rules()
-_COMMON = " ".join(f"WHEN '{lang}' THEN {words}" for lang, words in quality.COMMON.items())
+
+
+def _by_language(values: dict[str, list]) -> str:
+    return "CASE known " + " ".join(f"WHEN '{lang}' THEN {own}" for lang, own in values.items()) + " END"
+
+
+_COMMON = _by_language(quality.COMMON)
+_WORD_SHARES = _by_language({k: [*own, 1 - sum(own)] for k, own in quality.WORD_SHARES.items()})
+_GUESS = ", ".join(f"{{'n': len(list_filter(said, lambda x: list_contains({own}, x))), 'k': {-k}, 'name': '{lang}'}}" for k, (lang, own) in enumerate(quality.COMMON.items()))
 
 
 def _count(pattern: str) -> str:
     return f"(length(t) - length(regexp_replace(t, '{pattern}', '', 'g')))::DOUBLE"
 
 
-_CLASSES = ", ".join(map(_count, (_SPACE, r"\p{Nd}", r"\p{Lu}", "[.,]", r"[^\p{L}\p{Nd}.,\x20\x09-\x0D]")))
+_CLASSES = ", ".join(map(_count, (_SPACE, r"\p{Nd}", r"\p{Lu}", "[.,]", r"[^\p{L}\p{M}\p{Nd}.,\x20\x09-\x0D]")))
 #: Words, windows and histograms written out; the distance is the square root of the mean of both divergences from the mean.
 _OP9 = rf"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}]+'), lambda x: x <> '') AS said FROM d),
+w AS (SELECT doc_id, lang, t, list_filter(regexp_split_to_array(t, '{_SPACE}+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, list_filter(regexp_split_to_array(lower(t), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '') AS said FROM d),
 g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)), r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, k) AS c FROM g) WHERE c > 1),
 m AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM r) GROUP BY 1),
-c AS (SELECT doc_id, [{_CLASSES}] AS c5, length(t) AS n, said, CASE lang {_COMMON} END AS common FROM w),
-u AS (SELECT doc_id, list_transform(common, lambda x: len(list_filter(said, lambda y: y = x))) AS u20, len(said) AS n_said FROM c),
-h AS (SELECT doc_id, n >= {_RULES.min_chars} AS long, list_append(c5, n - list_sum(c5)) AS a, {list(quality.CLASS_SHARES)}::DOUBLE[] AS b, {_RULES.max_class_distance} AS most FROM c
-  UNION ALL SELECT doc_id, n_said >= {_RULES.min_judged}, list_append(u20, n_said - list_sum(u20))::DOUBLE[], {quality.word_shares(20)}::DOUBLE[], {_RULES.max_word_distance} FROM u WHERE u20 IS NOT NULL),
-p AS (SELECT doc_id, long, most, list_transform(a, lambda x: x / list_sum(a)) AS a, b FROM h WHERE list_sum(a) > 0),
+v AS (SELECT *, list_max([{_GUESS}]) AS best FROM w),
+k AS (SELECT *, CASE WHEN list_contains({[*quality.COMMON]}, lang) THEN lang WHEN best.n >= greatest(1.0, {quality.GUESSED} * len(said)) THEN best.name END AS known FROM v),
+c AS (SELECT doc_id, [{_CLASSES}] AS c5, length(t) AS n, said, known, {_COMMON} AS common FROM k),
+u AS (SELECT doc_id, known, list_transform(common, lambda x: len(list_filter(said, lambda y: y = x))) AS u20, len(said) AS n_said FROM c),
+h AS (SELECT doc_id, n >= {_RULES.min_chars} AS long, list_append(c5, n - list_sum(c5)) AS a, {_by_language(quality.CLASS_SHARES)} AS b, {_RULES.max_class_distance} AS most FROM c
+  UNION ALL SELECT doc_id, n_said >= {_RULES.min_judged}, list_append(u20, n_said - list_sum(u20))::DOUBLE[], {_WORD_SHARES}, {_RULES.max_word_distance} FROM u WHERE u20 IS NOT NULL),
+p AS (SELECT doc_id, long, most, list_transform(a, lambda x: x / list_sum(a)) AS a, b FROM h WHERE list_sum(a) > 0 AND b IS NOT NULL),
 j AS (SELECT doc_id, long, most, sqrt(greatest(0, list_sum(list_transform(range(1, len(a) + 1), lambda i: (CASE WHEN a[i] > 0 THEN a[i] * log2(2 * a[i] / (a[i] + b[i])) ELSE 0 END + CASE WHEN b[i] > 0 THEN b[i] * log2(2 * b[i] / (a[i] + b[i])) ELSE 0 END) / 2)))) AS dist FROM p),
 f AS (SELECT doc_id, bool_or(long AND dist > most) AS odd FROM j GROUP BY 1),
 x AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda y: length(y))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(m.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN m USING (doc_id))
@@ -81,7 +91,8 @@ b AS (SELECT h.conv_id, list_concat(coalesce(o.s[1:h.h], []), h.s[h.h + 1:]) AS
 p AS (SELECT conv_id, d AS depth, s[1:d] AS s, d = len(s) AS done FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM b)),
 n AS (SELECT s, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (done), '')) AS ends_sha256 FROM p GROUP BY 1, 2),
 k AS (SELECT s[1:depth - 1] AS s, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
-t AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.s[-1].t, '[^ 	-]+')) END AS spared FROM n LEFT JOIN k USING (s, depth)),
+t AS (SELECT n.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth = 0 THEN 0 ELSE len(regexp_extract_all(n.s[-1].t, '[^ 	-
+]+')) END AS spared FROM n LEFT JOIN k USING (s, depth)),
 a AS (SELECT s, depth, sum(leaf) AS n_leaves, sum(spared) AS saved_tokens FROM (SELECT s[1:d] AS s, d AS depth, leaf, spared FROM (SELECT s, unnest(range(depth + 1)) AS d, CAST(n_children = 0 AS INT) AS leaf, spared FROM t)) GROUP BY 1, 2)
 SELECT t.conv_id, t.depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, t.ends_sha256
 FROM t JOIN a USING (s, depth) LEFT JOIN n u ON u.depth = t.depth - 1 AND u.s = t.s[1:t.depth - 1]

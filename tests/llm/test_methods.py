@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import duckdb
+import regex
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyforge.llm import bpe_transducer, license_scan, quality, registry, secret_scan
-from tests.llm.test_operators import KIND, texts
+from tests.llm.test_operators import KIND, texts, words
 from tests.test_oracle import rows
 
 
@@ -84,29 +85,61 @@ def js(a, b):
     return math.sqrt(max(0.0, out))
 
 
-def test_quality_verdicts_against_python(spark, sf_dir):
+def known_language(lang, said):
+    if lang in quality.COMMON:
+        return lang
+    uses = [(sum(w in own for w in said), -k, name) for k, (name, own) in enumerate(quality.COMMON.items())]
+    best = max(uses)
+    return best[2] if best[0] >= max(1, quality.GUESSED * len(said)) else None
+
+
+def odd(text, lang, rules=quality.Rules()):
+    """Whether the histograms of a text are too far from its language's, written out."""
     import re
     import unicodedata
 
+    text = text or ""
+    classes = [0] * 6
+    for c in text:
+        kind = unicodedata.category(c)
+        classes[0 if c in " \t\n\r\v\f" else 1 if kind == "Nd" else 2 if kind == "Lu" else 3 if c in ".," else 4 if kind[0] not in "LM" else 5] += 1
+    said = [w for w in regex.split(r"[^\p{L}\p{M}]+", text.lower()) if w]
+    lang = known_language(lang, said)
+    if lang is None:
+        return False
+    far = len(text) >= rules.min_chars and js(classes, quality.CLASS_SHARES[lang]) > rules.max_class_distance
+    uses = Counter(said)
+    each = [uses[w] for w in quality.COMMON[lang]]
+    shares = quality.WORD_SHARES[lang]
+    return far or len(said) >= rules.min_judged and js([*each, len(said) - sum(each)], [*shares, 1 - sum(shares)]) > rules.max_word_distance
+
+
+def test_quality_verdicts_against_python(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rules = quality.Rules()
-    got = {r.doc_id: r for r in quality.judge(docs).select("doc_id", "text", "lang", *[F.col(quality.P + c).alias(c) for c in ("base_failed", "kept", "class_distance", "word_distance")]).collect()}
+    docs = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "xx")))
+    got = {r.doc_id: r for r in quality.judge(docs).select("doc_id", "text", "lang", *[F.col(quality.P + c).alias(c) for c in ("base_failed", "kept")]).collect()}
     assert 0 < sum(not r.kept for r in got.values()) < len(got)
-    for r in got.values():
-        text = r.text or ""
-        classes = [0] * 6
-        for c in text:
-            kind = unicodedata.category(c)
-            classes[0 if c in " \t\n\r\v\f" else 1 if kind == "Nd" else 2 if kind == "Lu" else 3 if c in ".," else 4 if kind[0] != "L" else 5] += 1
-        far = len(text) >= rules.min_chars and js(classes, quality.CLASS_SHARES) > rules.max_class_distance
-        if r.lang in quality.COMMON:
-            said = [w for w in re.split(r"[\W\d_]+", text.lower()) if w]
-            uses = Counter(said)
-            each = [uses[w] for w in quality.COMMON[r.lang]]
-            if len(said) >= rules.min_judged:
-                assert r.word_distance == pytest.approx(js([*each, len(said) - sum(each)], quality.word_shares(20)), abs=1e-6)
-                far |= r.word_distance > rules.max_word_distance
-        assert r.kept == (not r.base_failed and not far)
+    assert [r.doc_id for r in got.values() if r.kept != (not r.base_failed and not odd(r.text, r.lang))] == []
+
+
+#: Invented sentences of four scripts, and lines of code: each is repeated with other words, so that the repetition rule passes.
+SCRIPTS = {
+    "hindi": "यह एक लंबा लेख है जिसमें बहुत से शब्द हैं और हर वाक्य अलग बात कहता है".split(),
+    "russian": "это длинный текст в котором много слов и каждое предложение говорит о другом".split(),
+    "greek": "αυτό είναι ένα μεγάλο κείμενο με πολλές λέξεις και κάθε πρόταση λέει κάτι άλλο".split(),
+    "thai": "นี่ คือ ข้อความ ยาว ที่ มี คำ มากมาย และ ทุก ประโยค กล่าว ถึง สิ่ง อื่น".split(),
+    "arabic": "هذا نص طويل فيه كلمات كثيرة وكل جملة تقول شيئا آخر عن العالم".split(),
+    "code": "for i in range(n): if x[i] != y[i]: return f(x, y) else: total += w[i] * 2;".split(),
+}
+
+
+@pytest.mark.parametrize("lang", [None, "xx"])
+def test_other_scripts_and_code_are_not_judged_by_european_histograms(spark, lang):
+    r = random.Random(3)
+    rows = [(k, " ".join(r.choice(ws) + r.choice(ws) for _ in range(160)), lang) for k, ws in enumerate(SCRIPTS.values())]
+    rows.append((99, " ".join(r.choice("lorem ipsum dolor sit amet".split()) + str(k) for k in range(160)), "en"))
+    got = {x.doc_id: x.kept for x in quality.report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {**{k: True for k in range(len(SCRIPTS))}, 99: False}
 
 
 HEADERS = {
@@ -183,7 +216,10 @@ def test_unmarked_and_very_long_files(spark):
 
 def awkward(spark):
     """Documents with nulls, copies, odd columns and long texts."""
-    return spark.createDataFrame([(i, t, "xx", "s", len(t or ""), "z", 7, "k", "dd") for i, t in texts()], KIND).withColumn("a`b", F.lit(1))
+    r = random.Random(6)
+    common = [w for name in ("en",) for w, share in zip(quality.COMMON[name], quality.WORD_SHARES[name]) for _ in range(round(1000 * share))]
+    prose = [(100 + k, ". ".join(" ".join(r.choice(common) if r.random() < 0.27 else words(900 + k * 1000 + j * 20 + i, 1) for i in range(12)).capitalize() for j in range(14)) + ".") for k in range(3)]
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), "z", 7, "k", "dd") for i, t in [*texts(), *prose]], KIND).withColumn("a`b", F.lit(1))
 
 
 def test_roundtrip_of_rows(spark):
@@ -208,6 +244,15 @@ def test_stages_on_awkward_tables(spark, sf_dir, stage):
     out = run(spark, docs, sf_dir)
     if stage != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == docs.columns
+    if stage == "quality rules":
+        base = {(r.doc_id, r.n_chars) for r in quality.judge(docs).filter(f"{quality.P}base_failed").collect()}
+        want = sorted((r.doc_id, r.n_chars) for r in docs.collect() if (r.doc_id, r.n_chars) not in base and not odd(r.text, r.lang))
+        assert sorted((r.doc_id, r.n_chars) for r in out.collect()) == want and {100, 101, 102} <= {i for i, _ in want}
+    elif stage == "n-gram Jaccard join":
+        assert out.filter("doc_id IN (1, 2, 3)").count() == 1 and out.filter("doc_id IN (7, 8)").count() == 1 and out.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count()
+        assert out.filter("doc_id NOT IN (1, 2, 3, 7, 8)").count() == docs.filter("doc_id NOT IN (1, 2, 3, 7, 8)").count()
+    elif stage != "line dedup":
+        assert out.count() == docs.count()
     assert 0 < out.count() <= docs.count()
     assert run(spark, docs.filter("doc_id < -1"), sf_dir).count() == 0
 
