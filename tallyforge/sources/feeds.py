@@ -343,3 +343,14 @@ def cross_rates(rates: DataFrame, asked: DataFrame) -> DataFrame:
     from_euro = a.filter("`from` = 'EUR'").join(r("to"), "to").select("from", "to", "bar_date", (1 / F.col("r_to")).alias("factor"))
     both = a.filter("`from` <> 'EUR' AND `to` <> 'EUR'").join(r("from"), "from").join(r("to"), ["to", "bar_date"]).select("from", "to", "bar_date", (F.col("r_from") / F.col("r_to")).alias("factor"))
     return to_euro.unionByName(from_euro).unionByName(both)
+
+
+def lazy_charts(docs: DataFrame) -> DataFrame:
+    """(ticker, chart): the first result of each chart document (ticker, json) as a VARIANT. Nothing of it is read before a field is asked for,
+    and a table of these stays as it is when the feed adds fields; documents that don't parse are dropped."""
+    return docs.select("ticker", F.try_variant_get(F.try_parse_json("json"), "$.chart.result[0]", "variant").alias("chart")).filter("chart IS NOT NULL")
+
+
+def chart_field(charts: DataFrame, path: str, kind: str) -> DataFrame:
+    """(ticker, value): one field of each chart as ``kind``; null where it is missing or of another kind."""
+    return charts.select("ticker", F.try_variant_get("chart", path, kind).alias("value"))
