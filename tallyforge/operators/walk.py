@@ -120,9 +120,10 @@ def factor_probe(rows: DataFrame, factors: list[str]) -> DataFrame:
 
 
 def scored_by(rows: DataFrame, arms: DataFrame) -> DataFrame:
-    """Each row under each arm (arm, w_range, w_dd; a table of settings, so it is small), with the score that the arm gives it."""
+    """Each row under each arm (arm, w_range, w_dd, and maybe w_cagr; a table of settings, so it is small), with the score that the arm gives it."""
+    growth = F.least(F.col("cagr_life"), F.lit(30.0)) * (F.col("w_cagr") if "w_cagr" in arms.columns else 1)
     each = rows.withColumn("one", F.lit(1)).join(F.broadcast(arms.withColumn("one", F.lit(1))), "one").drop("one")
-    return each.withColumn("score", F.round(F.least(F.col("cagr_life"), F.lit(30.0)) + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4))
+    return each.withColumn("score", F.round(growth + F.col("w_range") * F.col("range_pct") - F.col("w_dd") * F.col("max_dd"), 4))
 
 
 def knob_sweep(rows: DataFrame, arms: DataFrame) -> DataFrame:
@@ -184,11 +185,11 @@ def cadences(bars: DataFrame) -> DataFrame:
 
 
 def knob_draws(spark, n: int) -> DataFrame:
-    """(arm, w_range, w_dd, active): weights between -1 and 1 from a hash of the draw; a third of each is off, and ``active`` counts those on."""
+    """(arm, w_range, w_dd, w_cagr, active): weights between -1 and 1 from a hash of the draw; a third of each is off, and ``active`` counts those on."""
     part = lambda salt: F.pmod(F.col("id") * 2654435761 + salt, F.lit(997)) / 996.0
     on = lambda c: F.when(c < 1 / 3, 0.0).otherwise(F.round((c - 1 / 3) * 3 - 1, 4))
-    rows = spark.range(n).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("arm"), on(part(0)).alias("w_range"), on(part(31337)).alias("w_dd"))
-    return rows.withColumn("active", ((F.col("w_range") != 0).cast("int") + (F.col("w_dd") != 0).cast("int")))
+    rows = spark.range(n).select(F.concat(F.lit("d"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("arm"), on(part(0)).alias("w_range"), on(part(31337)).alias("w_dd"), on(part(70001)).alias("w_cagr"))
+    return rows.withColumn("active", ((F.col("w_range") != 0).cast("int") + (F.col("w_dd") != 0).cast("int") + (F.col("w_cagr") != 0).cast("int")))
 
 
 def edge_day(rows: DataFrame, share: float) -> DataFrame:
@@ -205,8 +206,8 @@ def knob_search(rows: DataFrame, arms: DataFrame, share: float = 0.7, months: in
     day = edge_day(rows, share)
     told = checkpointed(rows.withColumn("one", F.lit(1)).join(F.broadcast(day), "one").drop("one"))
     train = lanes(scored_by(told.filter(F.col("cutoff") < F.date_sub("edge", months * 30)), arms), ["arm"]).join(arms, "arm").filter("rho > 0")
-    won = checkpointed(train.orderBy(F.desc("edge"), "active", "arm").limit(1).select("arm", "w_range", "w_dd", "active", F.col("rho").alias("train_rho"), F.col("edge").alias("train_edge")))
-    test = lanes(scored_by(told.filter("cutoff >= edge"), won.select("arm", "w_range", "w_dd")), ["arm"])
+    won = checkpointed(train.orderBy(F.desc("edge"), "active", "arm").limit(1).select("arm", "w_range", "w_dd", "w_cagr", "active", F.col("rho").alias("train_rho"), F.col("edge").alias("train_edge")))
+    test = lanes(scored_by(told.filter("cutoff >= edge"), won.select("arm", "w_range", "w_dd", "w_cagr")), ["arm"])
     return won.join(test, "arm", "left").select("arm", "active", "train_rho", "train_edge", F.col("rho").alias("test_rho"), F.col("edge").alias("test_edge"))
 
 

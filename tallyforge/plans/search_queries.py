@@ -38,8 +38,8 @@ QUERIES = {
 }
 
 _DRAWS = f"""d AS (SELECT range AS id FROM range({DRAWS})),
-a0 AS (SELECT 'd' || lpad(id::VARCHAR, 4, '0') AS arm, ((id * 2654435761) % 997) / 996.0::DOUBLE AS x, ((id * 2654435761 + 31337) % 997) / 996.0::DOUBLE AS y FROM d),
-arms AS (SELECT arm, CASE WHEN x < 1 / 3.0::DOUBLE THEN 0 ELSE round((x - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_range, CASE WHEN y < 1 / 3.0::DOUBLE THEN 0 ELSE round((y - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_dd FROM a0)"""
+a0 AS (SELECT 'd' || lpad(id::VARCHAR, 4, '0') AS arm, ((id * 2654435761) % 997) / 996.0::DOUBLE AS x, ((id * 2654435761 + 31337) % 997) / 996.0::DOUBLE AS y, ((id * 2654435761 + 70001) % 997) / 996.0::DOUBLE AS z FROM d),
+arms AS (SELECT arm, CASE WHEN x < 1 / 3.0::DOUBLE THEN 0 ELSE round((x - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_range, CASE WHEN y < 1 / 3.0::DOUBLE THEN 0 ELSE round((y - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_dd, CASE WHEN z < 1 / 3.0::DOUBLE THEN 0 ELSE round((z - 1 / 3.0::DOUBLE) * 3 - 1, 4) END AS w_cagr FROM a0)"""
 
 
 def _lane(tag: str, src: str, by: str) -> str:
@@ -67,7 +67,7 @@ def _halves(src: str, by: str) -> str:
     )
 
 
-_SCORE = "round(least(cagr_life, 30.0) + w_range * range_pct - w_dd * max_dd, 4) AS score, ticker, cutoff"
+_SCORE = "round(least(cagr_life, 30.0) * w_cagr + w_range * range_pct - w_dd * max_dd, 4) AS score, ticker, cutoff"
 _LONG = f"(UNPIVOT (SELECT relative, ticker, cutoff, {', '.join(FACTORS)} FROM samples) ON {', '.join(FACTORS)} INTO NAME factor VALUE score)"
 _BEATS = "coalesce(t.edge > (SELECT edge FROM v) AND early_rho > 0 AND late_rho > 0, false) AS beats"
 _ARM_SCORES = ", ".join([f"struct_pack(arm := '{k}', score := round({_without(k)}, 4))" for k in TERMS] + [f"struct_pack(arm := 'strict', score := CASE WHEN max_dd <= 95 THEN round({_without('growth')}, 4) ELSE score END)"])
@@ -93,7 +93,7 @@ SQL = {
 tr AS (SELECT arm, relative, {_SCORE} FROM samples, arms, ed WHERE cutoff < edge - {30 * PURGE}), te AS (SELECT arm, relative, {_SCORE} FROM samples, arms, ed WHERE cutoff >= edge)"""
     + _lane("t", "tr", "arm")
     + _lane("u", "te", "arm")
-    + """, won AS (SELECT arm, (w_range <> 0)::INT + (w_dd <> 0)::INT AS active, t.rho AS train_rho, t.edge AS train_edge FROM t JOIN arms USING (arm) WHERE t.rho > 0 ORDER BY t.edge DESC, active, arm LIMIT 1)
+    + """, won AS (SELECT arm, (w_range <> 0)::INT + (w_dd <> 0)::INT + (w_cagr <> 0)::INT AS active, t.rho AS train_rho, t.edge AS train_edge FROM t JOIN arms USING (arm) WHERE t.rho > 0 ORDER BY t.edge DESC, active, arm LIMIT 1)
 SELECT won.*, u.rho AS test_rho, u.edge AS test_edge FROM won LEFT JOIN u USING (arm)""",
     "walk_factor_sweep": _SAMPLES
     + f", f AS (SELECT factor, score, relative, ticker, cutoff FROM {_LONG} WHERE score IS NOT NULL), al AS (SELECT 'all' AS g, score, relative, ticker, cutoff FROM samples)"
