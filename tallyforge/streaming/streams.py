@@ -37,13 +37,19 @@ def first_of_day(events: DataFrame, late: str = "2 days") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(["day", "user_id"]).select("day", "user_id")
 
 
+def sessions(events: DataFrame, gap: str = "2 hours", late: str = "1 day") -> DataFrame:
+    """(user_id, start, end, n): each user's runs of events that are less than ``gap`` apart; a session ends ``gap`` after its last event."""
+    rows = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"))
+    return rows.select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
+
+
 def dip_alerts(prices: DataFrame, fall: float = 0.3) -> DataFrame:
-    """(ticker, ts, px): a row when a ticker enters a dip of ``fall`` below its running high; armed again once it is out.
-    Rows of a batch are taken in the order of their time."""
+    """(ticker, ts, px): a row when a ticker enters a dip of ``fall`` below its running high; armed again once it is out. ``prices`` are
+    rows (ticker, ts, px, seq); those of a batch are taken in the order of their time, and of equal times by seq."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         high, alerted = state.get if state.exists else (float("-inf"), False)
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         out = []
         for ts, px in zip(rows["ts"], rows["px"]):
             if px is None or px != px:
@@ -60,12 +66,12 @@ def dip_alerts(prices: DataFrame, fall: float = 0.3) -> DataFrame:
 
 
 def regime_flips(levels: DataFrame) -> DataFrame:
-    """(series, ts, was, state): a row when a series (series, ts, level) changes between near its high, pullback and bear; a series
-    begins near its high. Rows of a batch are taken in the order of their time."""
+    """(series, ts, was, state): a row when a series (series, ts, level, seq) changes between near its high, pullback and bear; a series
+    begins near its high. Rows of a batch are taken in the order of their time, and of equal times by seq."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         high, was = state.get if state.exists else (float("-inf"), "NEAR-HIGH")
-        rows = pd.concat(list(batches)).sort_values("ts")
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
         out = []
         for ts, level in zip(rows["ts"], rows["level"]):
             if level is None or level != level:
@@ -116,4 +122,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
     query = stream.writeStream.foreachBatch(put).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").start()
     query.awaitTermination()
+    rows = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not rows.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(rows):  # the source held no file
+        return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
