@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.decorrelate import greedy
+
 LEGS = {"20y": 20, "8y": 8, "5y": 5}  #: the longest that a quote has counts
 NO_LIMIT = 1e18
 
@@ -177,3 +179,11 @@ def refilled(ranked: DataFrame, by: str, top: int, per_sector: int) -> DataFrame
     twins = ranked.withColumn("t", F.row_number().over(Window.partitionBy(by, "base").orderBy(F.desc("pinned"), *order))).filter("t = 1 OR pinned")
     few = twins.withColumn("s", F.row_number().over(Window.partitionBy(by, "sector").orderBy(*order))).filter((F.col("s") <= per_sector) | F.col("pinned"))
     return few.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("place") <= top).select(by, "place", "ticker", "score")
+
+
+def without_copies(rows: DataFrame, trails: DataFrame, by: str, cap: float = 0.6, keep: int = 10) -> DataFrame:
+    """(by, place, rn, ticker): of each group's names (ticker, by, score) the best ``keep`` of which none moves with a better one at ``cap`` or more, by
+    their ``trails`` (ticker, trail, newest first). Names that give way are replaced from below; a name without a trail can't be judged and stays."""
+    ranked = rows.join(trails, "ticker", "left").select(F.col(by).alias("bucket"), F.col("ticker").alias("id"), "score", F.coalesce("trail", F.array().cast("array<double>")).alias("trail"))
+    kept = greedy(ranked, [cap], keep)
+    return kept.select(F.col("bucket").alias(by), F.row_number().over(Window.partitionBy("bucket").orderBy("rn")).alias("place"), "rn", F.col("id").alias("ticker"))  # keep rows a group

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import books as B
+from tallyforge.operators import picks as PK
 from tallyforge.operators import walk as K
+from tallyforge.plans.score_queries import _QUOTES, quotes
 from tallyforge.plans.walk_queries import _GATE, _RHO, _SAMPLES, _gate, _samples
 from tallyforge.sources import tables as T
+from tallyforge.sources.tables import SQL as VIEWS
 
 DRAWS, SHARE, PURGE = 500, 0.7, 6
 FACTOR_DRAWS = 200
 FACTORS = ["cagr_life", "max_dd", "vol", "range_pct", "r2"]
+LIVE_CAP, LIVE_KEEP = 0.2, 8  #: invented prices hardly move together
 CAPS = [2.0, 0.8, 0.6]  #: the first keeps all
 #: Terms of the score that an arm leaves out.
 TERMS = {"growth": "least(cagr_life, 30.0)", "range": "range_pct / 10", "fall": "-max_dd / 20"}
@@ -28,12 +32,18 @@ def _ablation(s, d):
     return K.ablation(_samples(s, d), F.when(_gate(), F.col("score")), arms, PURGE)
 
 
+def _without_copies(s, d):
+    last = B.trails(T.bars(s, d)).groupBy("ticker").agg(F.max_by("trail", "cutoff").alias("trail"))
+    return PK.without_copies(quotes(s, d).select("ticker", "market", F.col("pct_rank").alias("score")), last, "market", LIVE_CAP, LIVE_KEEP)
+
+
 QUERIES = {
     "walk_knob_search": lambda s, d: K.knob_search(_samples(s, d), K.knob_draws(s, DRAWS), SHARE, PURGE),
     "walk_factor_sweep": lambda s, d: K.factor_sweep(_samples(s, d), FACTORS, PURGE),
     "walk_factor_draws": lambda s, d: K.factor_draws(_samples(s, d), FACTORS, FACTOR_DRAWS, PURGE),
     "walk_ablation": _ablation,
     "stat_decorrelate": lambda s, d: B.decorrelated(_samples(s, d), B.trails(T.bars(s, d)), CAPS),
+    "picks_without_copies": _without_copies,
     "book_corr_cap": lambda s, d: B.capped_books(_samples(s, d), B.trails(T.bars(s, d)), T.benchmark_bars(s, d), CAPS),
 }
 
@@ -112,6 +122,16 @@ f AS (SELECT factor || ':' || lpad(draw::VARCHAR, 4, '0') AS arm, relative, tick
 f AS (SELECT relative, ticker, cutoff, x.arm AS arm, x.score AS score FROM ad)"""
     + _halves("f", "arm")
     + """ SELECT t.*, round(t.rho - b.rho, 6) AS d_rho, round(t.edge - b.edge, 6) AS d_edge, early_rho, late_rho FROM t JOIN sides USING (arm), (SELECT rho, edge FROM t WHERE arm = 'full') b""",
+    "picks_without_copies": _QUOTES.replace("WITH ", "WITH RECURSIVE " + VIEWS["bars"] + ", ", 1)
+    + f""", cand AS (SELECT market AS bucket, ticker AS id, row_number() OVER (PARTITION BY market ORDER BY pct_rank DESC, ticker) AS rn FROM quotes),
+rets AS (SELECT ticker, row_number() OVER (PARTITION BY ticker ORDER BY bar_date DESC) AS p, (close / lag(close) OVER (PARTITION BY ticker ORDER BY bar_date) - 1) * 100 AS ret FROM bars),
+tr AS (SELECT c.bucket, c.id, c.rn, r.ret, r.p FROM cand c JOIN rets r ON r.ticker = c.id WHERE r.p <= 36 AND r.ret IS NOT NULL),
+rho AS (SELECT a.bucket, a.id AS one, b.id AS two, corr(a.ret, b.ret) AS rho FROM tr a JOIN tr b ON a.bucket = b.bucket AND a.p = b.p AND a.rn < b.rn GROUP BY 1, 2, 3 HAVING count(*) >= 12),
+near AS (SELECT bucket, two AS id, list(one) AS near FROM rho WHERE rho >= {LIVE_CAP} GROUP BY 1, 2),
+g AS (SELECT bucket, 0::BIGINT AS r, []::VARCHAR[] AS kept FROM (SELECT DISTINCT bucket FROM cand) UNION ALL
+  SELECT g.bucket, g.r + 1, CASE WHEN len(kept) < {LIVE_KEEP} AND NOT list_has_any(kept, coalesce(near, []::VARCHAR[])) THEN list_append(kept, c.id) ELSE kept END
+  FROM g JOIN cand c ON c.bucket = g.bucket AND c.rn = g.r + 1 LEFT JOIN near n ON n.bucket = g.bucket AND n.id = c.id)
+SELECT c.bucket AS market, row_number() OVER (PARTITION BY c.bucket ORDER BY c.rn)::INT AS place, c.rn::INT AS rn, c.id AS ticker FROM (SELECT bucket, arg_max(kept, r) AS kept FROM g GROUP BY 1) g JOIN cand c ON c.bucket = g.bucket AND list_contains(g.kept, c.id)""",
     "stat_decorrelate": _GREEDY + " SELECT bucket, cap, rn, id FROM held",
     "book_corr_cap": _GREEDY
     + """, bk AS (SELECT cap, bucket, avg(1 + realized / 100) AS multiple, min(cutoff) AS start FROM held GROUP BY 1, 2),
