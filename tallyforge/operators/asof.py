@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.series import DIVIDEND_HORIZONS, ENDPOINT_DAYS, HORIZONS, anchor_half, cagr
+from tallyforge.sources.folders import checkpointed
 
 LONG_MA_DAYS = 1000  #: trading days of the long average (fixed value)
 ROLLING_STEP = 5  #: bars between the starts of rolling windows (fixed value)
@@ -71,7 +72,8 @@ def quotes(
     downside, max_daily, below_ma, above_ma, trend_r2, trend_cagr, life_cagr, capped_cagr, tr_cagr, max_drawdown, roll<y>_pos, worst<y>, underwater_years,
     turnover). A cutoff is every ``step``-th bar from ``history`` on. Changes are percent; volatilities are those of a bar, scaled to
     a trading day. Rolling windows are ``rolling`` years of bars; time under water is counted in bars, a year of which is the cadence."""
-    rows = _with_pasts(walked(bars, max_weekly, cadence, history, step), rolling)
+    own = walked(bars, max_weekly, cadence, history, step)
+    rows = _with_pasts(own, rolling)
     part = Window.partitionBy("ticker", "seg").orderBy("bar_date")
     past = part.rowsBetween(Window.unboundedPreceding, 0)
     positive = F.col("close") > 0
@@ -102,11 +104,12 @@ def quotes(
     # the first bar on or after a day is the one after the last before it
     rows = rows.withColumns(reached).withColumn("next_close", F.lead("close").over(part)).withColumn("next_date", F.lead("bar_date").over(part))
     rows = rows.withColumn("capped", F.last(F.struct(F.col("next_close").alias("close"), F.col("next_date").alias("bar_date"))).over(by_day.rangeBetween(Window.unboundedPreceding, -int(cap_years * 365.25) - 1)))
-    return _at_cutoffs(rows, dividends, rolling)
+    return _at_cutoffs(rows, own, dividends, rolling)
 
 
-def _at_cutoffs(rows: DataFrame, dividends: DataFrame, rolling: tuple[int, ...]) -> DataFrame:
-    """The quotes from running ``rows``: each bar goes to the cutoffs whose last bars it is among, and to its own."""
+def _at_cutoffs(rows: DataFrame, own: DataFrame, dividends: DataFrame, rolling: tuple[int, ...]) -> DataFrame:
+    """The quotes from running ``rows``: each bar goes to the cutoffs whose last bars it is among, and to its own. ``own`` are the bars by
+    slice and place, of which the closes below each endpoint are counted. Cutoffs are few and asked for three times, so they are kept."""
     cad, i = F.col("cadence"), F.col("i")
     late, ma = F.greatest(F.lit(1), F.floor(ENDPOINT_DAYS * cad / 252)), F.floor(LONG_MA_DAYS * cad / 252)
     widest = F.greatest(late, ma, cad)
@@ -119,11 +122,12 @@ def _at_cutoffs(rows: DataFrame, dividends: DataFrame, rolling: tuple[int, ...])
     kept = ["bar_date", "i", "j", "cadence", "late", "ma", "close", "d0", "c0", "peak", "m", "r2", "slope", "max_dd", "under", "capped"]
     kept += [n for h in HORIZONS for n in (f"at_{h}", f"hi_{h}", f"lo_{h}") if n in rows.columns] + [f"{p}{k}" for k in rolling for p in "nuw"]
     ret = within(cad, "ret")
-    cut = sent.groupBy("ticker", "seg", "k").agg(
+    told = sent.groupBy("ticker", "seg", "k").agg(
         *[here(n) for n in kept], F.count(ret).alias("rets"), F.stddev_pop(ret).alias("sd"), F.avg(F.when(ret.isNotNull(), F.pow(F.least(ret, F.lit(0.0)), 2))).alias("sq"), F.max(within(F.greatest(F.lit(1), F.floor(cad / 12)), "ret")).alias("max_daily"),
         F.avg(within(F.col("late"), "close")).alias("endpoint"), F.avg(within(F.col("ma"), "close")).alias("mean"),
     ).filter("i IS NOT NULL")
-    below = count_below(rows.select("ticker", "seg", "j", F.col("close").alias("value")), cut.select("ticker", "seg", F.col("k").alias("q"), F.col("j").alias("upto"), F.col("endpoint").alias("value")), ["ticker", "seg"])
+    cut = checkpointed(told)
+    below = count_below(own.select("ticker", "seg", "j", F.col("close").alias("value")), cut.select("ticker", "seg", F.col("k").alias("q"), F.col("j").alias("upto"), F.col("endpoint").alias("value")), ["ticker", "seg"])
     cut = cut.join(below.withColumnRenamed("q", "k"), ["ticker", "seg", "k"])
     paid = _paid(cut.select("ticker", "k", "bar_date", "d0"), dividends)
     cut = cut.join(paid, ["ticker", "k"], "left")
