@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.operators import journal, scoring, series, stats, universe, walk
+from tallyforge.operators import decorrelate, journal, scoring, series, stats, universe, walk
 from tallyforge.sources import tables as T
 
 
@@ -69,8 +69,8 @@ def test_relative_returns_sum_to_zero(spark, sf_dir):
 
 def test_decorrelation_keeps_the_first_of_twins(spark):
     up = [float(k % 5) for k in range(20)]
-    rows = spark.createDataFrame([(0, "a", 1, up), (0, "b", 2, [2 * x for x in up]), (0, "c", 3, [-x for x in up]), (0, "d", 4, up[:5])], "bucket int, ticker string, rank int, trail array<double>")
-    assert {r.ticker: r.kept for r in stats.decorrelate(rows).collect()} == {"a": True, "b": False, "c": True, "d": True}
+    rows = spark.createDataFrame([(0, "a", 4.0, up), (0, "b", 3.0, [2 * x for x in up]), (0, "c", 2.0, [-x for x in up]), (0, "d", 1.0, up[:5])], "bucket int, id string, score double, trail array<double>")
+    assert {r.id for r in decorrelate.greedy(rows, [0.6]).collect()} == {"a", "c", "d"}
 
 
 def test_sizes_keep_the_cap(spark):
