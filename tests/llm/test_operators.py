@@ -101,6 +101,16 @@ def test_lines_of_one_changed_word_meet(spark):
     assert not any(got[2 * k] or got[500 + k] for k in range(60))  # and none that only shares half of its words
 
 
+@pytest.mark.parametrize("n", [2, 12, 60])
+def test_lines_with_an_edit_in_every_word_are_linked(spark, n):
+    rows, r = [], random.Random(n)
+    for k in range(8):
+        line = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(w[: i % 5] + "zé"[k % 2] + w[i % 5 + k % 3 // 2 :] for i, w in enumerate(line)))]
+    got = {x.doc_id: x.n_removed for x in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 2 for k in range(16)}
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     chinese = "数据管道会删除重复的行但是保留每一组里面最早出现的那一行文字"
     rows = [(1, "Read more\n" + chinese), (2, "read  more!\n" + chinese), (3, chinese.replace("最早", "最先")), (4, "one word\nHome"), (5, "home\n\n..."), (6, "one ward\n\n...")]
