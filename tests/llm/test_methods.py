@@ -257,6 +257,13 @@ def test_stages_on_awkward_tables(spark, sf_dir, stage):
     assert run(spark, docs.filter("doc_id < -1"), sf_dir).count() == 0
 
 
+def test_line_stage_drops_lines_with_an_edit_in_every_word(spark, sf_dir):
+    line = "abcdefgh bcdefghi cdefghij defghijk efghijkl fghijklm"
+    rows = [(1, line, len(line)), (2, " ".join(w[:3] + "z" + w[4:] for w in line.split()) + "\nanother thing", 0)]
+    out = corpus_pipeline.line_copies(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, line), (2, "another thing")]
+
+
 def test_pipeline_is_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = {"": docs.count()}
