@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyforge.llm import bpe_count, bpe_transducer, decontaminate, license_scan, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
+from tallyforge.llm import bpe_count, bpe_transducer, decontaminate, edit_join, license_scan, line_dedup, ngram_trie, quality, secret_scan, suffix_dedup, warc_zst
 from tallyforge.llm.bpe_tables import BpeTables
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, id string, n long, key string, d string"
@@ -111,6 +111,20 @@ def test_lines_with_an_edit_in_every_word_are_linked(spark, n):
     assert got == {k: k % 2 for k in range(16)}
 
 
+def test_lines_go_to_tasks_in_rounds(spark, monkeypatch):
+    rows, r = [], random.Random(5)
+    for k in range(60):
+        line = [words(2000 + 20 * k + n, 1) + "abcdefgh"[n] for n in range(8)]
+        rows += [(2 * k, " ".join(line)), (2 * k + 1, " ".join(w[:2] + "z" + w[3:] for w in line) + " " * r.randint(0, 2))]
+    docs, written = spark.createDataFrame(rows, "doc_id long, text string"), []
+    staged = line_dedup.Workspace.staged
+    monkeypatch.setattr(line_dedup.Workspace, "staged", lambda self, df, name: written.append((name, df.columns)) or staged(self, df, name))
+    monkeypatch.setattr(edit_join, "CELL_ROWS", 16)
+    assert {x.doc_id: x.n_removed for x in line_dedup.report(docs).collect()} == {k: k % 2 for k in range(120)}
+    assert sum(name == "close" for name, _ in written) > 1  # a task's texts aren't all on their way at once
+    assert not any({"normal", "keys"} <= set(columns) or {"line", "normal"} <= set(columns) for _, columns in written)
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     chinese = "数据管道会删除重复的行但是保留每一组里面最早出现的那一行文字"
     rows = [(1, "Read more\n" + chinese), (2, "read  more!\n" + chinese), (3, chinese.replace("最早", "最先")), (4, "one word\nHome"), (5, "home\n\n..."), (6, "one ward\n\n...")]
