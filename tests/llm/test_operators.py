@@ -125,6 +125,30 @@ def test_lines_go_to_tasks_in_rounds(spark, monkeypatch):
     assert not any({"normal", "keys"} <= set(columns) or {"line", "normal"} <= set(columns) for _, columns in written)
 
 
+@pytest.mark.parametrize("n", [9, 64, 130, 520, 1100])
+def test_pairs_within_their_edits_arent_given_up(n):
+    r, pairs = random.Random(n), []
+    for k in range(120):
+        x = [r.choice("abcdefgh é") for _ in range(n + r.randint(0, n // 8))]
+        y, to = list(x), (1, 0.2, 1)[k % 3]
+        for _ in range(int(len(x) // 5 * r.choice([0.5, 1, 1.1, 1.3]))):
+            at = int((k % 3 == 2) * 0.8 * len(y) + r.random() * (to - (k % 3 == 2) * 0.8) * len(y))
+            y[at : at + r.randint(0, 1)] = [r.choice("abcdefgh é")] * r.randint(0, 1)
+        pairs.append(("".join(x), "".join(y or x)))
+    pairs += [("".join(r.choice("abcdefgh é") for _ in range(n)), p[0]) for p in pairs[:40]]
+    most = [max(len(x), len(y)) // 5 for x, y in pairs]
+    codes = [[np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in side] for side in zip(*pairs)]
+    told = edit_join.within(*codes, np.array(most))
+    near = [line_dedup.within(x, y, t) for (x, y), t in zip(pairs, most)]
+    assert sum(near) > 20 and not any(want and not got for want, got in zip(near, told.tolist()))
+    assert n < 64 or not told[-40:].any()  # the others are
+
+
+def test_cells_of_long_lines_are_small(spark):
+    lines = spark.range(3000).select(F.lit(20).alias("bucket"), F.repeat(F.lit("a"), 1000).alias("text"))
+    assert [r.parts for r in edit_join.in_cells(lines).collect()] == [2]  # 4.5 million pairs in a task before
+
+
 def test_short_lines_and_scripts_without_spaces(spark):
     chinese = "数据管道会删除重复的行但是保留每一组里面最早出现的那一行文字"
     rows = [(1, "Read more\n" + chinese), (2, "read  more!\n" + chinese), (3, chinese.replace("最早", "最先")), (4, "one word\nHome"), (5, "home\n\n..."), (6, "one ward\n\n...")]
