@@ -237,6 +237,20 @@ def test_roundtrip_of_rows(spark):
     assert bpe_transducer.roundtrip_digests(docs.filter("doc_id < -1"), path).count() == 0
 
 
+def test_roundtrip_of_every_awkward_row(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    docs = awkward(spark)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for r in docs.select("doc_id", "text").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((str(r.doc_id), len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    got = [(str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_transducer.roundtrip_digests(docs, path).collect()]
+    assert len(want) == len(texts()) + 3 and sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_on_awkward_tables(spark, sf_dir, stage):
     docs = awkward(spark)
