@@ -447,6 +447,29 @@ def test_decontamination_finds_items_among_words_of_others(spark):
     assert got == {(k - k % 4, k) for k in range(40)}
 
 
+def test_decontamination_finds_items_around_a_passage_and_far_apart(spark):
+    said = lambda c, n: [c + "abcdefghij"[k // 100] + "abcdefghij"[k // 10 % 10] + "abcdefghij"[k % 10] for k in range(n)]
+    one, two, three = said("one", 30), said("two", 59), said("three", 900)
+    items = [(k, " ".join(w)) for k, w in enumerate((one, two, three))]
+    rows = [
+        (1, [*said("x", 65), *one[:15], *said("y", 52), *one[15:], *said("z", 80)]),  # no word of the item in a passage between its halves
+        (2, [*said("x", 70), *two[:10], *said("y", 130), *two[10:21], *two[42:], *said("z", 80)]),  # 21 words of 29, never in one passage's reach, and 17 of 30
+        (3, [*said("x", 70), *[w for k, w in enumerate(three) if k % 30 < 19 or k > 890], *said("z", 80)]),
+        (4, [*said("x", 70), *two[:10], *said("y", 300), *two[10:], *said("z", 80)]),
+    ]
+    asked, best = decontaminate.Items(items), {}
+    for i, found in rows:
+        found = decontaminate.words_of(" ".join(found))
+        for k in range(0, len(found) - decontaminate.WINDOW + decontaminate.STRIDE, decontaminate.STRIDE):
+            for part, _, before, after in asked.parts:
+                told = decontaminate.judged(asked.whole[part][1], found[max(0, k - before) : k + after])
+                if told:
+                    best[i, part] = max(told[0], best.get((i, part), 0))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x.lcs_words for x in decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == best and {(1, 0), (2, 1), (3, 2), (4, 1)} == set(best)
+
+
 def test_sparse_rows_multiply_like_dense_ones(monkeypatch):
     monkeypatch.setattr(decontaminate, "HEAD", 5)
     rng = np.random.default_rng(3)
