@@ -470,6 +470,28 @@ def test_decontamination_finds_items_around_a_passage_and_far_apart(spark):
     assert got == best and {(1, 0), (2, 1), (3, 2), (4, 1)} == set(best)
 
 
+def test_latent_space_is_that_of_all_passages(spark, planted, monkeypatch):
+    rows, items = planted[0][:60] + [(-1, ""), (-2, "one"), (-3, words(3, 40)), (-4, None)], decontaminate.Items(planted[1])
+    monkeypatch.setattr(decontaminate, "ROW", 64)
+    span, context = decontaminate.WINDOW // decontaminate.STRIDE, spark.sparkContext
+    docs = spark.createDataFrame([(i, t or "") for i, t in rows], "id long, text string")
+    whole = []
+    for _, text in rows:
+        found = decontaminate.words_of(text or "")
+        parts = np.zeros((-(-len(found) // decontaminate.STRIDE), items.columns))
+        for n, w in enumerate(found):
+            if w in items.vocabulary:
+                parts[n // decontaminate.STRIDE, items.vocabulary[w]] += 1
+        whole += [parts[k : k + span].sum(axis=0) for k in range(min(len(parts), max(1, len(parts) - span + 1)))]
+    whole = np.array(whole)
+    weights, thin = np.random.default_rng(1).random(items.columns), np.random.default_rng(2).random((items.columns, 5))
+    with decontaminate.Workspace(spark, "passages") as work:
+        kept, blocks, _, _, n = decontaminate.passages(docs, context.broadcast(items), context.broadcast(decontaminate.Guard(items)), work)
+        assert n == len(whole) > kept.count()
+        whole = whole * weights
+        assert np.allclose(decontaminate.gram_times(blocks, context.broadcast(weights), thin), whole.T @ (whole @ thin), rtol=1e-4)
+
+
 def test_sparse_rows_multiply_like_dense_ones(monkeypatch):
     monkeypatch.setattr(decontaminate, "HEAD", 5)
     rng = np.random.default_rng(3)
