@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ranks import running
+
 #: Venue suffixes that stay in a symbol (fixed values).
 SYMBOL_VENUES = ["L", "DE", "PA", "AS", "MI", "MC", "SW", "ST", "CO", "OL", "HE", "LS"]
 #: Country and trading currency by venue suffix (fixed values).
@@ -118,18 +120,44 @@ def quality_counters(rows: DataFrame, measures: list[str]) -> DataFrame:
     return long.groupBy("measure").agg(F.count_if("gone").alias("missing"), F.count_if(~F.col("gone")).alias("present"))
 
 
-def overlaps(holdings: DataFrame, least: int = 5) -> DataFrame:
-    """(a, b, shared): pairs of funds that share ``least`` holdings or more. Funds meet by their rarest holdings: of two that
-    share so many, each has a shared one among all but its ``least`` - 1 most common."""
-    h = holdings.select("fund", "symbol").distinct()
+COMMON = 1000  #: units that hold a symbol; one with more is left to the last step where a unit has rarer ones
+PAIRS = 1 << 21  #: pairs that a task counts, about
+CHUNK = 1 << 16  #: numbers in a holder list
+
+
+def _shared(h: DataFrame, least: int) -> DataFrame:
+    """(a, b, shared): pairs of units of ``h`` (unit, symbol), distinct and without nulls, that share ``least`` symbols or more, a below b.
+
+    Units are numbered, each of a unit's symbols brings it the numbers of the later units that hold it, and what it was brought is counted in
+    one task. Of a unit's ``least`` - 1 most common symbols, those with over COMMON holders don't bring it units for which they are such ones
+    too: a pair has a shared symbol beside these, and they are added in the end."""
+    units = running(h.select("unit").distinct().withColumn("_all", F.lit(1)), ["_all"], [F.col("unit")]).select("unit", F.col("upto").cast("int").alias("k"))
     uses = h.groupBy("symbol").agg(F.count("*").alias("uses"))
-    w = Window.partitionBy("fund")
-    ranked = h.join(uses, "symbol").withColumns({"rn": F.row_number().over(w.orderBy("uses", "symbol")), "n": F.count("*").over(w)})
-    held = h.groupBy("fund").agg(F.collect_set("symbol").alias("held"))
-    keys = ranked.filter(F.col("rn") <= F.col("n") - least + 1).select("fund", "symbol")
-    met = keys.withColumnRenamed("fund", "a").join(keys.withColumnRenamed("fund", "b"), "symbol").filter("a < b").select("a", "b").distinct()
-    both = met.join(held.select(F.col("fund").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("fund").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared")).filter(F.col("shared") >= least)
+    held = h.join(units, "unit").select("k", "symbol")
+    skewed = not uses.filter(F.col("uses") > COMMON).isEmpty()
+    if skewed:
+        w = Window.partitionBy("k")
+        ranked = held.join(uses, "symbol").withColumns({"rn": F.row_number().over(w.orderBy("uses", "symbol")), "n": F.count("*").over(w)})
+        held = ranked.select("k", "symbol", ((F.col("uses") > COMMON) & (F.col("rn") > F.col("n") - least + 1)).alias("common"))
+    else:
+        held = held.withColumn("common", F.lit(False))
+    lists = held.groupBy("symbol", "common", F.floor(F.col("k") / CHUNK).alias("chunk")).agg(F.collect_list("k").alias("others")).withColumnRenamed("common", "theirs")
+    later = F.filter("others", lambda x: x > F.col("k"))
+    met = held.join(lists, "symbol").filter("NOT (common AND theirs)").select("k", later.alias("others")).filter(F.size("others") > 0)
+    expected = uses.agg(F.sum(F.col("uses") * F.col("uses") / 2)).first()[0] or 0
+    parts = max(int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(min(expected / PAIRS, 20_000)))
+    counts = met.repartition(parts, "k").select("k", F.explode("others").alias("o")).groupBy("k", "o").agg(F.count("*").alias("shared"))
+    if skewed:
+        most = held.filter("common").groupBy("k").agg(F.collect_list("symbol").alias("most"))
+        both = counts.join(most.withColumnRenamed("most", "x"), "k", "left").join(most.select(F.col("k").alias("o"), F.col("most").alias("y")), "o", "left")
+        counts = both.select("k", "o", (F.col("shared") + F.coalesce(F.size(F.array_intersect("x", "y")), F.lit(0))).alias("shared"))
+    told = counts.filter(F.col("shared") >= least)
+    return told.join(units.select(F.col("unit").alias("a"), "k"), "k").join(units.select(F.col("unit").alias("b"), F.col("k").alias("o")), "o").select("a", "b", F.col("shared").cast("long").alias("shared"))
+
+
+def overlaps(holdings: DataFrame, least: int = 5) -> DataFrame:
+    """(a, b, shared): pairs of funds that share ``least`` holdings or more."""
+    return _shared(holdings.select(F.col("fund").alias("unit"), "symbol").distinct().dropna(), least)
 
 
 def overlap_groups(holdings: DataFrame, least: int = 5) -> DataFrame:

@@ -122,3 +122,17 @@ def test_same_day_runs_keep_the_first_snapshot(spark):
 def test_gap_band_leaves_its_edges_out(spark):
     make = lambda x: spark.createDataFrame([("A", x)], "ticker string, weight double")
     assert [universe.allocation_gaps(make(a), make(10.0)).first().advice for a in (14.9, 15.0, 5.1, 5.0)] == ["hold", "trim", "hold", "add"]
+
+
+def test_overlaps_of_very_common_holdings(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(universe, "COMMON", 6)
+    monkeypatch.setattr(universe, "CHUNK", 8)
+    r = random.Random(5)
+    held = {f"F{k}": {*r.sample([f"C{n}" for n in range(8)], r.randint(0, 6)), *r.sample([f"R{n}" for n in range(40)], r.randint(0, 12))} for k in range(60)}
+    rows = spark.createDataFrame([(f, s) for f, x in held.items() for s in [*x, None]], "fund string, symbol string")
+    want = {(a, b, len(held[a] & held[b])) for a in held for b in held if a < b and len(held[a] & held[b]) >= 5}
+    assert {tuple(x) for x in universe.overlaps(rows).collect()} == want and len(want) > 20
+    plan = universe.overlaps(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "held" not in plan and "collect_set" not in plan  # pairs don't carry what either holds
