@@ -162,24 +162,32 @@ def overlaps(holdings: DataFrame, least: int = 5) -> DataFrame:
 
 def overlap_groups(holdings: DataFrame, least: int = 5) -> DataFrame:
     """(report, members, common): in each report, funds of ``least`` holdings or more in order of name; each joins the first
-    group with all of whose members it shares ``least``, else begins one. A report's shortlist is folded in one task, as each
-    step depends on those before."""
+    group with all of whose members it shares ``least``, else begins one. A report's pairs of funds that share so many are folded in one task, as
+    each step depends on those before; funds that share so many with none are in no group of two."""
     import pandas as pd
 
+    h = holdings.select("report", "fund", "symbol").distinct()
+    pairs = _shared(h.dropna().select(F.struct("report", "fund").alias("unit"), F.struct("report", "symbol").alias("symbol")), least).select("a.report", F.col("a.fund").alias("a"), F.col("b.fund").alias("b"))
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = {fund: set(part["symbol"]) for fund, part in pdf.groupby("fund")}
+        near: dict[str, set[str]] = {}
+        for a, b in zip(pdf["a"], pdf["b"]):
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
         groups: list[list[str]] = []
-        for fund in sorted(f for f, x in held.items() if len(x) >= least):
-            for g in groups:
-                if all(len(held[fund] & held[m]) >= least for m in g):
-                    g.append(fund)
-                    break
-            else:
-                groups.append([fund])
-        rows = [(pdf["report"].iloc[0], " ".join(g), len(set.intersection(*[held[m] for m in g]))) for g in groups if len(g) > 1]
-        return pd.DataFrame(rows, columns=["report", "members", "common"])
-
-    return holdings.select("report", "fund", "symbol").groupBy("report").applyInPandas(fold, "report long, members string, common long")
+        place: dict[str, int] = {}
+        for fund in sorted(near):
+            g = next((g for g in sorted({place[x] for x in near[fund] if x in place}) if near[fund].issuperset(groups[g])), len(groups))
+            if g == len(groups):
+                groups.append([])
+            groups[g].append(fund)
+            place[fund] = g
+        rows = [(pdf["report"].iloc[0], k, len(g), " ".join(g), fund) for k, g in enumerate(groups) if len(g) > 1 for fund in g]
+        return pd.DataFrame(rows, columns=["report", "place", "size", "members", "fund"])
+
+    groups = pairs.groupBy("report").applyInPandas(fold, "report long, place long, size long, members string, fund string")
+    held = groups.join(h, ["report", "fund"]).groupBy("report", "place", "size", "members", "symbol").agg(F.count("*").alias("holders"))
+    return held.groupBy("report", "place", "members").agg(F.count_if(F.col("holders") == F.col("size")).alias("common")).select("report", "members", "common")
 
 
 def concentration(holdings: DataFrame, top: int = 3, most: float = 40.0) -> DataFrame:

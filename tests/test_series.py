@@ -136,3 +136,11 @@ def test_overlaps_of_very_common_holdings(spark, monkeypatch):
     assert {tuple(x) for x in universe.overlaps(rows).collect()} == want and len(want) > 20
     plan = universe.overlaps(rows)._jdf.queryExecution().executedPlan().toString()
     assert "held" not in plan and "collect_set" not in plan  # pairs don't carry what either holds
+
+
+def test_overlap_groups_fold_linked_funds_alone(spark):
+    held = {f"F{k:04d}": {f"S{k}-{n}" for n in range(5)} for k in range(400)} | {f"G{k}": {f"T{n}" for n in range(k, k + 6)} for k in range(4)}
+    rows = spark.createDataFrame([(1, f, s) for f, x in held.items() for s in x], "report long, fund string, symbol string")
+    told = universe.overlap_groups(rows)
+    assert [tuple(x) for x in told.orderBy("members").collect()] == [(1, "G0 G1", 5), (1, "G2 G3", 5)]
+    assert "fold(report#" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) and "symbol" not in plan.split("fold(report#")[1].split(")")[0]
