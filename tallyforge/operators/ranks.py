@@ -7,10 +7,12 @@ group, which is a table of groups by ranges, and its place within the range.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.sources.folders import checkpointed
+from tallyforge.sources.folders import checkpointed, written
 
 
 def running(rows: DataFrame, by: list[str], order: list[Column], amount: Column | None = None) -> DataFrame:
@@ -35,18 +37,64 @@ def average_ranks(rows: DataFrame, by: list[str], value: str, name: str) -> Data
     return rows.join(ranked, [*by, value])
 
 
-def lanes(rows: DataFrame, by: list[str], keys: tuple[str, ...] = ("ticker", "cutoff")) -> DataFrame:
+RANGE = 1 << 21  #: rows of a group that are ordered in one task, about; larger groups are dealt by ranges of their values
+ROUND = 1 << 26  #: rows that are shuffled at a time, about
+
+
+def _dealt(rows: DataFrame, by: list[str], value: str, sizes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with _range of ``value``, the highest first, and (by, _range, n, _before): the rows of each range's group, and those of its
+    ranges before. Equal values are in one range, and which one doesn't depend on how rows were dealt."""
+    count = -(-most // RANGE)
+    if count <= 1:
+        return rows.withColumn("_range", F.lit(0)), sizes.withColumns({"_range": F.lit(0), "_before": F.lit(0)})
+    ends = checkpointed(rows.groupBy(*by).agg(F.percentile_approx(value, [k / count for k in range(1, count)], 10_000).alias("_ends")))
+    # a few values by group
+    laid = rows.join(F.broadcast(ends), by).withColumn("_range", F.when(F.col(value).isNull(), count).otherwise(F.size(F.filter("_ends", lambda e: e > F.col(value))))).drop("_ends")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    told = laid.groupBy(*by, "_range").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    return laid, checkpointed(told.join(sizes, by).select(*by, "_range", "n", "_before"))
+
+
+def _places(rows: DataFrame, by: list[str], value: str, keys: tuple[str, ...], sizes: DataFrame, most: int, rank: str) -> DataFrame:
+    """``rows`` with upto, the place by falling ``value`` and ``keys``, n of the group, and ``rank``: that of ``value`` from the lowest, where equal values share
+    the mean of their places. One shuffle and one sort by group and range."""
+    laid, offsets = _dealt(rows, by, value, sizes, most)
+    here = Window.partitionBy(*by, "_range")
+    falling = here.orderBy(F.desc(value))
+    told = laid.join(F.broadcast(offsets), [*by, "_range"])  # a row a group and range
+    told = told.withColumns({"upto": F.col("_before") + F.row_number().over(here.orderBy(F.desc(value), *keys)), "_lo": F.rank().over(falling), "_hi": F.count("*").over(falling.rangeBetween(Window.unboundedPreceding, Window.currentRow))})
+    return told.withColumn(rank, F.when(F.col(value).isNotNull(), F.col("n") + 1 - F.col("_before") - (F.col("_lo") + F.col("_hi")) / 2.0)).drop("_range", "_before", "_lo", "_hi")
+
+
+def lanes(rows: DataFrame, by: list[str], keys: tuple[str, ...] = ("ticker", "cutoff"), rank: str | None = None) -> DataFrame:
     """(by, n, rho, edge): rank correlation of score and relative return, and the mean return of the upper half by score less that of
-    the lower (an odd middle is left out); null and 0 under four rows. No task holds a whole group."""
-    placed = running(rows, by, [F.desc("score"), *[F.col(k) for k in keys]])
-    n, half = F.col("total"), F.floor(F.col("total") / 2)
+    the lower (an odd middle is left out); null and 0 under four rows. ``rank`` is a column with the rank of the relative return, if it is known. No task holds a
+    group of over about RANGE rows. Groups go through in rounds of about ROUND rows, so the disk that they need doesn't grow with their number."""
+    # a row a group
+    sizes = checkpointed(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    most, total = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    rounds = max(1, min(-(-total // ROUND), sizes.count()))
+    found = []
+    for k in range(rounds):
+        mine = F.pmod(F.xxhash64(*by), F.lit(rounds)) == k
+        some, own = (rows.filter(mine), sizes.filter(mine)) if rounds > 1 else (rows, sizes)
+        slim = some.select(*by, *keys, "score", "relative", *([rank] if rank else []))
+        if not rank:
+            slim = _places(slim, by, "relative", (), own, most, "_ry").drop("upto", "n")
+        told = _lane(_places(slim, by, "score", keys, own, most, "_rx"), by, rank or "_ry")
+        found.append(written(told) if rounds > 1 else told)
+    return reduce(DataFrame.unionByName, found)
+
+
+def _lane(placed: DataFrame, by: list[str], ry: str) -> DataFrame:
+    n, half = F.col("n"), F.floor(F.col("n") / 2)
+    known = F.col("_rx").isNotNull() & F.col(ry).isNotNull()
+    x, y = F.when(known, F.col("_rx")), F.when(known, F.col(ry))
     mean = lambda when: F.avg(F.when(when, F.col("relative")))
-    edges = placed.groupBy(*by, F.col("total").alias("n")).agg((mean(F.col("upto") <= half) - mean(F.col("upto") > n - half)).alias("edge"))
-    slim = checkpointed(rows.select(*by, "score", "relative"))
-    both = average_ranks(average_ranks(slim, by, "score", "rx"), by, "relative", "ry")
-    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
-    rho = both.groupBy(*by).agg(F.when(F.count("*") >= 4, F.try_divide(F.covar_pop("rx", "ry"), F.nullif(spread, F.lit(0.0)))).alias("rho"))
-    return edges.join(rho, by).select(*by, "n", F.round("rho", 6).alias("rho"), F.when(F.col("n") >= 4, F.round("edge", 6)).otherwise(0.0).alias("edge"))
+    rho = F.when(F.count_if(known) >= 4, F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))))
+    edge = mean(F.col("upto") <= half) - mean(F.col("upto") > n - half)
+    told = placed.groupBy(*by, "n").agg(F.round(rho, 6).alias("rho"), F.round(edge, 6).alias("edge"))
+    return told.select(*by, "n", "rho", F.when(n >= 4, F.col("edge")).otherwise(0.0).alias("edge"))
 
 
 def weighted_prefixes(rows: DataFrame, drawn: DataFrame, asked: DataFrame, order: list[Column], value: str, fan: int = 32) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.asof import count_below
-from tallyforge.operators.ranks import lanes
+from tallyforge.operators.ranks import average_ranks, lanes, running
 from tallyforge.operators.series import ENDPOINT_DAYS, by_date, cagr, span_to_bars
 from tallyforge.sources.folders import checkpointed
 
@@ -116,7 +116,7 @@ def unpivoted(rows: DataFrame, factors: list[str]) -> DataFrame:
 
 def factor_probe(rows: DataFrame, factors: list[str]) -> DataFrame:
     """(factor, n, rho): rank correlation of each factor with relative returns, after unpivoting the factors."""
-    return lanes(unpivoted(rows, factors), ["factor"]).select("factor", "n", "rho")
+    return lanes(unpivoted(checkpointed(rows.select("relative", "ticker", "cutoff", *factors)), factors), ["factor"]).select("factor", "n", "rho")
 
 
 def scored_by(rows: DataFrame, arms: DataFrame) -> DataFrame:
@@ -128,7 +128,15 @@ def scored_by(rows: DataFrame, arms: DataFrame) -> DataFrame:
 
 def knob_sweep(rows: DataFrame, arms: DataFrame) -> DataFrame:
     """(arm, n, edge): each arm re-scores the same samples; the halves' edge of its ranking."""
-    return lanes(scored_by(rows, arms), ["arm"]).select("arm", "n", "edge")
+    return lanes(scored_by(_numbered(rows), arms), ["arm"], ("_at",), "_ry").select("arm", "n", "edge")
+
+
+def _numbered(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``rows`` with _at, the place by ticker and cutoff, and _ry, the rank of the relative return (in each of ``by``), which all arms share that rank the same
+    rows; and without ticker."""
+    told = rows.withColumn("_all", F.lit(1))
+    placed = running(told, ["_all"], [F.col("ticker"), F.col("cutoff")]).withColumn("_at", F.col("upto").cast("int")).drop("upto", "total", "ticker")
+    return checkpointed(average_ranks(placed, by or ["_all"], "relative", "_ry").drop("_all"))
 
 
 def purged_halves(rows: DataFrame, months: int = 24) -> DataFrame:
@@ -141,15 +149,19 @@ def purged_halves(rows: DataFrame, months: int = 24) -> DataFrame:
 def _by_halves(rows: DataFrame, by: str, months: int) -> DataFrame:
     """(by, n, rho, edge, early_rho, late_rho) of rows with a score."""
     halves = lanes(purged_halves(rows, months).filter("half IS NOT NULL"), [by, "half"])
+    return _with_sides(lanes(rows, [by]), halves, by)
+
+
+def _with_sides(whole: DataFrame, halves: DataFrame, by: str) -> DataFrame:
     side = lambda name: F.max(F.when(F.col("half") == name, F.col("rho"))).alias(f"{name}_rho")
-    return lanes(rows, [by]).join(halves.groupBy(by).agg(side("early"), side("late")), by, "left")
+    return whole.join(halves.groupBy(by).agg(side("early"), side("late")), by, "left")
 
 
 def ablation(rows: DataFrame, base: Column, arms: dict[str, Column], months: int = 24) -> DataFrame:
     """(arm, n, rho, edge, d_rho, d_edge, early_rho, late_rho): what a score is worth without one of its terms, over the rows that the
     score admits. ``base`` and ``arms`` are scores, null where a row isn't admitted; a row that an arm doesn't admit keeps its old
     score, so all arms rank the same rows. Differences are to the arm 'full'."""
-    admitted = rows.withColumn("_base", base).filter("_base IS NOT NULL")
+    admitted = checkpointed(rows.withColumn("_base", base).filter("_base IS NOT NULL"))
     each = F.array(F.struct(F.lit("full").alias("arm"), F.col("_base").alias("score")), *[F.struct(F.lit(k).alias("arm"), F.coalesce(c, F.col("_base")).alias("score")) for k, c in arms.items()])
     told = _by_halves(admitted.select("relative", "ticker", "cutoff", F.inline(each)), "arm", months)
     full = told.filter("arm = 'full'").select(F.col("rho").alias("_rho"), F.col("edge").alias("_edge"), F.lit(1).alias("one"))
@@ -162,17 +174,23 @@ def factor_draws(rows: DataFrame, factors: list[str], draws: int, months: int =
     1 (from a hash of the draw), where it is known; an arm beats the score as it is if its edge is higher and both purged
     halves' correlations are above 0."""
     weight = F.round(F.pmod(F.col("draw") * 2654435761 + 7, F.lit(1999)) / 999.0 - 1, 6)
-    keys = ["relative", "ticker", "cutoff", "score"]
-    long = rows.select(*keys, *[F.col(f).cast("double").alias(f) for f in factors]).unpivot(keys, factors, "factor", "value")
-    each = long.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("weight", weight)
-    arm = F.concat_ws(":", "factor", F.lpad(F.col("draw").cast("string"), 4, "0"))
-    scored = each.select("relative", "ticker", "cutoff", arm.alias("arm"), F.round(F.col("score") + F.coalesce(F.col("weight") * F.col("value"), F.lit(0.0)), 6).alias("score"))
-    base = lanes(rows.select("relative", "ticker", "cutoff", "score").withColumn("arm", F.lit("base")), ["arm"]).select(F.col("edge").alias("_edge"), F.lit(1).alias("one"))
-    told = _by_halves(scored, "arm", months).withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
-    part = F.split("arm", ":")
-    draw = part[1].cast("int")
+
+    def scored(some: DataFrame) -> DataFrame:
+        """Each row under each arm, a factor's place in the list and a draw in one number."""
+        each = F.explode(F.array(*[F.struct(F.lit(k).alias("nth"), F.col(f).cast("double").alias("value")) for k, f in enumerate(factors)])).alias("f")
+        told = some.select(*[c for c in some.columns if c not in factors], each)
+        told = told.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+        told = told.withColumns({"arm": F.col("f.nth") * draws + F.col("draw"), "score": F.round(F.col("score") + F.coalesce(weight * F.col("f.value"), F.lit(0.0)), 6)})
+        return told.drop("f", "draw")
+
+    slim = checkpointed(rows.select("relative", "ticker", "cutoff", "score", *factors))
+    base = lanes(slim.withColumn("arm", F.lit("base")), ["arm"]).select(F.col("edge").alias("_edge"), F.lit(1).alias("one"))
+    halves = _numbered(purged_halves(slim, months).filter("half IS NOT NULL"), ["half"])  # all arms have the same rows and so the same halves
+    told = _with_sides(lanes(scored(_numbered(slim)), ["arm"], ("_at",), "_ry"), lanes(scored(halves), ["arm", "half"], ("_at",), "_ry"), "arm").withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
+    factor = F.element_at(F.array(*map(F.lit, factors)), (F.floor(F.col("arm") / draws) + 1).cast("int"))
     beats = F.coalesce((F.col("edge") > F.col("_edge")) & (F.col("early_rho") > 0) & (F.col("late_rho") > 0), F.lit(False))
-    return told.withColumns({"factor": part[0], "draw": draw}).withColumn("weight", weight).select("factor", "draw", "weight", "n", "rho", "edge", "early_rho", "late_rho", beats.alias("beats"))
+    told = told.withColumns({"factor": factor, "draw": (F.col("arm") % draws).cast("int")}).withColumn("weight", weight)
+    return told.select("factor", "draw", "weight", "n", "rho", "edge", "early_rho", "late_rho", beats.alias("beats"))
 
 
 def cadences(bars: DataFrame) -> DataFrame:

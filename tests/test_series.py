@@ -144,3 +144,27 @@ def test_overlap_groups_fold_linked_funds_alone(spark):
     told = universe.overlap_groups(rows)
     assert [tuple(x) for x in told.orderBy("members").collect()] == [(1, "G0 G1", 5), (1, "G2 G3", 5)]
     assert "fold(report#" in (plan := told._jdf.queryExecution().optimizedPlan().toString()) and "symbol" not in plan.split("fold(report#")[1].split(")")[0]
+
+
+def test_lanes_in_ranges_and_rounds(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tallyforge.operators import ranks
+
+    monkeypatch.setattr(ranks, "RANGE", 20)
+    monkeypatch.setattr(ranks, "ROUND", 150)
+    r = random.Random(4)
+    sizes = {"a": 200, "b": 90, "c": 20, "d": 3, "e": 61}
+    rows = [(g, f"T{n:03d}", n % 7, 5.0 if g == "b" and n < 60 else float(r.randint(0, 40)), float(r.randint(-20, 20))) for g, m in sizes.items() for n in range(m)]
+    mean_rank = lambda x: (x[:, None] > x).sum(axis=1) + ((x[:, None] == x).sum(axis=1) + 1) / 2
+    want = {}
+    for g, m in sizes.items():
+        own = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[3], x[1], x[2]))
+        rho = np.corrcoef(mean_rank(np.array([x[3] for x in own])), mean_rank(np.array([x[4] for x in own])))[0, 1]
+        want[g] = (m, rho, np.mean([x[4] for x in own[: m // 2]]) - np.mean([x[4] for x in own[m - m // 2 :]])) if m >= 4 else (m, None, 0.0)
+    df = spark.createDataFrame(rows, "g string, ticker string, cutoff int, score double, relative double").repartition(5)
+    told = ranks.lanes(df, ["g"])
+    assert {x.g: (x.n, x.rho, x.edge) for x in told.collect()} == {g: (n, None if rho is None else pytest.approx(rho, abs=2e-6), pytest.approx(edge, abs=2e-6)) for g, (n, rho, edge) in want.items()}
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("parquet") > 1  # several rounds
