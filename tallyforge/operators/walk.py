@@ -221,9 +221,11 @@ def knob_search(rows: DataFrame, arms: DataFrame, share: float = 0.7, months: in
     """(arm, active, train_rho, train_edge, test_rho, test_edge): each arm scores the first ``share`` of the samples by date, less those
     within ``months`` of the rest; of the arms with a rank correlation above 0 there, the one with the best halves' edge, and
     of equal ones the one with fewest active weights, is tested once on the rest."""
+    rows = checkpointed(rows.select("relative", "ticker", "cutoff", "cagr_life", "range_pct", "max_dd"))
     day = edge_day(rows, share)
     told = checkpointed(rows.withColumn("one", F.lit(1)).join(F.broadcast(day), "one").drop("one"))
-    train = lanes(scored_by(told.filter(F.col("cutoff") < F.date_sub("edge", months * 30)), arms), ["arm"]).join(arms, "arm").filter("rho > 0")
+    early = _numbered(told.filter(F.col("cutoff") < F.date_sub("edge", months * 30)).drop("edge"))
+    train = lanes(scored_by(early, arms.drop("active")), ["arm"], ("_at",), "_ry").join(arms, "arm").filter("rho > 0")
     won = checkpointed(train.orderBy(F.desc("edge"), "active", "arm").limit(1).select("arm", "w_range", "w_dd", "w_cagr", "active", F.col("rho").alias("train_rho"), F.col("edge").alias("train_edge")))
     test = lanes(scored_by(told.filter("cutoff >= edge"), won.select("arm", "w_range", "w_dd", "w_cagr")), ["arm"])
     return won.join(test, "arm", "left").select("arm", "active", "train_rho", "train_edge", F.col("rho").alias("test_rho"), F.col("edge").alias("test_edge"))
