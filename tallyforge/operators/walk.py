@@ -234,6 +234,7 @@ def knob_search(rows: DataFrame, arms: DataFrame, share: float = 0.7, months: in
 def factor_sweep(rows: DataFrame, factors: list[str], months: int = 24) -> DataFrame:
     """(factor, n, rho, edge, early_rho, late_rho, beats): each factor as the score, over all samples and over either purged half; it
     beats the present score if its edge is higher and both halves' correlations are above 0."""
+    rows = checkpointed(rows.select("relative", "ticker", "cutoff", "score", *factors))
     base = lanes(rows.select("relative", "ticker", "cutoff", "score").withColumn("arm", F.lit("base")), ["arm"]).select(F.col("edge").alias("_edge"), F.lit(1).alias("one"))
     told = _by_halves(unpivoted(rows, factors), "factor", months).withColumn("one", F.lit(1)).join(F.broadcast(base), "one")
     beats = F.coalesce((F.col("edge") > F.col("_edge")) & (F.col("early_rho") > 0) & (F.col("late_rho") > 0), F.lit(False))
