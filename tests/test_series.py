@@ -168,3 +168,12 @@ def test_lanes_in_ranges_and_rounds(spark, monkeypatch):
     told = ranks.lanes(df, ["g"])
     assert {x.g: (x.n, x.rho, x.edge) for x in told.collect()} == {g: (n, None if rho is None else pytest.approx(rho, abs=2e-6), pytest.approx(edge, abs=2e-6)) for g, (n, rho, edge) in want.items()}
     assert told._jdf.queryExecution().optimizedPlan().toString().count("parquet") > 1  # several rounds
+
+
+def test_hold_sweep_keeps_what_each_hold_gives(spark, sf_dir):
+    from tallyforge.operators import books
+
+    told = books.hold_sweep(T.bars(spark, sf_dir), T.spans(spark, sf_dir), T.sectors(spark, sf_dir), holds=(1, 2))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_shipdate" not in plan and "parquet" in plan  # bars aren't read and shuffled for all holds at once
+    assert {r.years for r in told.collect()} <= {1, 2}
