@@ -124,9 +124,16 @@ def trails(bars: DataFrame, n: int = 36) -> DataFrame:
     return rows.select("ticker", F.col("bar_date").alias("cutoff"), F.reverse(F.collect_list("good").over(by_date().rowsBetween(1 - n, 0))).alias("trail"))
 
 
+def asked_trails(rows: DataFrame, trail: DataFrame) -> DataFrame:
+    """The trails at the cutoffs of ``rows``: a ticker's trails are where its bars are, and those that nobody asks for aren't shuffled."""
+    cuts = rows.groupBy("ticker").agg(F.collect_set("cutoff").alias("_cuts"))
+    return trail.join(cuts, "ticker").filter(F.array_contains("_cuts", F.col("cutoff"))).drop("_cuts")
+
+
 def decorrelated(rows: DataFrame, trail: DataFrame, caps: list[float], top: int = 10) -> DataFrame:
     """(bucket, cap, rn, id): each half-year's book under each cap on the correlation of its names; see ``greedy``."""
-    ranked = rows.join(trail, ["ticker", "cutoff"]).select("bucket", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")).alias("id"), "score", "trail")
+    rows = written(rows.select("ticker", "cutoff", "bucket", "score"))
+    ranked = rows.join(asked_trails(rows, trail), ["ticker", "cutoff"]).select("bucket", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")).alias("id"), "score", "trail")
     return greedy(ranked, caps, top)
 
 

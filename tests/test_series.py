@@ -177,3 +177,14 @@ def test_hold_sweep_keeps_what_each_hold_gives(spark, sf_dir):
     plan = told._jdf.queryExecution().optimizedPlan().toString()
     assert "l_shipdate" not in plan and "parquet" in plan  # bars aren't read and shuffled for all holds at once
     assert {r.years for r in told.collect()} <= {1, 2}
+
+
+def test_trails_that_no_sample_asks_for_are_not_shuffled(spark):
+    from tallyforge.operators import books
+
+    rows = spark.createDataFrame([("A", date(2010, 2, 1), 7, 1.0)], "ticker string, cutoff date, bucket int, score double")
+    trail = books.trails(bars(spark, [5, 6, 5, 7, 6] * 10))
+    for cap in (2.0, 0.8):
+        assert [tuple(r) for r in books.decorrelated(rows, trail, [cap]).collect()] == [(7, cap, 1, "A:2010-02-01")]
+    asked = books.asked_trails(rows, trail)
+    assert [(r.ticker, r.cutoff, len(r.trail)) for r in asked.collect()] == [("A", date(2010, 2, 1), 28)]
