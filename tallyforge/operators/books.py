@@ -140,6 +140,7 @@ def decorrelated(rows: DataFrame, trail: DataFrame, caps: list[float], top: int
 def capped_books(rows: DataFrame, trail: DataFrame, benchmark: DataFrame, caps: list[float], years: int = 2, top: int = 10) -> DataFrame:
     """(cap, buckets, book, index, excess, win_pct, worst, early, late): the books that each cap leaves, refilled from below, against the
     benchmark, in percent a year; early and late are the excess of both halves of the buckets."""
+    rows = written(rows.select("ticker", "cutoff", "bucket", "score", "realized"))
     kept = decorrelated(rows, trail, caps, top)
     named = rows.select("bucket", F.concat_ws(":", "ticker", F.col("cutoff").cast("string")).alias("id"), "realized", "cutoff")
     book = kept.join(named, ["bucket", "id"]).groupBy("cap", "bucket").agg(F.avg(1 + F.col("realized") / 100).alias("multiple"), F.min("cutoff").alias("start"))
